@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairlens.llm.embeddings import near_vectors
+from pairlens.llm.html import main_texts
+from pairlens.llm.langid import identified
+from pairlens.llm.lm import lm_scores
 from pairlens.llm.mixing import mix
 from pairlens.llm.packing import pack
 from pairlens.llm.pii import pii_report
@@ -21,6 +25,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identified(_table(spark, sf_dir, "documents"))
+
+
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = histogram_shards(_table(spark, sf_dir, "documents"), shards=16)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -38,9 +50,17 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_shards, op5_packing, op6_mixing, op7_quality, op9_pii)}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_embeddings, op3_language, op4_shards, op5_packing, op6_mixing, op7_quality, op8_lm, op9_pii, op10_html)}
 ORACLE_SQL: dict[str, str] = {}
