@@ -57,6 +57,7 @@ MAIN_TAGS = frozenset(["article", "main"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPLIT_WORDS = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 MOST_ITEMS = 48  # of one level: more become a repeated group of optional items
+MOST_LEVELS = 100
 PROSE_CHARS = 40
 CONSTANT_PAGES = 5
 SALTS = 32
@@ -134,8 +135,11 @@ def parse(source: str) -> list:
         if tag in ("html", "body") or tag in VOID:
             continue
         node = [label_of(tag, m[4]), []]
-        stack[-1][1].append(node)
-        stack.append(node)
+        if len(stack) < MOST_LEVELS:
+            stack[-1][1].append(node)
+            stack.append(node)
+        else:  # what is nested deeper shares a level
+            stack.append(stack[-1])
         names.append(tag)
     flush()
     return root[1]
