@@ -50,6 +50,25 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def planes(a: np.ndarray) -> bytes:
+    """Unsigned numbers, all their lowest bytes first, then the next ones: what Spark compresses well."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+
+
+def from_planes(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def squeezed(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as the steps between them."""
+    return planes(np.diff(hashes.astype("<u8"), prepend=np.uint64(0)))
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data, "<u8"), dtype=np.uint64)
+
+
 def mixed_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """One hash of two, in order."""
     x = a * np.uint64(0xBF58476D1CE4E5B9) + (b ^ (b >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
@@ -58,14 +77,15 @@ def mixed_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _chunk(docs: list[tuple], words: list[bytes]) -> tuple[pa.Array, ...]:
+def _chunk(words: list[bytes]) -> tuple[bytes, bytes]:
+    """Each word's number, and the sorted hashes that the numbers stand for."""
     coded = pa.array(words, pa.binary()).dictionary_encode()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(w) for w in coded.dictionary.to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
     order = np.argsort(hashes, kind="stable")
     place = np.empty(len(order), dtype=np.int32)
     place[order] = np.arange(len(order), dtype=np.int32)
-    return place[coded.indices.to_numpy()].astype("<i4").tobytes(), hashes[order].astype("<u8").tobytes()
+    return planes(place[coded.indices.to_numpy()].astype("<u4")), squeezed(hashes[order])
 
 
 def chunks(docs: DataFrame, folds: int, held: int) -> DataFrame:
@@ -82,7 +102,7 @@ def chunks(docs: DataFrame, folds: int, held: int) -> DataFrame:
             nonlocal n
             some, words = open_[tune]
             open_[tune] = ([], [])
-            ids, hashes = _chunk(some, words)
+            ids, hashes = _chunk(words)
             n += 1
             train = sum(length for _, held_out, length in some if not held_out)
             columns = [
@@ -93,7 +113,7 @@ def chunks(docs: DataFrame, folds: int, held: int) -> DataFrame:
 
         for batch in batches:
             id_type = batch.column(0).type
-            for doc_id, text, held_out, tune in zip(*(c.to_pylist() for c in (batch.column(0),)), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for doc_id, text, held_out, tune in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 some, words = open_[tune]
                 own = (text.as_py() or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
                 own.append(END)
@@ -115,8 +135,8 @@ class Pairs:
     """The distinct words and word pairs of a chunk, each sorted by hash, and where each token finds its own."""
 
     def __init__(self, ids: bytes, hashes: bytes, lengths: np.ndarray):
-        self.ids = np.frombuffer(ids, "<i4").astype(np.int64)
-        self.words = np.frombuffer(hashes, "<u8")
+        self.ids = from_planes(ids, "<u4").astype(np.int64)
+        self.words = unsqueezed(hashes)
         self.ends = np.cumsum(lengths)
         self.begins = self.ends - lengths
         self.before = np.empty_like(self.ids)
@@ -155,7 +175,7 @@ def questions(table: DataFrame, word_ranges: int, pair_ranges: int) -> DataFrame
                 for hashes, token, ranges, first in ((p.words, p.ids, word_ranges, 0), (p.pairs, p.pair, pair_ranges, word_ranges)):
                     counts = np.bincount(token[train], minlength=len(hashes))
                     which, cut = _cuts(hashes, ranges)
-                    rows += [(first + int(w), hashes[a:b].astype("<u8").tobytes(), packed(counts[a:b])) for w, a, b in zip(which, cut[:-1], cut[1:], strict=True)]
+                    rows += [(first + int(w), squeezed(hashes[a:b]), packed(counts[a:b])) for w, a, b in zip(which, cut[:-1], cut[1:], strict=True)]
                 n = len(rows)
                 columns = [
                     pa.array([r for r, _, _ in rows], pa.int64()), pa.array([_of(batch, "chunk", i)] * n, pa.int64()), pa.array([_of(batch, "tune", i)] * n, pa.bool_()),
@@ -173,7 +193,7 @@ def _answer(asked: pa.Table) -> pa.Table:
     """Totals of one range for each chunk: over all training documents, and (for chunks of the tuning part) over the rest of them."""
     asked = asked.sort_by("chunk")
     tune = np.array(asked.column("tune").to_pylist(), dtype=bool)
-    hashes = [np.frombuffer(h, "<u8") for h in asked.column("hashes").to_pylist()]
+    hashes = [unsqueezed(h) for h in asked.column("hashes").to_pylist()]
     counts = [unpacked(c, len(h)) for c, h in zip(asked.column("counts").to_pylist(), hashes, strict=True)]
     distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
     ends = np.cumsum([len(h) for h in hashes])

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from pairlens.llm import lm
-from pairlens.llm.lm import learn_weights, lm_scores, packed, unpacked
+from pairlens.llm.lm import from_planes, learn_weights, lm_scores, packed, planes, squeezed, unpacked, unsqueezed
 from pairlens.llm.queries import QUERIES
 
 END = None
@@ -84,6 +84,9 @@ def test_many_chunks_and_odd_rows(spark, odd_docs, no_docs, monkeypatch):
 def test_counts_survive_packing():
     x = np.array([0, 3, 254, 255, 256, 10**12, 1])
     assert unpacked(packed(x), len(x)).tolist() == x.tolist()
+    h = np.array([0, 5, 2**40, 2**64 - 1], dtype=np.uint64)
+    assert unsqueezed(squeezed(h)).tolist() == h.tolist()
+    assert from_planes(planes(x.astype("<u4")), "<u4").tolist() == x.astype("<u4").tolist()
 
 
 def test_weights_favour_what_predicts():
