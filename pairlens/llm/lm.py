@@ -31,8 +31,9 @@ from pairlens.llm.common import Written
 
 END = b""  # no word is empty
 START_HASH = np.uint64(0x9E3779B97F4A7C15)
-CHUNK_TOKENS = 250_000
-RANGE_TOKENS = 1_000_000  # tokens of the corpus for each range of hash values
+CHUNK_TOKENS = 150_000
+FILE_CHUNKS = 8  # so that no task holds many chunks at once
+RANGE_TOKENS = 500_000  # tokens of the corpus for each range of hash values
 MIN_RANGES = 64
 TUNE_ONE_IN = 8  # of the training documents, for the weights
 EM_ROUNDS = 60
@@ -264,7 +265,7 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     written = Written(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
-    table = written.table(chunks(docs.select("doc_id", "text"), folds, held))
+    table = written.table(chunks(docs.select("doc_id", "text"), folds, held), FILE_CHUNKS)
     sums = table.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("tune"), F.col("n_train"))), F.lit(0)).alias("tuned"), F.coalesce(F.sum(F.aggregate("length", F.lit(0).cast("long"), lambda x, y: x + y)), F.lit(0)).alias("all")).first()
     train, rest = sums["n"], sums["n"] - sums["tuned"]
     pair_ranges = max(MIN_RANGES, sums["all"] // RANGE_TOKENS)
