@@ -2,5 +2,304 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairlens.functions.text import kgram_docs, numbered_tokens, token_sets
+from pairlens.model import CandidateSet, KeyedTable
+from pairlens.operators import simjoin
+from pairlens.operators.blockers import block_equal
+from pairlens.operators.features import column_weights
+from pairlens.operators.suggestions import recommendations, side_by_side
+from pairlens.operators.verify import gold_similarity, label_counts, label_state, recall
+from pairlens.plans.configs import leave_one_out, top_down
+from pairlens.plans.engine import debug_blocker, debug_leave_one_out, debug_top_down, iteration_statistics, token_counts
+from pairlens.sources.files import lower_and_limit
+
+PART = ["p_name", "p_brand", "p_type"]
+K = 100
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _halves(spark: SparkSession, sf_dir: str, name: str, key: str, columns: list[str]) -> tuple[KeyedTable, KeyedTable]:
+    """The rows of even and of odd keys."""
+    df = _table(spark, sf_dir, name).select(key, *columns)
+    return KeyedTable(df.where(f"{key} % 2 = 0"), key), KeyedTable(df.where(f"{key} % 2 = 1"), key)
+
+
+def _trade(spark: SparkSession, sf_dir: str) -> tuple[KeyedTable, KeyedTable, CandidateSet]:
+    """Customers and suppliers with columns of one name, and the pairs of one nation."""
+    left = KeyedTable(_table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_name AS name", "c_nationkey AS nation"), "id")
+    right = KeyedTable(_table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "s_name AS name", "s_nationkey AS nation"), "id")
+    return left, right, block_equal(left, right, "nation", "nation")
+
+
+def _part_tokens(spark: SparkSession, sf_dir: str) -> tuple[KeyedTable, KeyedTable, DataFrame, DataFrame]:
+    left, right = _halves(spark, sf_dir, "part", "p_partkey", PART)
+    return left, right, numbered_tokens(left.df, "p_partkey", PART), numbered_tokens(right.df, "p_partkey", PART)
+
+
+# -- queries
+
+
+def feature_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return column_weights(_table(spark, sf_dir, "part"), [*PART, "p_size", "p_retailprice"])
+
+
+def feature_weights_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return column_weights(_table(spark, sf_dir, "part"), [*PART, "p_size", "p_retailprice"], "mean")
+
+
+def feature_weights_harmonic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return column_weights(_table(spark, sf_dir, "part"), [*PART, "p_size", "p_retailprice"], "harmonic")
+
+
+def block_attr_equiv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trade(spark, sf_dir)[2].pairs()
+
+
+def kgram_docs_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kgram_docs(_table(spark, sf_dir, "supplier"), "s_suppkey", ["s_name"]).select("id", F.explode("tokens").alias("gram"))
+
+
+def kgram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right, candidates = _trade(spark, sf_dir)
+    docs = kgram_docs(left.df, "id", ["name"]), kgram_docs(right.df, "id", ["name"])
+    return simjoin.top_k(*docs, candidates.pairs(), 200)
+
+
+def decorated_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole k-gram debugger: matching of columns, choice of fields, top 200, both rows."""
+    return debug_blocker(*_trade(spark, sf_dir), 200)
+
+
+def token_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_sets(_table(spark, sf_dir, "part"), "p_partkey", PART).select("id", F.explode("tokens").alias("token"))
+
+
+def token_set_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = _halves(spark, sf_dir, "part", "p_partkey", PART)
+    return simjoin.top_k(token_sets(left.df, "p_partkey", PART), token_sets(right.df, "p_partkey", PART), None, 200)
+
+
+def token_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered_tokens(_table(spark, sf_dir, "part"), "p_partkey", PART)
+
+
+def token_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right, *_ = _halves(spark, sf_dir, "part", "p_partkey", PART)
+    return simjoin.document_frequency(token_sets(left.df, "p_partkey", PART), token_sets(right.df, "p_partkey", PART))
+
+
+def prefix_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = (token_sets(t.df, "p_partkey", PART) for t in _halves(spark, sf_dir, "part", "p_partkey", PART))
+    return simjoin.bounds(simjoin.rare_first(left, simjoin.document_frequency(left, right)))
+
+
+def record_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, _, tokens, _ = _part_tokens(spark, sf_dir)
+    return simjoin.record_lengths(tokens, left.df.select(F.col("p_partkey").alias("id")), leave_one_out(3))
+
+
+def pair_field_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that even and odd parts share, by field, summed over pairs of rows."""
+    _, _, a, b = _part_tokens(spark, sf_dir)
+    counts = simjoin.pair_field_counts(a, b)
+    return counts.groupBy("lf", "rf", "cnt").agg(F.count("*").alias("n_pairs"), F.sum("lid").alias("sum_lid"), F.sum("rid").alias("sum_rid"))
+
+
+def _document_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    numbered = (numbered_tokens(t.df, "doc_id", ["text"]) for t in _halves(spark, sf_dir, "documents", "doc_id", ["text"]))
+    return tuple(t.groupBy("id").agg(F.collect_list("t").alias("tokens")) for t in numbered)
+
+
+def token_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simjoin.top_k(*_document_sets(spark, sf_dir), None, K)
+
+
+def token_topk_excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = _halves(spark, sf_dir, "documents", "doc_id", ["lang"])
+    return simjoin.top_k(*_document_sets(spark, sf_dir), block_equal(left, right, "lang", "lang").pairs(), K)
+
+
+def leave_one_out_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = _halves(spark, sf_dir, "part", "p_partkey", PART)
+    return debug_leave_one_out(left, right, block_equal(left, right, "p_brand", "p_brand"), K).top
+
+
+def top_down_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = _halves(spark, sf_dir, "part", "p_partkey", PART)
+    return debug_top_down(left, right, block_equal(left, right, "p_brand", "p_brand"), K).top
+
+
+def top_down_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequence of configurations for given weights and the token counts of parts."""
+    _, _, a, b = _part_tokens(spark, sf_dir)
+    found = top_down([3.0, 2.0, 1.0], token_counts(a, 3), token_counts(b, 3))
+    return spark.createDataFrame([(i, simjoin.label_of(c)) for i, c in enumerate(found)], "place int, config string")
+
+
+def recommendation_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = _halves(spark, sf_dir, "part", "p_partkey", PART)
+    found = debug_leave_one_out(left, right, block_equal(left, right, "p_brand", "p_brand"), 20)
+    return recommendations(found.top, found.left, found.right, [(c, c) for c in PART]).select("config", "rank", "sim", "lkey", "rkey", F.array_join("lvalues", "|").alias("lvalues"), F.array_join("rvalues", "|").alias("rvalues"))
+
+
+def iteration_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right, a, b = _part_tokens(spark, sf_dir)
+    ids = [t.df.select(F.col("p_partkey").alias("id")) for t in (left, right)]
+    configs = leave_one_out(3)
+    kept = block_equal(left, right, "p_brand", "p_brand").pairs()
+    return iteration_statistics(simjoin.configured_pairs(a, b, kept, configs), a, b, *ids, configs)
+
+
+def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each even document and the one after it, as known matches."""
+    return _table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("lkey"), (F.col("doc_id") + 1).alias("rkey"))
+
+
+def gold_similarity_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (numbered_tokens(t.df, "doc_id", ["text"]) for t in _halves(spark, sf_dir, "documents", "doc_id", ["text"]))
+    return gold_similarity(_gold(spark, sf_dir), a, b)
+
+
+def gold_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recall(token_topk(spark, sf_dir).withColumn("config", F.lit("0")), _gold(spark, sf_dir))
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts from the labels table: quality is the verdict of a first look, toxic takes some back in a second."""
+    df = _table(spark, sf_dir, "labels").where("doc_id IS NOT NULL")
+    first = df.selectExpr("0 AS iteration", "doc_id AS lkey", "doc_id + 1 AS rkey", "quality = 1 AS label", "1 AS at")
+    return first.unionAll(df.where("toxic = 1").selectExpr("1", "doc_id", "doc_id + 1", "CASE WHEN quality = 1 THEN false END", "2"))
+
+
+def label_state_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_state(_labels(spark, sf_dir))
+
+
+def label_counts_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_counts(label_state(_labels(spark, sf_dir)))
+
+
+def tuple_pair_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = _halves(spark, sf_dir, "part", "p_partkey", PART)
+    found = debug_leave_one_out(left, right, block_equal(left, right, "p_brand", "p_brand"), 1)
+    pairs = [(c, c) for c in PART]
+    return side_by_side(recommendations(found.top, found.left, found.right, pairs), "0_1_2", 1, pairs)
+
+
+def lower_limit_prep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lower_and_limit(_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey", 100)
+
+
+QUERIES = {
+    f.__name__.rstrip("_"): f
+    for f in (
+        feature_weights, feature_weights_mean, feature_weights_harmonic, block_attr_equiv, kgram_docs_, kgram_topk, decorated_suggestions, token_set, token_set_topk,
+        token_multiset, token_df, prefix_bounds, record_lengths, pair_field_counts, token_topk, token_topk_excluding, leave_one_out_topk, top_down_topk, top_down_configs,
+        recommendation_lists, iteration_stats, gold_similarity_, gold_recall_at_k, label_state_, label_counts_, tuple_pair_view, lower_limit_prep,
+    )
+}
+
+
+# -- the same in SQL
+
+
+def _weights_sql(combine: str) -> str:
+    each = "SELECT '{c}' AS \"column\", count({c}) / count(*) AS filled, CASE WHEN count({c}) = 0 THEN 0 ELSE count(DISTINCT {c}) / count({c}) END AS uniq FROM part"
+    rows = " UNION ALL ".join(each.format(c=c) for c in [*PART, "p_size", "p_retailprice"])
+    return f'SELECT "column", {combine} AS weight FROM ({rows})'
+
+
+def _split_sql(table: str, key: str, columns: list[str]) -> str:
+    """id, f, p, w: every token of every field."""
+    one = "SELECT {k} AS id, {f} AS f, generate_subscripts(string_split(lower(coalesce({c}, '')), ' '), 1) AS p, unnest(string_split(lower(coalesce({c}, '')), ' ')) AS w FROM {t}"
+    return " UNION ALL ".join(one.format(k=key, f=f, c=c, t=table) for f, c in enumerate(columns))
+
+
+def _numbered_sql(table: str, key: str, columns: list[str]) -> str:
+    return f"SELECT id, f, w || ' ' || (row_number() OVER (PARTITION BY id, w ORDER BY f, p) - 1) AS t FROM ({_split_sql(table, key, columns)}) WHERE w <> ''"
+
+
+def _sets_sql(table: str, key: str, columns: list[str]) -> str:
+    return f"SELECT DISTINCT id, w AS t FROM ({_split_sql(table, key, columns)})"
+
+
+PARTS = f"tok AS ({_numbered_sql('part', 'p_partkey', PART)}), l AS (SELECT * FROM tok WHERE id % 2 = 0), r AS (SELECT * FROM tok WHERE id % 2 = 1)"
+PART_SETS = f"tok AS ({_sets_sql('part', 'p_partkey', PART)}), l AS (SELECT * FROM tok WHERE id % 2 = 0), r AS (SELECT * FROM tok WHERE id % 2 = 1)"
+DOCUMENTS = f"tok AS ({_numbered_sql('documents', 'doc_id', ['text'])}), l AS (SELECT * FROM tok WHERE id % 2 = 0), r AS (SELECT * FROM tok WHERE id % 2 = 1)"
+SAME_BRAND = "c AS (SELECT a.p_partkey AS lid, b.p_partkey AS rid FROM part a JOIN part b ON a.p_brand = b.p_brand WHERE a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1)"
+SAME_LANG = "c AS (SELECT a.doc_id AS lid, b.doc_id AS rid FROM documents a JOIN documents b ON a.lang = b.lang WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1)"
+GRAMS = """
+l AS (SELECT DISTINCT c_custkey AS id, substring(lower(c_name), i, 3) AS t FROM (SELECT c_custkey, c_name, unnest(generate_series(1, length(c_name) - 2)) AS i FROM customer)),
+r AS (SELECT DISTINCT s_suppkey AS id, substring(lower(s_name), i, 3) AS t FROM (SELECT s_suppkey, s_name, unnest(generate_series(1, length(s_name) - 2)) AS i FROM supplier)),
+c AS (SELECT c_custkey AS lid, s_suppkey AS rid FROM customer JOIN supplier ON c_nationkey = s_nationkey)"""
+PAIRS = """
+pairs AS (SELECT l.id AS lid, r.id AS rid, count(*) AS shared FROM l JOIN r USING (t) GROUP BY 1, 2),
+ln AS (SELECT id AS lid, count(*) AS n FROM l GROUP BY 1), rn AS (SELECT id AS rid, count(*) AS m FROM r GROUP BY 1),
+sims AS (SELECT lid, rid, shared, shared / (n + m - shared) AS sim FROM pairs JOIN ln USING (lid) JOIN rn USING (rid) {without})"""
+WITHOUT = "ANTI JOIN c USING (lid, rid)"
+TOP = "SELECT lid, rid, shared, sim FROM sims ORDER BY sim DESC, lid DESC, rid DESC LIMIT {k}"
+
+
+def _configs_sql(configs: list[str], rest: str) -> str:
+    """sims and top for configurations given as lists of fields."""
+    values = ", ".join(f"('{'_'.join(c)}', [{', '.join(c)}])" for c in configs)
+    return f"""WITH {PARTS}, {SAME_BRAND}, cfg(config, fields) AS (VALUES {values}),
+counts AS (SELECT l.id AS lid, r.id AS rid, l.f AS lf, r.f AS rf, count(*) AS cnt FROM l JOIN r USING (t) GROUP BY ALL),
+shares AS (SELECT config, lid, rid, sum(cnt)::BIGINT AS shared FROM counts JOIN cfg ON list_contains(fields, lf) AND list_contains(fields, rf) GROUP BY ALL),
+ln AS (SELECT config, id AS lid, count(*) AS n FROM l JOIN cfg ON list_contains(fields, f) GROUP BY ALL),
+rn AS (SELECT config, id AS rid, count(*) AS m FROM r JOIN cfg ON list_contains(fields, f) GROUP BY ALL),
+sims AS (SELECT config, lid, rid, shared, shared / (n + m - shared) AS sim FROM shares JOIN ln USING (config, lid) JOIN rn USING (config, rid) ANTI JOIN c USING (lid, rid)),
+top AS (SELECT *, row_number() OVER (PARTITION BY config ORDER BY sim DESC, lid DESC, rid DESC)::INT AS rank FROM sims)
+{rest}"""
+
+
+LEAVE_ONE_OUT = ["012", "12", "02", "01"]
+LABELS = """WITH v AS (SELECT 0 AS iteration, doc_id AS lkey, doc_id + 1 AS rkey, quality = 1 AS label, 1 AS moment FROM labels WHERE doc_id IS NOT NULL
+UNION ALL SELECT 1, doc_id, doc_id + 1, CASE WHEN quality = 1 THEN false END, 2 FROM labels WHERE doc_id IS NOT NULL AND toxic = 1),
+state AS (SELECT lkey, rkey, iteration, label FROM (SELECT *, row_number() OVER (PARTITION BY lkey, rkey ORDER BY moment DESC, iteration DESC, label DESC NULLS LAST) AS place FROM v) WHERE place = 1 AND label IS NOT NULL)"""
+NO_CANDIDATES = PAIRS.format(without="")
+VALUES = "concat_ws('|', coalesce({0}.p_name, ''), coalesce({0}.p_brand, ''), coalesce({0}.p_type, ''))"
+
+ORACLE_SQL: dict[str, str] = {
+    "feature_weights": _weights_sql("filled + uniq"),
+    "feature_weights_mean": _weights_sql("(filled + uniq) / 2"),
+    "feature_weights_harmonic": _weights_sql("CASE WHEN filled = 0 THEN uniq WHEN uniq = 0 THEN filled ELSE 1 / (0.2::DOUBLE / filled + 0.8::DOUBLE / uniq) END"),
+    "block_attr_equiv": "SELECT c_custkey AS lid, s_suppkey AS rid FROM customer JOIN supplier ON c_nationkey = s_nationkey",
+    "kgram_docs": "SELECT DISTINCT s_suppkey AS id, substring(lower(s_name), i, 3) AS gram FROM (SELECT s_suppkey, s_name, unnest(generate_series(1, length(s_name) - 2)) AS i FROM supplier)",
+    "kgram_topk": f"WITH {GRAMS}, {PAIRS.format(without=WITHOUT)} {TOP.format(k=200)}",
+    "decorated_suggestions": f"""WITH {GRAMS}, {PAIRS.format(without=WITHOUT)}, top AS ({TOP.format(k=200)})
+SELECT sim AS similarity, lid AS "ltable.id", rid AS "rtable.id", c_name AS "ltable.name", s_name AS "rtable.name" FROM top JOIN customer ON c_custkey = lid JOIN supplier ON s_suppkey = rid""",
+    "token_set": f"SELECT id, t AS token FROM ({_sets_sql('part', 'p_partkey', PART)})",
+    "token_set_topk": f"WITH {PART_SETS}, {NO_CANDIDATES} {TOP.format(k=200)}",
+    "token_multiset": _numbered_sql("part", "p_partkey", PART),
+    "token_df": f"WITH {PART_SETS} SELECT t, count_if(id % 2 = 0)::BIGINT AS l_df, count_if(id % 2 = 1)::BIGINT AS r_df, count(*) AS df FROM tok GROUP BY t",
+    "prefix_bounds": f"""WITH {PART_SETS}, d AS (SELECT t, count(*) AS df FROM tok GROUP BY t),
+placed AS (SELECT id, t, (row_number() OVER (PARTITION BY id ORDER BY df, t) - 1)::INT AS place, count(*) OVER (PARTITION BY id) AS n FROM l JOIN d USING (t))
+SELECT id, place, t, 1 - place / n AS bound FROM placed""",
+    "record_lengths": f"WITH {PARTS} SELECT p_partkey AS id, count(f) AS n0, count_if(f IN (1, 2))::BIGINT AS n1, count_if(f IN (0, 2))::BIGINT AS n2, count_if(f IN (0, 1))::BIGINT AS n3 FROM part LEFT JOIN l ON id = p_partkey WHERE p_partkey % 2 = 0 GROUP BY 1",
+    "pair_field_counts": f"""WITH {PARTS}, counts AS (SELECT l.id AS lid, r.id AS rid, l.f AS lf, r.f AS rf, count(*) AS cnt FROM l JOIN r USING (t) GROUP BY ALL)
+SELECT lf, rf, cnt, count(*) AS n_pairs, sum(lid)::BIGINT AS sum_lid, sum(rid)::BIGINT AS sum_rid FROM counts GROUP BY ALL""",
+    "token_topk": f"WITH {DOCUMENTS}, {NO_CANDIDATES} {TOP.format(k=K)}",
+    "token_topk_excluding": f"WITH {DOCUMENTS}, {SAME_LANG}, {PAIRS.format(without=WITHOUT)} {TOP.format(k=K)}",
+    "leave_one_out_topk": _configs_sql(LEAVE_ONE_OUT, f"SELECT config, lid, rid, shared, sim, rank FROM top WHERE rank <= {K}"),
+    "top_down_topk": _configs_sql(["012", "02", "01", "0"], f"SELECT config, lid, rid, shared, sim, rank FROM top WHERE rank <= {K}"),
+    "recommendation_lists": _configs_sql(LEAVE_ONE_OUT, f"SELECT config, rank, sim, lid AS lkey, rid AS rkey, {VALUES.format('a')} AS lvalues, {VALUES.format('b')} AS rvalues FROM top JOIN part a ON a.p_partkey = lid JOIN part b ON b.p_partkey = rid WHERE rank <= 20"),
+    "iteration_stats": _configs_sql(LEAVE_ONE_OUT, """SELECT config, n_pairs, mean_llen, mean_rlen FROM (SELECT config, count(*) AS n_pairs FROM sims GROUP BY 1)
+JOIN (SELECT config, sum(n)::BIGINT / (SELECT count(*) FROM part WHERE p_partkey % 2 = 0) AS mean_llen FROM ln GROUP BY 1) USING (config)
+JOIN (SELECT config, sum(m)::BIGINT / (SELECT count(*) FROM part WHERE p_partkey % 2 = 1) AS mean_rlen FROM rn GROUP BY 1) USING (config)"""),
+    "gold_similarity": f"""WITH {DOCUMENTS}, gold AS (SELECT doc_id AS lid, doc_id + 1 AS rid FROM documents WHERE doc_id % 2 = 0), {NO_CANDIDATES}
+SELECT lid AS lkey, rid AS rkey, coalesce(sim, 0) AS sim FROM gold LEFT JOIN sims USING (lid, rid)""",
+    "gold_recall_at_k": f"""WITH {DOCUMENTS}, gold AS (SELECT doc_id AS lid, doc_id + 1 AS rid FROM documents WHERE doc_id % 2 = 0), {NO_CANDIDATES}, top AS ({TOP.format(k=K)})
+SELECT '0' AS config, count(gold.lid) AS n_found, (SELECT count(*) FROM gold) AS n_gold, count(gold.lid) / (SELECT count(*) FROM gold) AS recall FROM top LEFT JOIN gold USING (lid, rid)""",
+    "label_state": f"{LABELS} SELECT * FROM state",
+    "label_counts": f"{LABELS} SELECT iteration, count_if(label)::BIGINT AS n_true, count_if(NOT label)::BIGINT AS n_false FROM state GROUP BY 1",
+    "tuple_pair_view": _configs_sql(["012"], """, one AS (SELECT a.p_name AS a0, a.p_brand AS a1, a.p_type AS a2, b.p_name AS b0, b.p_brand AS b1, b.p_type AS b2 FROM top JOIN part a ON a.p_partkey = lid JOIN part b ON b.p_partkey = rid WHERE rank = 1)
+SELECT 'p_name' AS field, a0 AS "left", b0 AS "right" FROM one UNION ALL SELECT 'p_brand', a1, b1 FROM one UNION ALL SELECT 'p_type', a2, b2 FROM one"""),
+    "lower_limit_prep": "SELECT c_custkey, lower(c_name) AS c_name, lower(c_mktsegment) AS c_mktsegment FROM customer ORDER BY c_custkey LIMIT 100",
+}
