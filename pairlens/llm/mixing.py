@@ -127,7 +127,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = RE
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of docs.
 
-    Copies for equal doc_ids are the same row: docs is taken to have no repeated doc_id.
+    Rows of one doc_id (null is one too) are taken equally often: the mean of what the mix takes of them, rounded.
     """
-    times = mix(docs).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    return docs.join(times, "doc_id").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    times = mix(docs).groupBy("doc_id").agg(F.round(F.sum(F.col("taken") / F.nullif(F.col("size"), F.lit(0))) / F.count("*")).cast("int").alias("_times")).where("_times > 0")
+    times = times.withColumnRenamed("doc_id", "_taken_id")
+    again = docs.join(times, docs["doc_id"].eqNullSafe(times["_taken_id"]))
+    return again.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

@@ -169,6 +169,10 @@ def near_duplicates(docs: DataFrame, errors: int = ERRORS) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each component, with the columns of docs."""
+    """One document of each component, with the columns of docs: one row of its smallest doc_id.
+
+    Rows without a doc_id all stay, as nothing tells which of them was chosen.
+    """
     kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.select(*docs.columns).unionAll(docs.where("doc_id IS NULL"))
