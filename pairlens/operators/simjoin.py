@@ -4,12 +4,18 @@ Two ways give the same result. `full` joins all tokens and counts what pairs sha
 tokens by how rare they are, takes a first K pairs from short prefixes, and from their least
 similarity derives how long a prefix two sets must share a token in to be as similar; only such
 pairs are compared. The cost of the full way is known before it is run, and decides.
+
+The full way works on classes: records of equal tokens are one, and pairs of classes become pairs of
+records only from the similarity on at which the best K are complete.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Rows of the token join up to which the full way is taken.
 FULL_ROWS = 100_000_000
@@ -92,14 +98,79 @@ def _by_prefix(left: DataFrame, right: DataFrame, candidates: DataFrame | None,
     return best(_verified(left, right, candidates, length, length, least), k)
 
 
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (id, cls) and classes (cls, tokens, n) of records with equal tokens; cls is the least id."""
+    keyed = docs.withColumn("key", F.sha2(F.to_json(F.sort_array("tokens")), 256))
+    found = keyed.groupBy("key").agg(F.min("id").alias("cls"), F.first("tokens").alias("tokens"), F.count("*").alias("n"))
+    return keyed.select("id", "key").join(found.select("key", "cls"), "key").select("id", "cls"), found.select("cls", "tokens", "n")
+
+
+@dataclass(frozen=True)
+class ClassPairs:
+    """Pairs of classes that share a token: config, lc, rc, shared, sim, free (pairs of records that are not candidates)."""
+
+    pairs: DataFrame
+    l_members: DataFrame
+    r_members: DataFrame
+    candidates: DataFrame | None
+
+    def considered(self) -> DataFrame:
+        """config, n_pairs: pairs of records that share a token and are not candidates."""
+        return self.pairs.where("free > 0").groupBy("config").agg(F.sum("free").alias("n_pairs"))
+
+    def least(self, k: int) -> dict[str, float]:
+        """By configuration, the similarity of its k-th pair, where there are so many."""
+        order = Window.partitionBy("config").orderBy(F.desc("sim"))
+        sums = self.pairs.where("free > 0").groupBy("config", "sim").agg(F.sum("free").alias("n"))
+        best_sums = sums.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).orderBy("config", "place").collect()  # k rows a configuration
+        held: dict[str, int] = {}
+        out: dict[str, float] = {}
+        for r in best_sums:
+            held[r["config"]] = held.get(r["config"], 0) + r["n"]
+            if held[r["config"]] >= k:
+                out.setdefault(r["config"], r["sim"])
+        return out
+
+    def top(self, k: int) -> DataFrame:
+        """config, lid, rid, shared, sim, rank of the k best pairs of each configuration."""
+        least = F.lit(0.0)
+        for config, sim in self.least(k).items():
+            least = F.when(F.col("config") == config, F.lit(sim)).otherwise(least)
+        some = self.pairs.where((F.col("free") > 0) & (F.col("sim") >= least))
+        members = lambda df, a, b: df.select(F.col("id").alias(a), F.col("cls").alias(b))
+        rows = some.join(members(self.l_members, "lid", "lc"), "lc").join(members(self.r_members, "rid", "rc"), "rc")
+        rows = without(rows.select("config", "lid", "rid", "shared", "sim"), self.candidates)
+        order = Window.partitionBy("config").orderBy(F.desc("sim"), F.desc("lid"), F.desc("rid"))
+        return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _class_pairs(pairs: DataFrame, left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame], candidates: DataFrame | None) -> ClassPairs:
+    """pairs: (config, lc, rc, shared, sim); left, right: as from classes()."""
+    size = lambda side, name, n: side[1].select(F.col("cls").alias(name), F.col("n").alias(n))
+    sized = pairs.join(size(left, "lc", "ln"), "lc").join(size(right, "rc", "rn"), "rc").withColumn("free", F.col("ln") * F.col("rn"))
+    if candidates is not None:
+        candidates = candidates.select("lid", "rid").distinct()
+        named = candidates.join(left[0].toDF("lid", "lc"), "lid").join(right[0].toDF("rid", "rc"), "rid").groupBy("lc", "rc").agg(F.count("*").alias("kept"))
+        sized = sized.join(named, ["lc", "rc"], "left").withColumn("free", F.col("free") - F.coalesce("kept", F.lit(0)))
+    # read for the k-th similarity, for the lists and for the statistics
+    return ClassPairs(sized.select("config", "lc", "rc", "shared", "sim", "free").persist(), left[0], right[0], candidates)
+
+
 def top_k(left: DataFrame, right: DataFrame, candidates: DataFrame | None, k: int, how: str = "auto") -> DataFrame:
     """lid, rid, shared, sim of the k most similar pairs. left, right: (id, tokens), tokens distinct; how: auto, full or prefix."""
     left, right = left.where(F.size("tokens") > 0), right.where(F.size("tokens") > 0)
-    if how != "full":
-        frequency = document_frequency(left, right)
-        if how == "prefix" or join_rows(frequency) > FULL_ROWS:
-            return _by_prefix(left, right, candidates, k, frequency)
-    return best(without(similar_pairs(left, right), candidates), k)
+    l_classes, r_classes = classes(left), classes(right)
+    docs = [c[1].select(F.col("cls").alias("id"), "tokens") for c in (l_classes, r_classes)]
+    if how == "prefix" or how == "auto" and join_rows(document_frequency(*docs)) > FULL_ROWS:
+        return _by_prefix(left, right, candidates, k, document_frequency(left, right))
+    rows, distinct = 1, 1
+    for _, found in (l_classes, r_classes):
+        sums = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        rows, distinct = rows * sums[0], distinct * sums[1]
+    if 2 * distinct > rows:  # few records are equal: classes would only add work
+        return best(without(similar_pairs(left, right), candidates), k)
+    pairs = similar_pairs(*docs).select(F.lit("").alias("config"), F.col("lid").alias("lc"), F.col("rid").alias("rc"), "shared", "sim")
+    return best(_class_pairs(pairs, l_classes, r_classes, candidates).top(k).select("lid", "rid", "shared", "sim"), k)
 
 
 # Token multisets, with the field of each token
@@ -126,24 +197,18 @@ def label_of(config: tuple[int, ...]) -> str:
     return "_".join(map(str, config))
 
 
-def configured_pairs(left: DataFrame, right: DataFrame, candidates: DataFrame | None, configs: list[tuple[int, ...]]) -> DataFrame:
-    """config, lid, rid, shared, sim for every configuration, from one token join.
+def configured_pairs(left: DataFrame, right: DataFrame, candidates: DataFrame | None, configs: list[tuple[int, ...]]) -> ClassPairs:
+    """The pairs of every configuration, from one token join. left, right: numbered tokens (id, f, t).
 
     What a pair shares in a configuration is counted where both fields are kept, all configurations in one aggregate.
     """
-    a = left.select(F.col("id").alias("lid"), F.col("f").alias("lf"), "t")
-    b = right.select(F.col("id").alias("rid"), F.col("f").alias("rf"), "t")
+    l_classes, r_classes = (classes(x.groupBy("id").agg(F.collect_list(F.struct("f", "t")).alias("tokens"))) for x in (left, right))
+    tokens = lambda c, s: c[1].select(F.col("cls").alias(f"{s}c"), F.explode("tokens").alias("x")).select(f"{s}c", F.col("x.f").alias(f"{s}f"), F.col("x.t").alias("t"))
     shared = [F.count_if(_kept("lf", c) & _kept("rf", c)).alias(f"s{i}") for i, c in enumerate(configs)]
-    pairs = without(a.join(b, "t").groupBy("lid", "rid").agg(*shared), candidates)
-    lengths = lambda tokens, s: tokens.groupBy(F.col("id").alias(f"{s}id")).agg(*[F.count_if(_kept("f", c)).alias(f"{s}{i}") for i, c in enumerate(configs)])
-    both = pairs.join(lengths(left, "l"), "lid").join(lengths(right, "r"), "rid")
+    pairs = tokens(l_classes, "l").join(tokens(r_classes, "r"), "t").groupBy("lc", "rc").agg(*shared)
+    length = lambda s, i, c: F.size(F.filter("tokens", lambda x: x["f"].isin(*c))).alias(f"{s}{i}")
+    lengths = lambda found, s: found[1].select(F.col("cls").alias(f"{s}c"), *[length(s, i, c) for i, c in enumerate(configs)])
+    both = pairs.join(lengths(l_classes, "l"), "lc").join(lengths(r_classes, "r"), "rc")
     rows = [F.struct(F.lit(label_of(c)).alias("config"), F.col(f"s{i}").alias("shared"), jaccard(F.col(f"s{i}"), F.col(f"l{i}"), F.col(f"r{i}")).alias("sim")) for i, c in enumerate(configs)]
-    return both.select("lid", "rid", F.inline(F.array(*rows))).where("shared > 0").select("config", "lid", "rid", "shared", "sim")
-
-
-def top_k_by_config(pairs: DataFrame, k: int) -> DataFrame:
-    """The k best pairs of each configuration, with rank from 1."""
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy("config").orderBy(F.desc("sim"), F.desc("lid"), F.desc("rid"))
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = both.select("lc", "rc", F.inline(F.array(*rows))).where("shared > 0").select("config", "lc", "rc", "shared", "sim")
+    return _class_pairs(found, l_classes, r_classes, candidates)

@@ -72,7 +72,7 @@ def token_counts(tokens: DataFrame, n: int) -> list[int]:
     return [found.get(f, 0) for f in range(n)]
 
 
-def iteration_statistics(pairs: DataFrame, left: DataFrame, right: DataFrame, l_ids: DataFrame, r_ids: DataFrame, configs: list[Config]) -> DataFrame:
+def iteration_statistics(pairs: simjoin.ClassPairs, left: DataFrame, right: DataFrame, l_ids: DataFrame, r_ids: DataFrame, configs: list[Config]) -> DataFrame:
     """config, n_pairs (considered), mean_llen, mean_rlen; means are over all records, those without tokens too."""
     means = []
     for tokens, ids in ((left, l_ids), (right, r_ids)):
@@ -80,8 +80,7 @@ def iteration_statistics(pairs: DataFrame, left: DataFrame, right: DataFrame, l_
         means.append(lengths.agg(*[F.avg(f"n{i}").alias(f"n{i}") for i in range(len(configs))]))
     rows = means[0].join(F.broadcast(means[1].toDF(*[f"m{i}" for i in range(len(configs))])))  # a row each
     shape = rows.select(F.inline(F.array(*[F.struct(F.lit(simjoin.label_of(c)).alias("config"), F.col(f"n{i}").alias("mean_llen"), F.col(f"m{i}").alias("mean_rlen")) for i, c in enumerate(configs)])))
-    counts = pairs.groupBy("config").agg(F.count("*").alias("n_pairs"))
-    return shape.join(counts, "config", "left").select("config", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), "mean_llen", "mean_rlen")
+    return shape.join(pairs.considered(), "config", "left").select("config", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), "mean_llen", "mean_rlen")
 
 
 def _iterative(left: KeyedTable, right: KeyedTable, candidates: CandidateSet | None, k: int, given: Correspondence | None, rule, how: str, plan) -> Report:
@@ -95,9 +94,9 @@ def _iterative(left: KeyedTable, right: KeyedTable, candidates: CandidateSet | N
     a = numbered_tokens(left.df, left.key, [f.left for f in chosen])
     b = numbered_tokens(right.df, right.key, [f.right for f in chosen])
     configs = plan(chosen, a, b)
-    found = simjoin.configured_pairs(a, b, kept, configs).persist()  # all configurations' lists and the statistics come from it
+    found = simjoin.configured_pairs(a, b, kept, configs)
     ids = [t.df.select(F.col(t.key).alias("id")) for t in (left, right)]
-    return Report(configs, chosen, simjoin.top_k_by_config(found, k), iteration_statistics(found, a, b, *ids, configs), left, right, pairs)
+    return Report(configs, chosen, found.top(k), iteration_statistics(found, a, b, *ids, configs), left, right, pairs)
 
 
 def debug_leave_one_out(left: KeyedTable, right: KeyedTable, candidates: CandidateSet | None, k: int = 100, given: Correspondence | None = None) -> Report:

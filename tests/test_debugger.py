@@ -82,6 +82,17 @@ def test_token_sets_equal_brute_force(data):
         assert got == brute(sets(lrows), sets(rrows), set(), 25)
 
 
+def test_equal_records_are_one_class(spark):
+    rows = [(i, WORDS[i % 3] + " " + WORDS[i % 2], "abc"[i % 3]) for i in range(60)]
+    table = KeyedTable(spark.createDataFrame(rows, "id long, name string, town string"), "id")
+    kept = block_equal(table, table, "town", "town")
+    sets = {i: set(name.split(" ")) | {town} for i, name, town in rows}
+    banned = {(i, j) for i, _, a in rows for j, _, b in rows if a == b}
+    for k in (7, 300, 10**5):
+        got = [tuple(r)[:3] for r in debug_blocker_token_sets(table, table, kept, k, how="full").collect()]
+        assert got == brute(sets, sets, banned, k)
+
+
 def check_report(report, lrows, rrows, k):
     rows = report.top.orderBy("config", "rank").collect()
     for config in report.configs:
