@@ -11,7 +11,7 @@ that remain. Each pair of blocks returns a sum and a spanning forest, not its li
 Labels must be equal and not null; vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing. Vectors of different lengths are never compared. Repeated rows are
 vectors each for itself. An empty table gives an empty result. Only vec_id, embedding and label are
-read.
+read. Classes are told apart by a number, not by vec_id, which may be null or repeated.
 """
 
 from __future__ import annotations
@@ -163,19 +163,20 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     written = Written(vectors.sparkSession)
     vectors = vectors.select("vec_id", "embedding", "label")
     valid = vectors.where(comparable())
-    classes = written.table(valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("dim", F.size("embedding")))
+    classes = written.table(valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("n")).withColumn("dim", F.size("embedding")).withColumn("rep", F.monotonically_increasing_id()))
     eps = float(np.sqrt(2 - 2 * cosine))
     blocks = written.table(in_blocks(classes, principal_axes(classes), eps))
     pairs = near_blocks(blocks, eps, written).withColumn("pair", F.struct("a", "b"))
     own = pairs.select("pair", F.col("a").alias("block"), F.lit(False).alias("right"))
     sides = own.unionAll(pairs.where("a <> b").select("pair", F.col("b").alias("block"), F.lit(True).alias("right")))
-    kind = dict(classes.dtypes)["rep"]
     joined = blocks.select("block", "rep", "n", "embedding").join(sides, "block").drop("block")
-    found = written.table(joined.groupBy("pair").applyInArrow(lambda rows: compare(rows, cosine), f"rep {kind}, linked long, root {kind}"))
+    found = written.table(joined.groupBy("pair").applyInArrow(lambda rows: compare(rows, cosine), "rep long, linked long, root long"))
     joins = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")), written)
     linked = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
-    known = classes.join(linked, "rep", "left").join(joins, classes["rep"] == joins["node"], "left")
-    known = known.select("label", "embedding", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    rooted = classes.select("rep", "least_id").join(joins, classes["rep"] == joins["node"], "left").select("rep", "least_id", F.coalesce("root", "rep").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    known = classes.join(linked, "rep", "left").join(rooted.join(smallest, "root").select("rep", "component_id"), "rep")
+    known = known.select("label", "embedding", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "component_id")
     some = valid.join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     rest = vectors.where(~comparable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return some.unionAll(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return some.unionAll(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -50,6 +50,14 @@ def test_clusters_and_odd_rows(spark, monkeypatch, block):
         rows.append((i, [float(v) for v in x.astype(np.float32)], int(i % 3 == 0)))
     nan, inf = float("nan"), float("inf")
     rows += [(400, None, 1), (401, [0.0] * 12, 1), (402, [nan] * 12, 1), (403, [inf] + [1.0] * 11, 1), (404, [1.0] * 12, None), (405, [None] + [1.0] * 11, 1), (406, [], 0), (407, [1.0, 2.0], 0), (408, [2.0, 4.0], 0)]
+    rows += [(399, [3.0, 1.0], 0), (399, [-1.0, 5.0], 0), (399, [-1.0, 5.1], 0)]  # an id of several vectors
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 AS block", "2 AS rep")
     assert rows_of(near_vectors(df)) == plain(rows)
     assert rows_of(near_vectors(df.limit(0))) == []
+
+
+def test_null_ids_are_vectors_like_any_other(spark):
+    rows = [(None, [1.0, 0.0], 1), (None, [1.0, 0.01], 1), (3, [1.0, 0.02], 1), (None, [0.0, 1.0], 1), (None, [0.0, 1.0], 1), (None, [-1.0, 0.0], 1), (None, None, 1)]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    want = [(None, 2, 3, False), (None, 2, 3, False), (3, 2, 3, True), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True), (None, 0, None, True)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
