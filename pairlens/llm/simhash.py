@@ -9,7 +9,8 @@ Links of a task are reduced to a spanning forest; components are joined over all
 
 Nulls: a null or empty text has fingerprint zero and is linked like any other. A text with fewer
 than three words is one shingle. Repeated rows share fingerprint and component. An empty table
-gives an empty result. Only doc_id and text are read.
+gives an empty result. Only doc_id and text are read. Where one document of each component stays,
+rows are told apart by doc_id and a digest of the text, so null and repeated ids are no special case.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.llm.common import Written, components, local_components
@@ -59,13 +60,18 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints, pa.int64())], ["doc_id", "digest", "fp"])
 
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long)."""
+    """doc_id, digest (of the text), fp (the fingerprint's bits as a signed long)."""
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text", digest().alias("digest")).mapInArrow(_fingerprints, f"doc_id {kind}, digest binary, fp long")
+
+
+def digest() -> Column:
+    """128 bits of the text; null for a null text."""
+    return F.unhex(F.md5("text"))
 
 
 def masks(depth: int, errors: int) -> list[int]:
@@ -155,24 +161,31 @@ def links(prints: DataFrame, count: int, errors: int = ERRORS) -> DataFrame:
     return df.repartition(tasks, "key").mapInPandas(walk, "a long, b long")
 
 
+def _rooted(prints: DataFrame, errors: int, written: Written) -> DataFrame:
+    """fp, least_id, first (the first document of the fingerprint) and root (the same for all of a component)."""
+    # by doc_id, those without one last, then by text
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")
+    nodes = written.table(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.min(first).alias("first")))
+    joined = components(links(nodes, nodes.count(), errors), written)
+    return nodes.join(joined, nodes["fp"] == joined["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
 def near_duplicates(docs: DataFrame, errors: int = ERRORS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable by links)."""
     written = Written(docs.sparkSession)
     prints = written.table(with_fingerprints(docs))
-    nodes = written.table(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    count = nodes.count()
-    joined = components(links(nodes, count, errors), written)
-    rooted = nodes.join(joined, nodes["fp"] == joined["node"], "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(prints, errors, written)
     smallest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     labels = rooted.join(smallest, "root").select("fp", "component_id")
     return prints.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each component, with the columns of docs: one row of its smallest doc_id.
-
-    Rows without a doc_id all stay, as nothing tells which of them was chosen.
-    """
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*docs.columns).unionAll(docs.where("doc_id IS NULL"))
+def deduplicated(docs: DataFrame, errors: int = ERRORS) -> DataFrame:
+    """One document of each component, with the columns of docs: that of the smallest doc_id (null last), then of the smallest digest."""
+    written = Written(docs.sparkSession)
+    rooted = _rooted(written.table(with_fingerprints(docs)), errors, written)
+    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_chosen_id"), F.col("first.digest").alias("_chosen_digest"))
+    rows = docs.withColumn("_digest", digest())
+    kept = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["_chosen_id"]) & rows["_digest"].eqNullSafe(chosen["_chosen_digest"]), "left_semi")
+    # equal texts are in one component, so only repeats of the chosen row are left
+    return kept.dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)

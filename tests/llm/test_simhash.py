@@ -47,6 +47,13 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in got})
 
 
+def test_one_of_each_group_stays_whatever_its_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (5, b), (None, c), (None, c), (None, a), (7, None), (7, ""), (None, None)]
+    got = deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(3, a), (5, b), (None, c), (7, None)]))
+
+
 def test_trie_join_finds_all_pairs():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)
