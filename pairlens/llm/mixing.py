@@ -108,28 +108,27 @@ def _fit_source(df: pd.DataFrame) -> pd.DataFrame:
     return df[["source_no", "size"]].assign(repeats=repeats, take=take)
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words the mix takes) of every document."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words the mix takes) and the columns in carry of every document."""
     written = Written(docs.sparkSession)
-    sized = written.table(docs.select("doc_id", "source", n_words().alias("size")))
+    sized = written.table(docs.select("doc_id", "source", n_words().alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("_hash"), *carry))
     shares = written.table(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats))
     hist = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
     hist = hist.join(F.broadcast(shares) if shares.count() <= 10_000 else shares, hist["source"].eqNullSafe(shares["source"])).select("source_no", "size", "n", "source_size", "target")
     fitted = hist.groupBy("source_no").applyInPandas(_fit_source, "source_no int, size long, repeats long, take long")
     fitted = written.table(fitted.join(hist.drop("n"), ["source_no", "size"]))
-    numbered = sized.join(F.broadcast(shares) if shares.count() <= 10_000 else shares, sized["source"].eqNullSafe(shares["source"])).select("doc_id", "size", "source_no")
-    numbered = numbered.withColumn("_hash", F.xxhash64("doc_id", F.lit(seed)))
+    numbered = sized.join(F.broadcast(shares) if shares.count() <= 10_000 else shares, sized["source"].eqNullSafe(shares["source"])).select("doc_id", "size", "source_no", "_hash", *carry)
     placed = ranked(numbered, ["source_no", "size"], F.pmod("_hash", F.lit(SALTS)), ["_hash", "doc_id"], extra=fitted)
     taken = F.col("size") * (F.col("repeats") + (F.col("rank") < F.col("take")).cast("long"))
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "rank", "repeats", "take")
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "rank", "repeats", "take", *carry)
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of docs.
 
-    Rows of one doc_id (null is one too) are taken equally often: the mean of what the mix takes of them, rounded.
+    Rows are told apart by their place in a written table, so null and repeated ids are taken like any other.
     """
-    times = mix(docs).groupBy("doc_id").agg(F.round(F.sum(F.col("taken") / F.nullif(F.col("size"), F.lit(0))) / F.count("*")).cast("int").alias("_times")).where("_times > 0")
-    times = times.withColumnRenamed("doc_id", "_taken_id")
-    again = docs.join(times, docs["doc_id"].eqNullSafe(times["_taken_id"]))
+    placed = Written(docs.sparkSession).table(docs.withColumn("_row", F.monotonically_increasing_id()))
+    times = mix(placed, carry=("_row",)).where("taken > 0").select("_row", F.expr("CAST(taken DIV size AS int)").alias("_times"))
+    again = placed.join(times, "_row")
     return again.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

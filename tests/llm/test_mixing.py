@@ -4,6 +4,7 @@ import itertools
 import re
 
 import numpy as np
+import pytest
 
 from pairlens.llm.mixing import fit, knapsack, mix, mixed
 from pairlens.llm.queries import QUERIES
@@ -72,8 +73,14 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert count == {r.doc_id: r.taken // r.size for r in rows if r.taken}
     assert mix(odd_docs).count() == odd_docs.count()
     assert mix(no_docs).collect() == [] and mixed(no_docs).collect() == []
-    nameless = spark.createDataFrame([(None, "a b c", "s"), (None, "a b c", "s"), (4, "d e", "t")], "doc_id long, text string, source string")
-    assert {r.doc_id for r in mixed(nameless).collect()} <= {None, 4}
+
+
+@pytest.mark.parametrize("doc_id", [None, 8])
+def test_rows_without_an_id_of_their_own(spark, doc_id):
+    rows = [(doc_id, f"x{i % 20} y z", "a") for i in range(30)] + [(i, "d e f", "b") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {r.source: r.n for r in mixed(docs).groupBy("source").count().withColumnRenamed("count", "n").collect()}
+    assert taken == {"a": 85, "b": 34}  # 5 : 2 of 360 words, in texts of three words, never above the target
 
 
 def test_knapsack_equals_all_subsets():
