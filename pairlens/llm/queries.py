@@ -10,6 +10,7 @@ from pairlens.llm.html import main_texts
 from pairlens.llm.langid import identified
 from pairlens.llm.lm import lm_scores
 from pairlens.llm.mixing import mix
+from pairlens.llm.oracle import QUALITY_SQL
 from pairlens.llm.packing import pack
 from pairlens.llm.pii import pii_report
 from pairlens.llm.quality import quality_report
@@ -63,4 +64,4 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_embeddings, op3_language, op4_shards, op5_packing, op6_mixing, op7_quality, op8_lm, op9_pii, op10_html)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_quality": QUALITY_SQL}

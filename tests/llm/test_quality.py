@@ -2,8 +2,10 @@
 
 import re
 
+import duckdb
+
 from pairlens.llm.quality import cleaned, quality_report
-from pairlens.llm.queries import QUERIES
+from pairlens.llm.queries import ORACLE_SQL, QUERIES
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -38,6 +40,22 @@ def test_query_equals_plain_counts(spark, sf):
     same(docs, got)
 
 
+def by_sql(path):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}')")
+    return sorted(con.execute(ORACLE_SQL["op7_quality"]).fetchall())
+
+
+def test_query_equals_sql(spark, sf):
+    assert sorted(map(tuple, QUERIES["op7_quality"](spark, sf).collect())) == by_sql(f"{sf}/documents.parquet")
+
+
+def test_odd_rows_equal_sql(spark, odd_docs, no_docs, tmp_path):
+    for name, docs in (("odd", odd_docs), ("none", no_docs)):
+        docs.write.parquet(str(tmp_path / name))
+        assert sorted(map(tuple, quality_report(docs).collect())) == by_sql(f"{tmp_path}/{name}/*.parquet")
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = quality_report(odd_docs).collect()
     assert len(got) == odd_docs.count()
