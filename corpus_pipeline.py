@@ -1,7 +1,7 @@
 """Pipeline from raw documents to packed training sequences.
 
-Stages: quality rules, near duplicates, personal data, mixing, packing. Each works on all that its
-predecessor kept; all but the last return the columns of documents.
+Stages: quality rules, near duplicates, personal data, similar texts, mixing, packing. Each works on
+all that its predecessor kept; all but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pairlens.llm.mixing import mixed
 from pairlens.llm.packing import pack
 from pairlens.llm.pii import redacted
 from pairlens.llm.quality import cleaned
+from pairlens.llm.similar import one_of_each
 from pairlens.llm.simhash import deduplicated
 
 
@@ -31,6 +32,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return redacted(docs)
 
 
+def similar_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts of five-word similarity 0.8 or more, personal data counting as its kind."""
+    return one_of_each(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, each as often as the mix takes it."""
     return mixed(docs)
@@ -41,7 +47,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixing", mixing), ("packing", packing)]
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("similar_texts", similar_texts), ("mixing", mixing), ("packing", packing)]
 
 #: SQL expresses neither fingerprints nor packing; tests hold the stages against plain versions.
 ORACLE_SQL = None
