@@ -8,8 +8,8 @@ Wrappers made in different tasks are aligned with each other the same way, in tw
 host of any size needs no task of its own; all pages take part.
 
 A wrapper's slots are then judged once for the host: those in menus, headers, footers, sidebars,
-notices, adverts, forms and comments go; where the host has an article or main element only what
-is inside stays; elsewhere a slot stays if its texts are prose (long, few links, not the same on
+notices, adverts, forms and comments go; on a page that has an article or main element only what
+is inside stays; on others a slot stays if its texts are prose (long, few links, not the same on
 all pages). Each page is aligned with its host's wrapper, and the blocks in slots that stay are its
 main text.
 
@@ -224,52 +224,76 @@ def outside(label: str, in_main: bool) -> bool:
     return tag in OUTSIDE_TAGS or (tag == "header" and not in_main) or not OUTSIDE_WORDS.isdisjoint(words)
 
 
-def judged(items: list) -> list:
-    """A wrapper as decisions: (label, children, stays), stays for text slots; what lies outside the main text has no children."""
+def kept(around: str, in_main: bool, blocks: int, chars: int, links: int, constant: bool) -> tuple[bool, bool]:
+    """Whether texts stay: on pages with a main element, and on pages without."""
+    if in_main:
+        small = constant and chars < PROSE_CHARS * blocks and around not in HEADINGS and around != "p"
+        stays = not (small or 10 * links > 9 * chars and around not in HEADINGS)
+        return stays, stays
+    prose = chars >= PROSE_CHARS * blocks and 2 * links < chars and not constant
+    return False, prose or around in HEADINGS or around in ("p", "pre", "blockquote", "td") and 2 * links < chars
+
 
-    def has_main(nodes: list) -> bool:
-        return any(n[LABEL].split(".")[0] in MAIN_TAGS or has_main(n[CHILDREN]) for n in nodes if n[LABEL] != "#" and not outside(n[LABEL], False))
+def judged(items: list) -> list:
+    """A wrapper as decisions: (label, children, stays), stays for text slots as in kept(); what lies outside the main text has no children."""
 
-    def walk(nodes: list, around: str, in_main: bool, listed: bool) -> list:
+    def walk(nodes: list, around: str, in_main: bool) -> list:
         out = []
         for node in nodes:
             label, tag = node[LABEL], node[LABEL].split(".")[0]
             if label == "#":
                 blocks, chars, links, constant = node[TEXTS]
-                prose = chars >= PROSE_CHARS * blocks and 2 * links < chars and not (constant is not None and blocks >= CONSTANT_PAGES)
-                if in_main:
-                    small = constant is not None and blocks >= CONSTANT_PAGES and chars < PROSE_CHARS * blocks and around not in HEADINGS and around != "p"
-                    out.append((label, (), not (small or 10 * links > 9 * chars and around not in HEADINGS)))
-                else:
-                    out.append((label, (), not main and (prose or around in HEADINGS or around in ("p", "pre", "blockquote", "td") and 2 * links < chars)))
+                out.append((label, (), kept(around, in_main, blocks, chars, links, constant is not None and blocks >= CONSTANT_PAGES)))
             elif outside(label, in_main):
-                out.append((label, (), False))
+                out.append((label, (), (False, False)))
             else:
-                out.append((label, tuple(walk(node[CHILDREN], tag, in_main or tag in MAIN_TAGS, listed)), True))
+                out.append((label, tuple(walk(node[CHILDREN], tag, in_main or tag in MAIN_TAGS)), (True, True)))
         return out
 
-    main = has_main(items)
-    return walk(items, "", False, False)
+    return walk(items, "", False)
 
 
-def extracted(children: list, wrapper: tuple | list) -> list[str]:
-    """The page's blocks that fall in the wrapper's slots that stay, in page order."""
-    out: list[str] = []
+def has_text(children: list) -> bool:
+    return any(isinstance(c, tuple) or has_text(c[1]) for c in children)
+
+
+def has_main(children: list) -> bool:
+    """Whether a page has an article or main element with a text."""
+    nodes = [c for c in children if not isinstance(c, tuple) and not outside(c[0], False)]
+    return any(n[0].split(".")[0] in MAIN_TAGS and has_text(n[1]) or has_main(n[1]) for n in nodes)
+
+
+def places(children: list, wrapper: tuple | list) -> list[tuple | None]:
+    """The wrapper's item of each child."""
+    out: list[tuple | None] = []
     at = 0
     for child in children:
         label = "#" if isinstance(child, tuple) else child[0]
         found = next((k for k in range(at, len(wrapper)) if wrapper[k][0] == label), None)
         if found is None:  # a group's next round
             found = next((k for k in range(at) if wrapper[k][0] == label), None)
-        if found is None:
-            continue
-        at = found
-        _, inner, stays = wrapper[found]
-        if label == "#":
-            if stays:
-                out.append(child[0])
-        elif stays:
-            out += extracted(child[1], inner)
+        at = at if found is None else found
+        out.append(None if found is None else wrapper[found])
+    return out
+
+
+def extracted(children: list, wrapper: tuple | list) -> list[str]:
+    """The page's blocks that fall in the wrapper's slots that stay, in page order."""
+    without = not has_main(children)
+    out: list[str] = []
+
+    def walk(children: list, wrapper: tuple | list, around: str, in_main: bool) -> None:
+        for child, item in zip(children, places(children, wrapper), strict=True):
+            if item is None:
+                continue
+            if isinstance(child, tuple):
+                if item[2][without]:
+                    out.append(child[0])
+            elif not outside(child[0], in_main):
+                tag = child[0].split(".")[0]
+                walk(child[1], item[1], tag, in_main or tag in MAIN_TAGS)
+
+    walk(children, wrapper, "", False)
     return out
 
 

@@ -76,3 +76,10 @@ def test_alignment_makes_groups_and_options():
     assert [(n[0], n[1]) for n in both[0][2]] == [("li", "+")]
     assert both[2][2][0][3][3] == "t" and both[0][2][0][2][0][3][3] is None
     assert extracted(parse("<p>t</p>"), judged(both)) == ["t"]
+
+
+def test_pages_of_two_templates_on_a_host(spark):
+    for url in ("http://blog.example.com/x", None, "/relative"):
+        rows = [(n, url, *page(n, n % 3 == 0)) for n in range(30)]
+        got = {r.page_id: r.text for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
+        assert got == {n: want for n, _, _, want in rows}
