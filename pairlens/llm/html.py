@@ -10,8 +10,9 @@ host of any size needs no task of its own; all pages take part.
 A wrapper's slots are then judged once for the host: those in menus, headers, footers, sidebars,
 notices, adverts, forms and comments go; on a page that has an article or main element only what
 is inside stays; on others a slot stays if its texts are prose (long, few links, not the same on
-all pages). Each page is aligned with its host's wrapper, and the blocks in slots that stay are its
-main text.
+several different pages). Each page is aligned with its host's wrapper so that most blocks have a
+place, and the blocks in slots that stay are its main text; a block without a place is judged by
+its own path and length.
 
 Nulls: a null or empty html has an empty text; a page without a host is aligned with the others of
 that kind. Broken markup is read as far as it goes. Repeated rows and copies count like any page.
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,7 +66,8 @@ SALTS = 32
 BROADCAST_BYTES = 32 << 20
 
 # A node is [label, quantifier, children, texts]; a text slot has the label "#" and no children.
-# quantifier: "1", "?", "+" or "*". texts: [blocks, characters, characters in links, the text or None if it varies]
+# quantifier: "1", "?", "+" or "*". texts: [blocks, characters, characters in links, the text or None if it varies,
+# digests of CONSTANT_PAGES different pages that have it, or of all if they are fewer; none if it varies]
 LABEL, TIMES, CHILDREN, TEXTS = range(4)
 
 
@@ -145,14 +148,14 @@ def parse(source: str) -> list:
     return root[1]
 
 
-def generalized(children: list) -> list:
+def generalized(children: list, page: int = 0) -> list:
     """The wrapper of one page's items: each text constant, neighbours of one label a repeated group."""
     out: list = []
     for child in children:
         if isinstance(child, tuple):
-            node = ["#", "1", [], [1, len(child[0]), child[1], child[0]]]
+            node = ["#", "1", [], [1, len(child[0]), child[1], child[0], (page,)]]
         else:
-            node = [child[0], "1", generalized(child[1]), None]
+            node = [child[0], "1", generalized(child[1], page), None]
         _append(out, node)
     return _bounded(out)
 
@@ -180,7 +183,9 @@ def _bounded(items: list) -> list:
 def _texts(a: list | None, b: list | None) -> list | None:
     if a is None or b is None:
         return a or b
-    return [a[0] + b[0], a[1] + b[1], a[2] + b[2], a[3] if a[3] == b[3] else None]
+    same = a[3] is not None and a[3] == b[3]
+    pages = tuple(sorted({*a[4], *b[4]})[:CONSTANT_PAGES]) if same else ()
+    return [a[0] + b[0], a[1] + b[1], a[2] + b[2], a[3] if same else None, pages]
 
 
 def merged(a: list, b: list) -> list:
@@ -235,19 +240,19 @@ def kept(around: str, in_main: bool, blocks: int, chars: int, links: int, consta
 
 
 def judged(items: list) -> list:
-    """A wrapper as decisions: (label, children, stays), stays for text slots as in kept(); what lies outside the main text has no children."""
+    """A wrapper as decisions: (label, children, stays, many), stays for text slots as in kept(); what lies outside the main text has no children."""
 
     def walk(nodes: list, around: str, in_main: bool) -> list:
         out = []
         for node in nodes:
-            label, tag = node[LABEL], node[LABEL].split(".")[0]
+            label, tag, many = node[LABEL], node[LABEL].split(".")[0], node[TIMES] in "+*"
             if label == "#":
-                blocks, chars, links, constant = node[TEXTS]
-                out.append((label, (), kept(around, in_main, blocks, chars, links, constant is not None and blocks >= CONSTANT_PAGES)))
+                blocks, chars, links, constant, pages = node[TEXTS]
+                out.append((label, (), kept(around, in_main, blocks, chars, links, constant is not None and len(pages) >= CONSTANT_PAGES), many))
             elif outside(label, in_main):
-                out.append((label, (), (False, False)))
+                out.append((label, (), (False, False), many))
             else:
-                out.append((label, tuple(walk(node[CHILDREN], tag, in_main or tag in MAIN_TAGS)), (True, True)))
+                out.append((label, tuple(walk(node[CHILDREN], tag, in_main or tag in MAIN_TAGS)), (True, True), many))
         return out
 
     return walk(items, "", False)
@@ -263,35 +268,73 @@ def has_main(children: list) -> bool:
     return any(n[0].split(".")[0] in MAIN_TAGS and has_text(n[1]) or has_main(n[1]) for n in nodes)
 
 
-def places(children: list, wrapper: tuple | list) -> list[tuple | None]:
-    """The wrapper's item of each child."""
-    out: list[tuple | None] = []
-    at = 0
-    for child in children:
-        label = "#" if isinstance(child, tuple) else child[0]
-        found = next((k for k in range(at, len(wrapper)) if wrapper[k][0] == label), None)
-        if found is None:  # a group's next round
-            found = next((k for k in range(at) if wrapper[k][0] == label), None)
-        at = at if found is None else found
-        out.append(None if found is None else wrapper[found])
+def label_in(child: tuple | list) -> str:
+    return "#" if isinstance(child, tuple) else child[0]
+
+
+def fitted(child: tuple | list, item: tuple, known: dict) -> int:
+    """How many of the child's blocks have a place in the item."""
+    if isinstance(child, tuple):
+        return 1
+    key = id(child), id(item)
+    if key not in known:
+        known[key] = sum(fitted(c, found, known) for c, found in zip(child[1], places(child[1], item[1], known), strict=True) if found is not None)
+    return known[key]
+
+
+def places(children: list, wrapper: tuple | list, known: dict) -> list[tuple | None]:
+    """The wrapper's item of each child, so that in order most blocks inside have a place; out of order where else a child had none."""
+    by: dict[str, list[int]] = {}
+    for k, item in enumerate(wrapper):
+        by.setdefault(item[0], []).append(k)
+    labels = [label_in(c) for c in children]
+    if all(len(by.get(x, ())) <= 1 for x in labels):
+        return [wrapper[by[x][0]] if x in by else None for x in labels]
+    n, m = len(children), len(wrapper)
+    # children of equal label side by side are one item's
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    took = [[False] * m for _ in range(n)]
+    for i in range(n - 1, -1, -1):
+        for k in range(m - 1, -1, -1):
+            score = max(best[i][k + 1], best[i + 1][k])
+            if wrapper[k][0] == labels[i]:
+                match = 1 + 2 * fitted(children[i], wrapper[k], known) + best[i + 1][k if wrapper[k][3] else k + 1]
+                if match >= score:
+                    score, took[i][k] = match, True
+            best[i][k] = score
+    out: list[tuple | None] = [None] * n
+    i = k = 0
+    while i < n and k < m:
+        if took[i][k]:
+            out[i] = wrapper[k]
+            k += not wrapper[k][3]
+            i += 1
+        elif best[i][k + 1] >= best[i + 1][k]:
+            k += 1
+        else:
+            i += 1
+    for i, found in enumerate(out):  # a group's next round
+        if found is None and labels[i] in by:
+            out[i] = max((wrapper[k] for k in by[labels[i]]), key=lambda item: fitted(children[i], item, known))
     return out
 
 
 def extracted(children: list, wrapper: tuple | list) -> list[str]:
     """The page's blocks that fall in the wrapper's slots that stay, in page order."""
     without = not has_main(children)
+    known: dict = {}
     out: list[str] = []
 
     def walk(children: list, wrapper: tuple | list, around: str, in_main: bool) -> None:
-        for child, item in zip(children, places(children, wrapper), strict=True):
-            if item is None:
-                continue
+        for child, item in zip(children, places(children, wrapper, known), strict=True):
             if isinstance(child, tuple):
-                if item[2][without]:
-                    out.append(child[0])
+                text, links = child
+                stays = item[2] if item is not None else kept(around, in_main, 1, len(text), links, False)
+                if stays[without]:
+                    out.append(text)
             elif not outside(child[0], in_main):
                 tag = child[0].split(".")[0]
-                walk(child[1], item[1], tag, in_main or tag in MAIN_TAGS)
+                walk(child[1], item[1] if item is not None else (), tag, in_main or tag in MAIN_TAGS)
 
     walk(children, wrapper, "", False)
     return out
@@ -305,7 +348,8 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     by_host: dict[str, list] = {}
     for batch in batches:
         for host, source in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
-            items = generalized(parse(source.as_py() or ""))
+            page = source.as_py() or ""
+            items = generalized(parse(page), xxhash.xxh64_intdigest(page.encode(errors="surrogatepass")))
             by_host[host] = aligned(by_host[host], items) if host in by_host else items
     part = TaskContext.get().partitionId()
     n = len(by_host)

@@ -1,5 +1,7 @@
 """Main text of pages with known articles."""
 
+import itertools
+
 from pairlens.llm.html import aligned, extracted, generalized, judged, main_texts, parse
 from pairlens.llm.queries import QUERIES
 
@@ -83,3 +85,24 @@ def test_pages_of_two_templates_on_a_host(spark):
         rows = [(n, url, *page(n, n % 3 == 0)) for n in range(30)]
         got = {r.page_id: r.text for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
         assert got == {n: want for n, _, _, want in rows}
+
+
+def test_every_block_of_an_article_has_a_place():
+    texts = {x: f"A text of the kind {x} that is long enough to be read as prose." for x in ("table", "p", "h2")}
+    item = {x: f"<{x}><td>{t}</td></{x}>" if x == "table" else f"<{x}>{t}</{x}>" for x, t in texts.items()}
+    sources = [f"<article>{x}</article>" for x in (f"<div>{item['table']}</div>", f"{item['p']}<div>{item['table']}</div>", f"<div>{item['h2']}</div>{item['p']}<div>{item['table']}</div>")]
+    for order in itertools.permutations(sources):
+        wrapper = []
+        for source in order:
+            items = generalized(parse(source))
+            wrapper = aligned(wrapper, items) if wrapper else items
+        for source in order:
+            assert extracted(parse(source), judged(wrapper)) == [t for t, _ in parse_texts(source)]
+    assert extracted(parse(sources[2]), []) == [t for t, _ in parse_texts(sources[2])]
+
+
+def test_copies_of_a_page_make_no_constant(spark):
+    source = "<article><p>Some words of an article.</p><figure>short caption</figure></article>"
+    rows = [(n, "http://copies.example.com/x", source) for n in range(8)]
+    got = main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {"Some words of an article.\nshort caption"}
