@@ -2,7 +2,8 @@
 
 Kinds of the base contract: email, ip, card (Luhn), phone; they stand whatever their context. Kinds
 that the method adds: iban (mod 97 confirms), ssn (needs valid parts), local_phone and secret; they
-count when their score, moved by the words before them, reaches THRESHOLD.
+count when their score, moved by the words around them, reaches THRESHOLD. Words for a kind count on
+both sides; words against it only before it, where they name what follows.
 
 Nulls: a null or empty text has no spans. Each text is searched whole, in time about linear in its
 length. Rows are judged one by one, so ties, repeated rows and other columns do not matter.
@@ -26,13 +27,17 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+# of no width, so that every start is tried
+IBAN = re.compile(r"\b(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}))")
 SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9-])")
 SECRET = re.compile(r"(?i)\b(?:api[_-]?key|secret|token|password|passwd)\b\x20?[=:]\x20?[\"']?([A-Za-z0-9/+_=-]{16,})")
 DIGIT = re.compile("[0-9]")
-#: Lengths of account numbers by country.
-IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+#: Lengths of account numbers by country, of the whole registry.
+IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 "
+    "LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+).split()}
 #: Words that speak for a kind, and words that speak against any.
 CONTEXT = {
     "iban": ("account", "bank", "iban", "konto", "transfer"),
@@ -43,8 +48,9 @@ CONTEXT = {
 AGAINST = ("example", "invoice", "isbn", "part", "serial", "version")
 BASE_SCORE = {"iban": 0.8, "ssn": 0.5, "local_phone": 0.5, "secret": 0.7}
 THRESHOLD = 0.6
-NEARBY = 40  # characters before a span in which context is looked for
+NEARBY = 40  # characters before and behind a span in which context is looked for
 WORDS = re.compile("[a-z]+")
+LETTERS = LOCAL_CHARS[:52]
 
 
 def luhn(digits: str) -> bool:
@@ -73,25 +79,31 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
-def score(kind: str, text: str, start: int) -> float:
-    near = set(WORDS.findall(text[max(0, start - NEARBY) : start].lower()))
-    return BASE_SCORE[kind] + 0.3 * any(w in near for w in CONTEXT[kind]) - 0.3 * any(w in near for w in AGAINST)
+def score(kind: str, text: str, start: int, end: int) -> float:
+    before = set(WORDS.findall(text[max(0, start - NEARBY) : start].lower()))
+    behind = text[end : end + NEARBY]
+    if text[end + NEARBY : end + NEARBY + 1].isalpha():  # the last word is cut
+        behind = behind.rstrip(LETTERS)
+    near = before.union(WORDS.findall(behind.lower()))
+    return BASE_SCORE[kind] + 0.3 * any(w in near for w in CONTEXT[kind]) - 0.3 * any(w in before for w in AGAINST)
 
 
 def added(text: str) -> Iterator[tuple[str, int, int]]:
+    done = 0
     for m in IBAN.finditer(text):
-        if (size := IBAN_LENGTHS.get(m[0][:2])) is None:
+        if m.start() < done or (size := IBAN_LENGTHS.get(m[1][:2])) is None:
             continue
         # what was taken may run into a following word: cut to the country's length
         kept, n = 0, 0
-        for c in m[0]:
+        for c in m[1]:
             kept += 1
             n += c != " "
             if n == size:
                 break
-        account = m[0][:kept].replace(" ", "")
+        account = m[1][:kept].replace(" ", "")
         if len(account) == size and mod97(account):
-            yield "iban", m.start(), m.start() + kept
+            done = m.start() + kept
+            yield "iban", m.start(), done
     for m in SSN.finditer(text):
         if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
             yield "ssn", *m.span()
@@ -116,7 +128,8 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
             out += [("phone", *m.span()) for m in PHONE.finditer(text) if 10 <= sum(c.isdigit() for c in m[0]) <= 15]
         taken = [(a, b) for _, a, b in out]
         for kind, a, b in added(text):
-            if score(kind, text, a) >= THRESHOLD and not any(a < y and x < b for x, y in taken):
+            # digits of an account may pass for a card: the account holds them whole
+            if score(kind, text, a, b) >= THRESHOLD and not any(a < y and x < b and not (kind == "iban" and a <= x and y <= b) for x, y in taken):
                 out.append((kind, a, b))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 

@@ -66,6 +66,22 @@ def test_added_kinds():
     assert redact("mail a@b.cd or +1 415 555 0199!") == "mail [EMAIL] or [PHONE]!"
 
 
+def test_accounts_side_by_side_and_of_all_countries():
+    accounts = lambda t: [t[a:b] for k, a, b in find_spans(t) if k == "iban"]
+    assert accounts("DE89370400440532013000 GB29NWBK60161331926819") == ["DE89370400440532013000", "GB29NWBK60161331926819"]
+    assert accounts("KD10 42 DE89370400440532013000") == ["DE89370400440532013000"]
+    for account in ("CZ6508000000192000145399", "GR1601101250000000012300695", "HU42117730161111101800000000", "RO49AAAA1B31007593840000", "TR330006100519786457841326", "AE070331234567890123456", "SA0380000000608010167519"):
+        assert accounts(f"zu {account}.") == [account]
+    find_spans("AB12" * 100_000 + " AB12 CD34" * 50_000)
+
+
+def test_context_on_both_sides():
+    kinds = lambda t: [k for k, _, _ in find_spans(t)]
+    assert kinds("123-45-6789 is my social security number") == ["ssn"]
+    assert kinds("(415) 555-0199 is my phone") == ["local_phone"]
+    assert kinds("123-45-6789 is what I have read there") == []
+
+
 def test_long_texts_take_linear_time():
     for text in ("a" * 400_000 + "@", "1." * 200_000, "1 " * 200_000, "@a." * 100_000, "+1" * 200_000, "(" * 200_000):
         find_spans(text)
