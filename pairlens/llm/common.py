@@ -32,11 +32,11 @@ class Written:
         self.root = f"{shared_dir(spark)}/pairlens/{uuid.uuid4().hex}"
         self.count = 0
 
-    def table(self, df: DataFrame, file_rows: int = 0) -> DataFrame:
+    def table(self, df: DataFrame, file_rows: int = 0, compression: str = "snappy") -> DataFrame:
         """df, written and to be read again; file_rows: rows in a file at most, if not 0."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.option("maxRecordsPerFile", file_rows).parquet(path)
+        df.write.option("maxRecordsPerFile", file_rows).option("compression", compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._pairlens_path = path
         return out

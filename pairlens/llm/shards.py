@@ -3,12 +3,12 @@
 Rows are sorted by a key (checksum of the text, then a hash of the id, so that equal texts lie
 together, yet a group of copies of any size can be cut). Candidate boundaries are tried in rounds:
 each round counts, over all rows, the exact bytes and rows of every cell between probes, and
-refines the cells that hold a wanted splitter, until each splitter is within tolerance. Then rows
-are exchanged once, by the ranges found.
+refines the cells that hold a wanted splitter, until each splitter is within tolerance. Then whole
+rows are exchanged once, by the ranges found, and written in their order.
 
 Nulls: a null text has no bytes (size 1, checksum 0); a null doc_id is a row like any other. Equal
 rows are told apart by their place in the written table, so they too can be cut. An empty table
-gives an empty result. Only doc_id and text are read: other columns and their names do not matter.
+gives an empty result. Columns other than doc_id and text are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -115,8 +115,8 @@ def _above(splitter: tuple) -> Column:
     return (key > F.lit(splitter[0])) | ((key == F.lit(splitter[0])) & (F.col(KEYS[1]) >= F.lit(splitter[1])))
 
 
-def histogram_shards(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 4, tolerance: float = 0.001) -> DataFrame:
-    """Every row with size, text_crc32, shard and slot; shards hold near equal bytes.
+def sharded(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 4, tolerance: float = 0.001) -> DataFrame:
+    """Every row, whole, as document, with size, text_crc32, shard and slot, as written by shard and slot; shards hold near equal bytes.
 
     tolerance: of a shard's mean bytes, for the boundaries of shards; a single text is never cut,
     so a boundary may miss by half the longest text. Each shard is sorted in ranges_per_shard parts.
@@ -124,7 +124,8 @@ def histogram_shards(docs: DataFrame, shards: int = 16, ranges_per_shard: int =
     written = Written(docs.sparkSession)
     text = text_or_empty()
     key = F.shiftleft(F.crc32(text.cast("binary")), 31).bitwiseOR(F.coalesce(F.xxhash64("doc_id"), F.lit(0)).bitwiseAND(F.lit(2**31 - 1)))
-    table = written.table(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("key"), F.monotonically_increasing_id().alias("place")))
+    document = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")
+    table = written.table(docs.select(document, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("key"), F.monotonically_increasing_id().alias("place")), compression="zstd")
     total = table.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     parts = shards * ranges_per_shard
     probes = [Probe(target=total * i / parts, tolerance=total / shards * (tolerance if i % ranges_per_shard == 0 else max(tolerance, 0.02))) for i in range(1, parts)] if total else []
@@ -132,9 +133,17 @@ def histogram_shards(docs: DataFrame, shards: int = 16, ranges_per_shard: int =
     above = sum((_above(s).cast("int") for s, _ in found), F.lit(0))
     below = [0, *(n for _, n in found)]
     offsets = F.array(*[F.lit(below[i] - below[i // ranges_per_shard * ranges_per_shard]).cast("long") for i in range(len(below))])
-    order = Window.partitionBy("range").orderBy("key", "doc_id", "place")
-    return (
+    order = Window.partitionBy("range").orderBy("key", "document.doc_id", "place")
+    placed = (
         table.withColumn("range", above)
         .withColumn("slot", (F.row_number().over(order) - 1).cast("long") + F.element_at(offsets, F.col("range") + 1))
-        .select("doc_id", "size", "text_crc32", F.floor(F.col("range") / ranges_per_shard).cast("int").alias("shard"), "slot")
+        .select("document", "size", "text_crc32", F.floor(F.col("range") / ranges_per_shard).cast("int").alias("shard"), "slot")
     )
+    out = written.table(placed, compression="zstd")
+    written.drop(table)
+    return out
+
+
+def histogram_shards(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 4, tolerance: float = 0.001) -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot of the sharded rows."""
+    return sharded(docs, shards, ranges_per_shard, tolerance).select("document.doc_id", "size", "text_crc32", "shard", "slot")

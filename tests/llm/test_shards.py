@@ -5,7 +5,7 @@ import zlib
 import pytest
 
 from pairlens.llm.queries import QUERIES
-from pairlens.llm.shards import histogram_shards
+from pairlens.llm.shards import histogram_shards, sharded
 
 
 def check(rows, docs, shards):
@@ -43,3 +43,13 @@ def test_equal_rows_are_cut(spark):
 def test_odd_rows(spark, odd_docs, no_docs):
     check(histogram_shards(odd_docs, 3).collect(), odd_docs.collect(), 3)
     assert histogram_shards(no_docs).collect() == []
+
+
+def test_whole_rows_are_sharded(odd_docs):
+    """The operator's output, written in the order of slots, holds all columns of all rows."""
+    out = sharded(odd_docs, 3)
+    plain = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    assert out.select("document.*").columns == odd_docs.columns
+    assert plain(out.select("document.*")) == plain(odd_docs)
+    assert out.inputFiles()
+    check(out.select("document.doc_id", "size", "text_crc32", "shard", "slot").collect(), odd_docs.collect(), 3)
