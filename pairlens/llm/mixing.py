@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairlens.llm.common import Written, n_words, ranked
+from pairlens.llm.common import Written, document, n_words, ranked, restored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 REPEATS = 3
@@ -128,7 +128,8 @@ def mixed(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by their place in a written table, so null and repeated ids are taken like any other.
     """
-    placed = Written(docs.sparkSession).table(docs.withColumn("_row", F.monotonically_increasing_id()))
-    times = mix(placed, carry=("_row",)).where("taken > 0").select("_row", F.expr("CAST(taken DIV size AS int)").alias("_times"))
-    again = placed.join(times, "_row")
-    return again.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    rows = Written(docs.sparkSession).table(docs.select(document(docs), F.monotonically_increasing_id().alias("row")))
+    sized = rows.select("row", *[F.col("document").getField(c).alias(c) for c in ("doc_id", "text", "source")])
+    times = mix(sized, carry=("row",)).where("taken > 0").select("row", F.expr("CAST(taken DIV size AS int)").alias("times"))
+    again = rows.join(times, "row").select("document", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth"))
+    return restored(again, docs)

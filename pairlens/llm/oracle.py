@@ -15,8 +15,7 @@ def _count(pattern: str) -> str:
 
 
 _NOTICES = " OR ".join(f"contains(lower(line), {_text(p)})" for p in q.BOILERPLATE)
-_MENU = "(^|[^a-z])(" + "|".join(q.NAVIGATION) + ")($|[^a-z])"
-_SYMBOLS = r"[#*$%&<>{}~^=\\]+"
+_ENDS = "[" + q.MARKS + q.UNMARKED + "][" + q.CLOSING.replace("]", r"\]") + r"]*[\x20\x09-\x0D]*\z"
 
 QUALITY_SQL = rf"""
 WITH docs AS MATERIALIZED (
@@ -32,11 +31,11 @@ WITH docs AS MATERIALIZED (
   FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM docs)
 ), judged AS (
   SELECT *, has_word AND (
-    NOT regexp_matches(line, {_text(q.TERMINAL)})
-    OR {_count(_SYMBOLS)} > n * {q.MAX_SYMBOLS_A_WORD}
+    (n <= {q.SHORT_LINE} AND NOT regexp_matches(line, {_text(_ENDS)}))
+    OR {_count(q.SYMBOLS + "+")} > n * {q.MAX_SYMBOLS_A_WORD}
     OR {_count("[!?]+")} > greatest(n * {q.MAX_SHOUTS_A_WORD}, 2)
-    OR {_count("[|»›•·]")} > greatest(n * {q.MAX_SEPARATORS_A_WORD}, 1)
-    OR (n <= {q.SHORT_LINE // 3} AND regexp_matches(lower(line), {_text(_MENU)}))
+    OR {_count(q.SEPARATORS)} > greatest(n * {q.MAX_SEPARATORS_A_WORD}, 1)
+    OR (n <= {q.SHORT_LINE // 3} AND regexp_matches(lower(line), {_text(q.MENU)}))
     OR (n <= {3 * q.SHORT_LINE} AND ({_NOTICES}))
   ) AS fails FROM lines
 ), by_doc AS (

@@ -1,20 +1,28 @@
-"""Texts of five-word Jaccard similarity 0.8 or more: MinHash bands propose pairs, the texts confirm them.
-
-Equal texts (but for case and white space) count once. Texts that agree in one of BANDS bands meet
-in a group. A small group gives all its pairs; of a larger one each text is paired with the smallest
-only, and those that are not confirmed meet again in groups cut by further bands, so that neither
-many near copies nor a common passage make pairs with the square of their number. Every proposed
-pair is confirmed by the exact similarity. A pair of similarity 0.8 shares a band with probability
-1 - (1 - 0.8 ** 3) ** 20 = 0.9999994; recall is not whole only where a group is still large after LEVELS cuts.
-
-Nulls: a null text counts as an empty one. A text with fewer than five words is one shingle. An
-empty table gives an empty result. Only doc_id and text are read.
+"""One document of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+
+SimHash proposes first: fingerprints over five-word shingles are joined by the binary trie. A pair
+of similarity 0.8 differs in some ten of 64 bits, though, where no trie can prune, so MinHash bands
+propose the rest. Every proposed pair is confirmed: by an estimate from the signatures, which only
+refuses pairs far below, then by the exact Jaccard similarity of the two whole texts.
+
+Texts that agree in one of BANDS bands meet in a group. A small group gives all its pairs; of a
+larger one each text is paired with the smallest only, and those that are not confirmed meet again:
+in groups cut by further bands, then, round by round, without the text that they were held against,
+until no large group is left. So neither many near copies nor a common passage make pairs with the
+square of their number, and of the documents that stay no two of one group are similar. A pair of
+similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 4) ** 15 = 0.9996.
+
+Nulls: a null text counts as an empty one, and empty texts as copies of each other. A text with
+fewer than five words is one shingle. Repeated rows and rows with null or repeated ids are told apart
+by their place in a written table. An empty table gives an empty result. Only doc_id and text are
+read; other columns, whatever their names, are carried along.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,21 +30,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import Written, components
+from pairlens.llm.common import Written, components, document, restored
+from pairlens.llm.simhash import SEED, links, majority
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SEED = 42
-BANDS = 20
-ROWS = 3  # hashes of a band
-MORE_BANDS = 8  # of each cut of a large group
+BANDS, ROWS = 15, 4  # hashes of a band
+MORE_BANDS, MORE_ROWS = 8, 3  # of each cut of a large group
 LEVELS = 2  # cuts of a large group
-SMALL_GROUP = 24
+SMALL_GROUP = 8
+DOUBT = 0.6  # estimated similarity from which texts are compared: five standard errors below SIMILARITY
 CHUNK = 1 << 12  # shingles hashed at once
 _rng = np.random.default_rng(SEED)
-_HASHES = ROWS * (BANDS + LEVELS * MORE_BANDS)
-FACTORS, SHIFTS = (_rng.integers(0, 2**64, _HASHES, dtype=np.uint64) for _ in range(2))
+HASHES = ROWS * BANDS + LEVELS * MORE_ROWS * MORE_BANDS
+FACTORS, SHIFTS = (_rng.integers(0, 2**64, HASHES, dtype=np.uint64) for _ in range(2))
 FACTORS |= np.uint64(1)
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -44,80 +53,137 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of the runs of SHINGLE words, each once."""
+    """64-bit hashes of the runs of SHINGLE words, in order, repeats included."""
+    coded = pa.array(words, pa.binary()).dictionary_encode()
     digest = xxhash.xxh64_intdigest
-    n = max(1, len(words) - SHINGLE + 1)
-    return np.unique(np.fromiter((digest(b" ".join(words[i : i + SHINGLE]), SEED) for i in range(n)), dtype=np.uint64, count=n))
+    each = np.fromiter((digest(w, SEED) for w in coded.dictionary.to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
+    hashes = each[coded.indices.to_numpy()]
+    width = min(SHINGLE, len(words))
+    out = np.full(len(words) - width + 1, len(words) < SHINGLE, dtype=np.uint64)
+    for k in range(width):
+        out = (out ^ hashes[k : k + len(out)]) * STEP
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """The least of each of HASHES hashes over all shingles."""
+    least = np.full(HASHES, 2**64 - 1, dtype=np.uint64)
+    for i in range(0, len(hashes), CHUNK):
+        mixed = FACTORS[:, None] * hashes[None, i : i + CHUNK]
+        mixed += SHIFTS[:, None]
+        least = np.minimum(least, mixed.min(axis=1))
+    return least
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
+def bands(least: np.ndarray) -> np.ndarray:
     """Keys of all bands, those of the first groups first."""
-    least = np.full(_HASHES, 2**64 - 1, dtype=np.uint64)
-    for i in range(0, len(hashes), CHUNK):
-        mixed = FACTORS[:, None] * hashes[None, i : i + CHUNK] + SHIFTS[:, None]
-        least = np.minimum(least, mixed.min(axis=1))
-    parts = least.reshape(-1, ROWS)
+    cut = ROWS * BANDS
+    parts = [*least[:cut].reshape(-1, ROWS), *least[cut:].reshape(-1, MORE_ROWS)]
     return np.fromiter((xxhash.xxh64_intdigest(p.tobytes(), i) for i, p in enumerate(parts)), dtype=np.uint64, count=len(parts)).view(np.int64)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        norms, keys = [], []
-        for text in batch.column(2):
+        norms, prints, marks, keys = [], [], [], []
+        for text in batch.column("text"):
             words = words_of(text.as_py())
+            found = shingles(words) if words else np.zeros(1, dtype=np.uint64)
+            least = signature(np.unique(found))
             norms.append(hashlib.md5(b" ".join(words)).digest())
-            keys.append(bands(shingles(words)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(norms, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["_node", "doc_id", "_digest", "_norm", "_keys"])
+            prints.append(majority(found))
+            marks.append((least >> np.uint64(56)).astype(np.uint8).tobytes())
+            keys.append(bands(least))
+        fps = np.array(prints, dtype=np.uint64).view(np.int64)
+        columns = [batch.column("node"), batch.column("doc_id"), batch.column("digest"), pa.array(norms, pa.binary()), pa.array(fps), pa.array(marks, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "doc_id", "digest", "norm", "fp", "marks", "keys"])
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose estimated similarity is not far below SIMILARITY."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("a_marks", "b_marks"))
+        equal = (x == y).mean(axis=1)  # one in 256 by chance
+        yield batch.select(["a", "b"]).filter(pa.array((equal - 1 / 256) / (1 - 1 / 256) >= DOUBT))
+
+
+@lru_cache(maxsize=64)
+def _set_of(text: str | None) -> np.ndarray:
+    words = words_of(text)
+    return np.unique(shingles(words)) if words else np.zeros(1, dtype=np.uint64)
+
+
+def similar(x: str | None, y: str | None) -> bool:
+    p, q = _set_of(x), _set_of(y)
+    if min(len(p), len(q)) < SIMILARITY * max(len(p), len(q)):
+        return False
+    shared = len(np.intersect1d(p, q, assume_unique=True))
+    return shared >= SIMILARITY * (len(p) + len(q) - shared)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        near = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            p, q = shingles(words_of(x.as_py())), shingles(words_of(y.as_py()))
-            shared = len(np.intersect1d(p, q, assume_unique=True))
-            near.append(shared >= SIMILARITY * (len(p) + len(q) - shared))
-        yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+        near = [similar(x.as_py(), y.as_py()) for x, y in zip(batch.column("a_text"), batch.column("b_text"), strict=True)]
+        yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+
+def confirmed(pairs: DataFrame, marks: DataFrame, texts: DataFrame, written: Written) -> DataFrame:
+    """The pairs (a, b) of nodes that are similar. marks: (node, marks), texts: (node, text)."""
+    for table, column, test in ((marks, "marks", _likely), (texts, "text", _confirm)):
+        side = lambda s: table.select(F.col("node").alias(s), F.col(column).alias(f"{s}_{column}"))  # noqa: B023, E731
+        pairs = written.table(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(test, "a long, b long"))
+    return pairs
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    side = lambda s: texts.select(F.col("_node").alias(s), F.col("text").alias(f"{s}_text"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text").mapInArrow(_confirm, "a long, b long")
+def by_fingerprint(reps: DataFrame, written: Written) -> DataFrame:
+    """Pairs (a, b) of nodes: of each component of fingerprints the trie links, each node with the least one."""
+    prints = written.table(reps.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")))
+    joined = components(links(prints.select("fp"), written), written)
+    rooted = prints.join(joined, prints["fp"] == joined["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n")
+    groups = rooted.groupBy("root").agg(F.min("least").alias("a"), F.sum("n").alias("n")).where("n > 1")
+    named = rooted.join(groups.select("root", "a"), "root").select("fp", "a")
+    return reps.join(named, "fp").select("a", F.col("node").alias("b")).where("a < b")
 
 
 def similar_pairs(reps: DataFrame, texts: DataFrame, written: Written) -> DataFrame:
-    """Confirmed pairs (a, b) of nodes, enough to link all that the groups hold."""
-    found = None
-    member = reps.select("_node", "_keys", F.explode(F.slice("_keys", 1, BANDS)).alias("key"))
-    for level in range(LEVELS + 1):
+    """Confirmed pairs (a, b) of nodes, enough to link all that the groups hold. reps: (node, fp, marks, keys)."""
+    marks = reps.select("node", "marks")
+    found = confirmed(by_fingerprint(reps, written), marks, texts, written)
+    member = reps.select("node", "keys", F.explode(F.slice("keys", 1, BANDS)).alias("key"))
+    level = 0
+    while True:
         member = written.table(member)
-        sizes = member.groupBy("key").agg(F.count("*").alias("n"), F.min("_node").alias("least")).where("n > 1")
+        sizes = member.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
         sized = written.table(member.join(sizes, "key"))
-        small = sized.where(F.col("n") <= SMALL_GROUP).groupBy("key").agg(F.collect_list("_node").alias("nodes"))
+        small = sized.where(F.col("n") <= SMALL_GROUP).groupBy("key").agg(F.collect_list("node").alias("nodes"))
         small = small.select("nodes", F.explode("nodes").alias("a")).select("a", F.explode("nodes").alias("b")).where("a < b")
-        large = sized.where((F.col("n") > SMALL_GROUP) & (F.col("_node") != F.col("least")))
-        pairs = small.unionAll(large.select(F.col("least").alias("a"), F.col("_node").alias("b"))).distinct()
-        near = written.table(_confirmed(written.table(pairs), texts))
-        found = near if found is None else found.unionAll(near)
-        if level == LEVELS or large.isEmpty():
-            break
-        start = BANDS + level * MORE_BANDS + 1
-        rest = large.join(near, (large["least"] == near["a"]) & (large["_node"] == near["b"]), "left_anti")
-        member = rest.select("_node", "_keys", "key", F.explode(F.slice("_keys", start, MORE_BANDS)).alias("cut")).select("_node", "_keys", F.xxhash64("key", "cut").alias("key"))
-    return found
+        large = sized.where((F.col("n") > SMALL_GROUP) & (F.col("node") != F.col("least")))
+        pairs = small.unionAll(large.select(F.col("least").alias("a"), F.col("node").alias("b"))).distinct()
+        near = confirmed(pairs.join(found, ["a", "b"], "left_anti"), marks, texts, written)
+        found = written.table(found.unionAll(near))
+        rest = large.join(found, (large["least"] == found["a"]) & (large["node"] == found["b"]), "left_anti").select("node", "keys", "key")
+        if level < LEVELS:
+            start = BANDS + level * MORE_BANDS + 1
+            rest = rest.select("node", "keys", "key", F.explode(F.slice("keys", start, MORE_BANDS)).alias("cut")).select("node", "keys", F.xxhash64("key", "cut").alias("key"))
+        if rest.isEmpty():
+            return found
+        member, level = rest, level + 1
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each component of similar texts, with the columns of docs: that of the smallest doc_id (null last)."""
+    """One document of each group of near duplicates, with the columns of docs: that of the smallest doc_id (null last)."""
     written = Written(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
-    rows = written.table(docs.withColumn("_node", F.monotonically_increasing_id()))
-    signed = rows.select("_node", "doc_id", "text", F.unhex(F.md5("text")).alias("_digest")).mapInArrow(_signatures, f"_node long, doc_id {kind}, _digest binary, _norm binary, _keys array<bigint>")
-    signed = written.table(signed)
-    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_digest", "_node")
-    firsts = signed.groupBy("_norm").agg(F.min(first).alias("first")).select("first", F.col("first._node").alias("_node"))
-    reps = written.table(signed.select("_node", "_keys").join(firsts, "_node"))
-    joined = written.table(components(similar_pairs(reps, rows.select("_node", "text"), written), written))
-    rooted = reps.select("_node", "first").join(joined, reps["_node"] == joined["node"], "left")
-    chosen = rooted.groupBy(F.coalesce("root", "_node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first._node").alias("_node"))
-    return rows.join(chosen, "_node", "left_semi").select(*docs.columns)
+    rows = written.table(docs.select(document(docs), F.monotonically_increasing_id().alias("node")))
+    texts = rows.select("node", "document.text")
+    signed = rows.select("node", "document.doc_id", "document.text", F.unhex(F.md5("document.text")).alias("digest"))
+    signed = written.table(signed.mapInArrow(_signatures, f"node long, doc_id {kind}, digest binary, norm binary, fp long, marks binary, keys array<bigint>"))
+    # by doc_id, those without one last, then by text
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest", "node")
+    firsts = signed.groupBy("norm").agg(F.min(first).alias("first")).select("first", F.col("first.node").alias("node"))
+    reps = written.table(signed.select("node", "fp", "marks", "keys").join(firsts, "node"))
+    joined = components(similar_pairs(reps, texts, written), written)
+    rooted = reps.select("node", "first").join(joined.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
+    chosen = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.node").alias("node"))
+    kept = rows.join(chosen, "node", "left_semi")
+    return restored(kept, docs)

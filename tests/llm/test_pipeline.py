@@ -8,7 +8,7 @@ from pairlens.llm.pii import redact
 from tests.llm.test_mixing import check as check_mix
 from tests.llm.test_packing import check as check_packing
 from tests.llm.test_quality import plain as plain_quality
-from tests.llm.test_simhash import plain as plain_simhash
+from tests.llm.test_similar import plain_kept
 
 pipeline = importlib.import_module("corpus_pipeline")
 
@@ -45,8 +45,7 @@ def test_quality_rejects_what_fails(steps):
 
 
 def test_near_duplicates_keep_one_of_each_group(steps):
-    groups = plain_simhash([(r.doc_id, r.text) for r in steps["quality"].collect()])
-    assert ids(steps["near_duplicates"]) == sorted({c for _, _, c in groups})
+    assert ids(steps["near_duplicates"]) == plain_kept([(r.doc_id, r.text) for r in steps["quality"].collect()])
 
 
 def test_personal_data_is_replaced(steps):
@@ -61,6 +60,10 @@ def test_mix_and_packing(spark, steps):
     check_packing(steps["packing"].collect(), steps["mixing"].collect())
 
 
+def test_the_stages_are_those_asked_for():
+    assert [name for name, _ in pipeline.STAGES] == ["quality", "near_duplicates", "personal_data", "mixing", "packing"]
+
+
 def test_run_equals_the_stages(spark, sf, steps):
     assert ids(pipeline.run(spark, sf)) == ids(steps["packing"])
 

@@ -76,6 +76,13 @@ def test_verdicts(spark):
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "length(text) + 0L AS n_chars", "1 AS size", "2 AS _lines")
     assert {r.doc_id: r.kept for r in quality_report(df).collect()} == {1: True, 2: False, 3: True, 4: False, 5: False}
-    left = {r.doc_id: r for r in cleaned(df.drop("_lines")).collect()}
+    left = {r.doc_id: r for r in cleaned(df).collect()}
     assert set(left) == {1, 3} and left[3].text == PROSE and left[3].n_chars == len(PROSE)
-    assert left[1].text == rows[0][1] and cleaned(df.drop("_lines")).columns == ["doc_id", "text", "n_chars", "size"]
+    assert left[1].text == rows[0][1] and cleaned(df).columns == df.columns
+
+
+def test_a_long_line_needs_no_mark_at_its_end(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, long), (2, f"{long}\nA short line without its mark"), (3, "یہ ایک مکمل جملہ ہے جو دس سے زیادہ الفاظ رکھتا ہے۔"), (4, "これは文です。」 これも文です。」 " * 6)]
+    left = {r.doc_id: r.text for r in cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left[1] == left[2] == long and set(left) >= {1, 2, 3}

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 from pairlens.llm.queries import QUERIES
-from pairlens.llm.simhash import deduplicated, near_duplicates, trie_join
+from pairlens.llm.simhash import near_duplicates, trie_join
 
 
 def plain_fingerprint(text):
@@ -42,16 +42,6 @@ def test_odd_rows(spark, odd_docs, no_docs):
     got = sorted(tuple(r) for r in near_duplicates(odd_docs).collect())
     assert got == plain([(r.doc_id, r.text) for r in odd_docs.collect()])
     assert near_duplicates(no_docs).collect() == []
-    kept = deduplicated(odd_docs)
-    assert kept.columns == odd_docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in got})
-
-
-def test_one_of_each_group_stays_whatever_its_id(spark):
-    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
-    rows = [(3, a), (5, a), (5, b), (5, b), (None, c), (None, c), (None, a), (7, None), (7, ""), (None, None)]
-    got = deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(3, a), (5, b), (None, c), (7, None)]))
 
 
 def test_trie_join_finds_all_pairs():
@@ -60,7 +50,7 @@ def test_trie_join_finds_all_pairs():
     flips = np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)
     more = np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)
     prints = np.unique(np.concatenate([base, base ^ flips, base ^ flips ^ more]))
-    x, y = trie_join(np.zeros(len(prints), dtype=np.int64), prints, 0)
+    x, y = trie_join(np.zeros(len(prints), dtype=np.int64), np.zeros(len(prints), dtype=bool), prints)
     got = {(min(a, b), max(a, b)) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
     want = {(int(a), int(b)) for i, a in enumerate(prints) for b in prints[i + 1 :] if int(a ^ b).bit_count() <= 2}
     assert got == want
@@ -71,5 +61,36 @@ def test_depths_agree(spark, monkeypatch):
 
     docs = spark.range(3000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(0, 30), i -> concat('w', pmod(hash(id div 3, i), 500))), 'end', pmod(id, 3)) AS text")
     want = sorted(tuple(r) for r in near_duplicates(docs).collect())
-    monkeypatch.setattr(simhash, "NODE_ROWS", 8)
+    monkeypatch.setattr(simhash, "NODE_ROWS", 40)
     assert sorted(tuple(r) for r in near_duplicates(docs).collect()) == want
+
+
+def test_populous_prefix_is_cut_deeper(spark, monkeypatch):
+    """Most fingerprints share long prefixes; a node pair holds few of them all the same."""
+    from pairlens.llm import simhash
+    from pairlens.llm.common import Written, components
+
+    rng = np.random.default_rng(5)
+    near = [sum(1 << int(b) for b in rng.choice(64, 3, replace=False)) ^ 0x5555 << 40 for _ in range(400)]
+    prints = sorted({*near, *(int(x) for x in rng.integers(0, 2**63, 100))})
+    monkeypatch.setattr(simhash, "NODE_ROWS", 32)
+    df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in prints], "fp long")
+    written = Written(spark)
+    found = simhash.node_pairs(df, 2, written)
+    assert len(found) > 4 and sum(p.count() for _, p in found) > 0
+    got = {int(np.int64(r.node).astype(np.uint64)): r.root for r in components(simhash.links(df, written), written).collect()}
+    label = {f: f for f in prints}
+    moved = True
+    while moved:
+        moved = False
+        for f in prints:
+            low = min(label[g] for g in prints if (f ^ g).bit_count() <= 2)
+            if low < label[f]:
+                label[f], moved = low, True
+    groups = {}
+    for f in prints:
+        groups.setdefault(label[f], set()).add(f)
+    mine = {}
+    for f in prints:
+        mine.setdefault(got.get(f, int(np.uint64(f).astype(np.int64))), set()).add(f)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))

@@ -3,7 +3,7 @@
 import importlib
 
 from pairlens.llm import similar
-from pairlens.llm.similar import one_of_each
+from pairlens.llm.similar import one_of_each, shingles, similar as are_similar
 
 pipeline = importlib.import_module("corpus_pipeline")
 
@@ -23,9 +23,8 @@ def plain_kept(rows):
 
 def test_stage_leaves_no_similar_pair(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for name, stage in pipeline.STAGES[:-2]:
-        if name == "similar_texts":
-            before = docs.select("doc_id", "text").collect()
+    for name, stage in pipeline.STAGES[:2]:
+        before = docs.select("doc_id", "text").collect()
         docs = stage(spark, docs, sf).cache()
     want = plain_kept([(r.doc_id, r.text) for r in before])
     assert sorted(r.doc_id for r in docs.collect()) == want
@@ -47,3 +46,31 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert got.columns == odd_docs.columns
     assert sorted(r.doc_id for r in got.collect()) == [1, 4, 7, 8, 9, 10, 11]
     assert one_of_each(no_docs).collect() == []
+
+
+CLASHING = ["node", "fp", "keys", "key", "marks", "norm", "digest", "first", "root", "_lines", "_kept", "_digest", "_row", "_times", "_again", "document"]
+
+
+def test_columns_of_any_name_stay_as_they_are(spark, odd_docs, sf):
+    docs = odd_docs.selectExpr("*", *[f"concat('{c}', doc_id) AS {c}" for c in CLASHING if c not in odd_docs.columns])
+    for name, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in CLASHING if c not in odd_docs.columns), name
+
+
+def test_one_of_each_group_stays_whatever_its_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (5, b), (None, c), (None, c), (None, a), (7, None), (7, ""), (None, None)]
+    got = one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, map(tuple, got.collect()))) in [sorted(map(str, [(3, a), (5, b), (None, c), (7, x)])) for x in (None, "")]
+
+
+def test_shingles_are_those_of_the_words():
+    words = [f"w{i % 7}".encode() for i in range(30)]
+    want = [tuple(words[i : i + 5]) for i in range(26)]
+    got = shingles(words).tolist()
+    assert len(got) == len(want) and len(set(got)) == len(set(want)) == len(set(zip(got, want, strict=True)))
+    assert len(shingles(words[:3])) == 1 and shingles(words[:3])[0] != shingles(words[1:4])[0]
+    assert are_similar(" ".join(f"x{i}" for i in range(100)), " ".join(f"x{i}" for i in range(2, 100))) and not are_similar("a b c d e f g", "a b c d x f g")
