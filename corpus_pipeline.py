@@ -1,6 +1,6 @@
 """Pipeline from raw documents to packed training sequences.
 
-Stages: quality rules, near duplicates, personal data, similar texts, mixing, packing. Each works on
+Stages: quality rules, near duplicates, personal data, mixing, packing. Each works on
 all that its predecessor kept; all but the last return the columns of documents.
 """
 
@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlens.llm.common import Written
+from pairlens.llm.common import Written, scratch
 from pairlens.llm.mixing import mixed
 from pairlens.llm.packing import pack
 from pairlens.llm.pii import redacted
 from pairlens.llm.quality import cleaned
 from pairlens.llm.similar import one_of_each
-from pairlens.llm.simhash import deduplicated
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return deduplicated(docs)
+    """One document of each group of near duplicates: SimHash and, where its bits cannot tell, MinHash propose, five-word similarity confirms."""
+    return one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,11 +31,6 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return redacted(docs)
 
 
-def similar_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts of five-word similarity 0.8 or more, personal data counting as its kind."""
-    return one_of_each(docs)
-
-
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, each as often as the mix takes it."""
     return mixed(docs)
@@ -47,7 +41,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("similar_texts", similar_texts), ("mixing", mixing), ("packing", packing)]
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixing", mixing), ("packing", packing)]
 
 #: SQL expresses neither fingerprints nor packing; tests hold the stages against plain versions.
 ORACLE_SQL = None
@@ -58,5 +52,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = Written(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = written.table(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            result = written.table(stage(spark, docs, sf_dir))
+        docs = result
     return docs
