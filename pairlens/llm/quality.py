@@ -68,8 +68,9 @@ def line_fails(line: Column, low: Column, has: dict[str, Column]) -> Column:
     """
     words = _count(line, WORD)
     # punctuation: a short line in which no sentence ends, or marks other than letters make up much of the line
-    end = F.substring(F.rtrim(F.rtrim(line, F.lit(ASCII_SPACE)), F.lit(CLOSING)), -1, 1)
-    endless = ~end.rlike(f"[{MARKS}{UNMARKED}]") & ~_more_words_than(line, SHORT_LINE)
+    ends, last = f"[{MARKS}{UNMARKED}]", F.substring(line, -1, 1)
+    bare = F.substring(F.rtrim(F.rtrim(line, F.lit(ASCII_SPACE)), F.lit(CLOSING)), -1, 1)
+    endless = ~_more_words_than(line, SHORT_LINE) & ~last.rlike(ends) & ~bare.rlike(ends)
     symbols = has["symbols"] & (_count(line, SYMBOLS + "+") > words * MAX_SYMBOLS_A_WORD)
     shouts = has["shouts"] & line.rlike("[!?]") & (_count(line, "[!?]+") > F.greatest(words * MAX_SHOUTS_A_WORD, F.lit(2)))
     # navigation: separators between items, or a short line with the words of a menu

@@ -2,15 +2,16 @@
 
 SimHash proposes first: fingerprints over five-word shingles are joined by the binary trie. A pair
 of similarity 0.8 differs in some ten of 64 bits, though, where no trie can prune, so MinHash bands
-propose the rest. Every proposed pair is confirmed: by an estimate from the signatures, which only
-refuses pairs far below, then by the exact Jaccard similarity of the two whole texts.
+propose the rest. Texts that agree in one of BANDS bands meet in a group. Groups of at most GROUP
+texts are compared by the signatures, in numpy, in one task each; of more than FEW texts each is
+paired with leaders only. In a larger group each text is held against the smallest, and those that
+are far from it meet again: in groups cut by further bands, then, round by round, without the text
+that they were held against, until no large group is left. So neither many near copies nor a common
+passage make pairs with the square of their number. Every proposed pair is confirmed by the exact
+Jaccard similarity of the two whole texts.
 
-Texts that agree in one of BANDS bands meet in a group. A small group gives all its pairs; of a
-larger one each text is paired with the smallest only, and those that are not confirmed meet again:
-in groups cut by further bands, then, round by round, without the text that they were held against,
-until no large group is left. So neither many near copies nor a common passage make pairs with the
-square of their number, and of the documents that stay no two of one group are similar. A pair of
-similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 4) ** 15 = 0.9996.
+Of the documents that stay no two are similar: a pair of similarity 0.8 shares a band with
+probability 1 - (1 - 0.8 ** 4) ** 15 = 0.9996, and its estimate is below DOUBT once in ten million.
 
 Nulls: a null text counts as an empty one, and empty texts as copies of each other. A text with
 fewer than five words is one shingle. Repeated rows and rows with null or repeated ids are told apart
@@ -38,13 +39,15 @@ SIMILARITY = 0.8
 BANDS, ROWS = 15, 4  # hashes of a band
 MORE_BANDS, MORE_ROWS = 8, 3  # of each cut of a large group
 LEVELS = 2  # cuts of a large group
-SMALL_GROUP = 8
+GROUP = 1024  # texts of a group that one task compares
+FEW = 24  # texts of a group that gives all its likely pairs
+SURE = 0.9  # estimated similarity to a leader from which a text leads no others
 DOUBT = 0.6  # estimated similarity from which texts are compared: five standard errors below SIMILARITY
-CHUNK = 1 << 12  # shingles hashed at once
+CHUNK = 1 << 10  # shingles hashed at once
 _rng = np.random.default_rng(SEED)
 HASHES = ROWS * BANDS + LEVELS * MORE_ROWS * MORE_BANDS
-FACTORS, SHIFTS = (_rng.integers(0, 2**64, HASHES, dtype=np.uint64) for _ in range(2))
-FACTORS |= np.uint64(1)
+FACTORS, SHIFTS = (_rng.integers(0, 2**32, HASHES, dtype=np.uint32)[:, None] for _ in range(2))
+FACTORS |= np.uint32(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,10 +57,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 def shingles(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of the runs of SHINGLE words, in order, repeats included."""
-    coded = pa.array(words, pa.binary()).dictionary_encode()
-    digest = xxhash.xxh64_intdigest
-    each = np.fromiter((digest(w, SEED) for w in coded.dictionary.to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
-    hashes = each[coded.indices.to_numpy()]
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
     width = min(SHINGLE, len(words))
     out = np.full(len(words) - width + 1, len(words) < SHINGLE, dtype=np.uint64)
     for k in range(width):
@@ -68,10 +68,11 @@ def shingles(words: list[bytes]) -> np.ndarray:
 
 def signature(hashes: np.ndarray) -> np.ndarray:
     """The least of each of HASHES hashes over all shingles."""
-    least = np.full(HASHES, 2**64 - 1, dtype=np.uint64)
-    for i in range(0, len(hashes), CHUNK):
-        mixed = FACTORS[:, None] * hashes[None, i : i + CHUNK]
-        mixed += SHIFTS[:, None]
+    least = np.full(HASHES, 2**32 - 1, dtype=np.uint32)
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(high), CHUNK):
+        mixed = FACTORS * high[i : i + CHUNK]
+        mixed += SHIFTS
         least = np.minimum(least, mixed.min(axis=1))
     return least
 
@@ -92,19 +93,44 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             least = signature(np.unique(found))
             norms.append(hashlib.md5(b" ".join(words)).digest())
             prints.append(majority(found))
-            marks.append((least >> np.uint64(56)).astype(np.uint8).tobytes())
+            marks.append((least >> np.uint32(24)).astype(np.uint8).tobytes())
             keys.append(bands(least))
         fps = np.array(prints, dtype=np.uint64).view(np.int64)
         columns = [batch.column("node"), batch.column("doc_id"), batch.column("digest"), pa.array(norms, pa.binary()), pa.array(fps), pa.array(marks, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, ["node", "doc_id", "digest", "norm", "fp", "marks", "keys"])
 
 
+def _estimates(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Similarities estimated from rows of marks; marks agree once in 256 by chance."""
+    return ((x == y).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
+
+
+def _marks(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES)
+
+
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose estimated similarity is not far below SIMILARITY."""
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("a_marks", "b_marks"))
-        equal = (x == y).mean(axis=1)  # one in 256 by chance
-        yield batch.select(["a", "b"]).filter(pa.array((equal - 1 / 256) / (1 - 1 / 256) >= DOUBT))
+        yield batch.select(["a", "b"]).filter(pa.array(_estimates(_marks(batch.column("a_marks")), _marks(batch.column("b_marks"))) >= DOUBT))
+
+
+def in_group(rows: pa.Table) -> pa.Table:
+    """Likely pairs of a group of at most GROUP texts: all of a few, else of each text with the leaders (texts far from all leaders before them)."""
+    rows = rows.sort_by("node")
+    node, marks = rows.column("node").to_numpy(), _marks(rows.column("marks"))
+    n = len(node)
+    leaders: list[int] = []
+    a, b = [], []
+    for i in range(1, n) if n <= FEW else range(n):
+        held = np.arange(i) if n <= FEW else np.array(leaders, dtype=np.int64)
+        near = _estimates(marks[held], marks[i])
+        some = held[near >= DOUBT]
+        a.append(node[some])
+        b.append(np.full(len(some), node[i]))
+        if n > FEW and not (near >= SURE).any():
+            leaders.append(i)
+    return pa.table({"a": np.concatenate([node[:0], *a]), "b": np.concatenate([node[:0], *b])})
 
 
 @lru_cache(maxsize=64)
@@ -127,12 +153,9 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 
-def confirmed(pairs: DataFrame, marks: DataFrame, texts: DataFrame, written: Written) -> DataFrame:
-    """The pairs (a, b) of nodes that are similar. marks: (node, marks), texts: (node, text)."""
-    for table, column, test in ((marks, "marks", _likely), (texts, "text", _confirm)):
-        side = lambda s: table.select(F.col("node").alias(s), F.col(column).alias(f"{s}_{column}"))  # noqa: B023, E731
-        pairs = written.table(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(test, "a long, b long"))
-    return pairs
+def _beside(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    side = lambda s: table.select(F.col("node").alias(s), F.col(column).alias(f"{s}_{column}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
 def by_fingerprint(reps: DataFrame, written: Written) -> DataFrame:
@@ -145,29 +168,32 @@ def by_fingerprint(reps: DataFrame, written: Written) -> DataFrame:
     return reps.join(named, "fp").select("a", F.col("node").alias("b")).where("a < b")
 
 
-def similar_pairs(reps: DataFrame, texts: DataFrame, written: Written) -> DataFrame:
-    """Confirmed pairs (a, b) of nodes, enough to link all that the groups hold. reps: (node, fp, marks, keys)."""
-    marks = reps.select("node", "marks")
-    found = confirmed(by_fingerprint(reps, written), marks, texts, written)
-    member = reps.select("node", "keys", F.explode(F.slice("keys", 1, BANDS)).alias("key"))
-    level = 0
+def likely_pairs(reps: DataFrame, written: Written) -> DataFrame:
+    """Pairs (a, b) of nodes that share a band and are likely similar, enough to link all that the groups hold. reps: (node, marks, keys)."""
+    member = reps.select("node", "marks", "keys", F.explode(F.slice("keys", 1, BANDS)).alias("key"))
+    found, level = None, 0
     while True:
-        member = written.table(member)
         sizes = member.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
         sized = written.table(member.join(sizes, "key"))
-        small = sized.where(F.col("n") <= SMALL_GROUP).groupBy("key").agg(F.collect_list("node").alias("nodes"))
-        small = small.select("nodes", F.explode("nodes").alias("a")).select("a", F.explode("nodes").alias("b")).where("a < b")
-        large = sized.where((F.col("n") > SMALL_GROUP) & (F.col("node") != F.col("least")))
-        pairs = small.unionAll(large.select(F.col("least").alias("a"), F.col("node").alias("b"))).distinct()
-        near = confirmed(pairs.join(found, ["a", "b"], "left_anti"), marks, texts, written)
-        found = written.table(found.unionAll(near))
-        rest = large.join(found, (large["least"] == found["a"]) & (large["node"] == found["b"]), "left_anti").select("node", "keys", "key")
+        near = sized.where(F.col("n") <= GROUP).select("key", "node", "marks").groupBy("key").applyInArrow(in_group, "a long, b long")
+        large = sized.where((F.col("n") > GROUP) & (F.col("node") != F.col("least")))
+        if large.isEmpty():
+            return (near if found is None else found.unionAll(near)).distinct()
+        stars = large.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+        stars = written.table(_beside(stars, reps, "marks").mapInArrow(_likely, "a long, b long"))
+        near = near.unionAll(stars)
+        found = near if found is None else found.unionAll(near)
+        rest = large.join(stars, (large["least"] == stars["a"]) & (large["node"] == stars["b"]), "left_anti").select("node", "marks", "keys", "key")
         if level < LEVELS:
             start = BANDS + level * MORE_BANDS + 1
-            rest = rest.select("node", "keys", "key", F.explode(F.slice("keys", start, MORE_BANDS)).alias("cut")).select("node", "keys", F.xxhash64("key", "cut").alias("key"))
-        if rest.isEmpty():
-            return found
-        member, level = rest, level + 1
+            rest = rest.select("node", "marks", "keys", "key", F.explode(F.slice("keys", start, MORE_BANDS)).alias("cut")).select("node", "marks", "keys", F.xxhash64("key", "cut").alias("key"))
+        member, level = written.table(rest), level + 1
+
+
+def similar_pairs(reps: DataFrame, texts: DataFrame, written: Written) -> DataFrame:
+    """Confirmed pairs (a, b) of nodes. reps: (node, fp, marks, keys), texts: (node, text)."""
+    pairs = written.table(by_fingerprint(reps, written).unionAll(likely_pairs(reps, written)).distinct())
+    return _beside(pairs, texts, "text").mapInArrow(_confirm, "a long, b long")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import importlib
 
+import pytest
+
 from pairlens.llm import similar
 from pairlens.llm.similar import one_of_each, shingles, similar as are_similar
 
@@ -31,9 +33,10 @@ def test_stage_leaves_no_similar_pair(spark, sf):
     assert len(want) < len(before)
 
 
-def test_large_groups(spark, monkeypatch):
+@pytest.mark.parametrize("size", [3, 30])
+def test_large_groups(spark, monkeypatch, size):
     """A group of near copies, and many texts that share a passage only."""
-    monkeypatch.setattr(similar, "SMALL_GROUP", 3)
+    monkeypatch.setattr(similar, "GROUP", size)
     copy = [f"c{i}" for i in range(120)]
     rows = [(n, " ".join([*copy[:n], f"x{n}", *copy[n + 1 :]])) for n in range(60)]
     rows += [(100 + n, " ".join([*(f"p{i}" for i in range(60)), *(f"y{n}-{i}" for i in range(60))])) for n in range(60)]
