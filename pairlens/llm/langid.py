@@ -5,15 +5,16 @@ the languages in whose lexicon it stands. The chain's states are languages; lear
 how seldom a text switches. Forward-backward gives each word of a code-switched text its language;
 a text's language is the one with the largest sum of its words' probabilities.
 
-The model is fitted on a bounded sample: SAMPLE_ROWS labelled training rows, dealt evenly to
-languages by hash, WINDOW characters of each at a seeded place. Training chains are spliced from
-rows of several languages, so that transitions are learned from switches. Prediction covers whole
-texts of all rows.
-
-Nulls: a null text, or one without a letter, is `und` with score 0; so is every text when there is
-nothing to learn from. Rows without lang are predicted, not learned from. Ties go to the language
-that comes first by code point. Repeated rows and an empty table are nothing special; only doc_id,
-text and lang are read.
+The model is fitted on a bounded sample: SAMPLE_ROWS labelled training rows at most, dealt evenly to
+languages, whole texts, drawn by a hash of doc_id and text. Rows of equal id and text are drawn once,
+and each language's draw ends at its share, so null or repeated ids neither empty nor swell it.
+Training chains are spliced from rows of several languages, so that transitions are learned from
+switches. Prediction covers whole texts of all rows.
+
+Words are runs of letters with their combining marks. Nulls: a null text, or one without a letter,
+is `und` with score 0; so is every text when there is nothing to learn from. Rows without lang are
+predicted, not learned from. Ties go to the language that comes first by code point. Repeated rows
+and an empty table are nothing special; only doc_id, text and lang are read.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 SAMPLE_ROWS = 6000
-WINDOW = 1500
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+ASCII_WORD = re.compile("[a-z]+")
 GRAMS = (1, 2, 3, 4)
 SLOTS = 1 << 17  # of hashed features; one more stays zero
 CHAINS, LENGTH = 3000, 64
@@ -43,7 +46,10 @@ UNKNOWN = "und"
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    low = text.lower()
+    return ASCII_WORD.findall(low) if low.isascii() else WORD.findall(low)
 
 
 def grams(distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -234,15 +240,16 @@ def learned(docs: DataFrame, folds: int, held: int, rows: int = SAMPLE_ROWS) ->
     counts = {r["lang"]: r["n"] for r in training.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not counts:
         return None
-    each = rows / len(counts)
-    chance = F.lit(0.0)
+    each = max(1, rows // len(counts))
+    share = F.lit(1.0)  # a little more than needed is drawn, then cut
     for lang, n in counts.items():
-        chance = F.when(F.col("lang") == lang, F.lit(min(1.0, each / n))).otherwise(chance)
-    draw = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("sample"))
-    picked = training.withColumn("draw", draw).where(F.pmod("draw", F.lit(1 << 30)) < chance * (1 << 30))
-    start = F.pmod(F.shiftright("draw", 30), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1) + 1
-    sample = picked.select("draw", "lang", F.substring("text", start.cast("int"), F.lit(WINDOW)).alias("text")).collect()
-    sample.sort(key=lambda r: (r["draw"], r["lang"], r["text"]))
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, (1.2 * each + 50) / n))).otherwise(share)
+    draw = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5("text"))
+    picked = training.withColumn("draw", draw).where(F.pmod("draw", F.lit(1 << 30)) < share * (1 << 30))
+    once = picked.groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.pmod("draw", F.lit(1 << 30)), "draw")
+    sample = once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each).select("draw", "lang", "text").collect()  # SAMPLE_ROWS at most
+    sample.sort(key=lambda r: (r["draw"], r["lang"]))
     return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 
 

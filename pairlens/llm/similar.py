@@ -11,7 +11,7 @@ passage make pairs with the square of their number. Every proposed pair is confi
 Jaccard similarity of the two whole texts.
 
 Of the documents that stay no two are similar: a pair of similarity 0.8 shares a band with
-probability 1 - (1 - 0.8 ** 4) ** 15 = 0.9996, and its estimate is below DOUBT once in ten million.
+probability 1 - (1 - 0.8 ** 4) ** 15 = 0.9996, and its estimate is below DOUBT once in twenty thousand.
 
 Nulls: a null text counts as an empty one, and empty texts as copies of each other. A text with
 fewer than five words is one shingle. Repeated rows and rows with null or repeated ids are told apart
@@ -42,7 +42,7 @@ LEVELS = 2  # cuts of a large group
 GROUP = 1024  # texts of a group that one task compares
 FEW = 24  # texts of a group that gives all its likely pairs
 SURE = 0.9  # estimated similarity to a leader from which a text leads no others
-DOUBT = 0.6  # estimated similarity from which texts are compared: five standard errors below SIMILARITY
+DOUBT = 0.65  # estimated similarity from which texts are compared: four standard errors below SIMILARITY
 CHUNK = 1 << 10  # shingles hashed at once
 _rng = np.random.default_rng(SEED)
 HASHES = ROWS * BANDS + LEVELS * MORE_ROWS * MORE_BANDS

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
+from pairlens.llm import langid
 from pairlens.llm.langid import UNKNOWN, fit, grams, identified, label_words, posteriors, words
 from pairlens.llm.queries import QUERIES
 
@@ -68,3 +69,21 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert identified(no_docs).collect() == []
     unlabelled = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in identified(unlabelled).collect()] == [(UNKNOWN, 0.0)]
+
+
+def test_words_are_letters_with_their_marks():
+    assert words("½ ² ② 12 _ !") == [] and words("किताब Straße x1y") == ["किताब", "straße", "x", "y"]
+
+
+def test_samples_do_not_hang_on_ids(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    truth = {r.text: r.lang for r in docs.where("lang IS NOT NULL AND text IS NOT NULL").collect()}
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda texts, langs, seed=13: seen.append(len(texts)) or fit(texts, langs, seed))
+    for ids in ("CAST(NULL AS long)", "4L"):
+        learned_from = docs.selectExpr(f"{ids} AS doc_id", "text", "lang")
+        model = langid.learned(learned_from, 4, 2, rows=200)
+        assert 100 < seen[-1] <= 200 and len(model.langs) == len(set(truth.values()))
+        texts = [t for t in list(truth)[:300] if words(t)]
+        names, _ = langid.predict(model, [words(t) for t in texts])
+        assert np.mean([a == truth[t] for a, t in zip(names, texts, strict=True)]) > 0.95

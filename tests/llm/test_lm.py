@@ -23,7 +23,7 @@ def tokens(text):
 def plain(rows):
     """doc_id: the row of the result, by the definition."""
     code = lambda i: zlib.crc32(("" if i is None else str(i)).encode())
-    docs = [(i, tokens(t), code(i) % 7 == 2, code(i) // 7 % lm.TUNE_ONE_IN == 0) for i, t in rows]
+    docs = [(i, tokens(t), code(i) % 7 == 2, zlib.crc32((t or "").encode()) % lm.TUNE_ONE_IN == 0) for i, t in rows]
     pairs_of = lambda ws: list(zip(["<s>", *ws], ws, strict=False))
     words, pairs, w_rest, p_rest = Counter(), Counter(), Counter(), Counter()
     for _, ws, held, tune in docs:
@@ -94,3 +94,24 @@ def test_weights_favour_what_predicts():
     p2, p1 = np.array([0.0, 0.0, 0.9, 0.8]), np.array([0.1, 0.2, 0.01, 0.01])
     a = learn_weights(bucket, p2, p1, 1e-6, np.array([500.0, 500, 500, 500]))
     assert a[9, 0] > 0.9 > 0.1 > a[1, 0] and np.allclose(a.sum(axis=1), 1)
+
+
+def test_rounding_hardly_moves_scores_and_em_converges(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    coarse = {r.doc_id: r.score for r in lm_scores(docs).collect()}
+    monkeypatch.setattr(lm, "STEPS", 4096)
+    fine = {r.doc_id: r.score for r in lm_scores(docs).collect()}
+    assert all(abs(coarse[i] - fine[i]) <= 1e-3 * abs(fine[i]) for i in fine)
+    rng = np.random.default_rng(2)
+    bucket, p2, p1, n = rng.integers(0, 5, 200), rng.random(200), rng.random(200) / 10, rng.random(200) * 9
+    monkeypatch.setattr(lm, "EM_CHANGE", 0.0)
+    want = learn_weights(bucket, p2, p1, 1e-4, n)
+    monkeypatch.setattr(lm, "EM_CHANGE", 1e-7)
+    assert np.abs(learn_weights(bucket, p2, p1, 1e-4, n) - want).max() < 1e-3
+
+
+def test_ids_do_not_matter_to_the_weights(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for ids in ("CAST(NULL AS long)", "7L"):
+        got = lm_scores(docs.selectExpr(f"{ids} AS doc_id", "text")).collect()
+        assert sum(r.score for r in got) > sum(r.base_score for r in got)
