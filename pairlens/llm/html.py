@@ -35,11 +35,15 @@ from pyspark.sql import functions as F
 
 from pairlens.llm.common import Written
 
+# an attribute's value is quoted, or runs to the next white space or end of the tag whatever quotes it holds
+ATTRIBUTES = r"""((?:=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+|[^>=])*+)"""
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|title)\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>|[^<]++|<""",
+    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|title)\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)"""
+    + ATTRIBUTES
+    + r""">|<[!?/][^>]*+>|[^<]++|<""",
     re.S | re.I,
 )
-LABELS = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+LABELS = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?(?=[\s/>]|$)""", re.I)
 #: Elements inside a line of text.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements without an end.
@@ -55,6 +59,9 @@ OUTSIDE_TAGS = frozenset("head nav footer aside form button fieldset menu dialog
 OUTSIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement alert banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies disqus footer gdpr header hidden masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Those that inside an article may name a part of it (its header, a section on related work), and those that hide an inline element.
+PART_WORDS = frozenset("alert banner byline header notice related reply respond search".split())
+INLINE_WORDS = frozenset("ad ads advert adverts advertisement hidden promo promoted promotion sponsor sponsored".split())
 MAIN_TAGS = frozenset(["article", "main"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPLIT_WORDS = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
@@ -63,10 +70,11 @@ MOST_LEVELS = 100
 PROSE_CHARS = 40
 CONSTANT_PAGES = 5
 SALTS = 32
+TASK_HOSTS = 2000  # wrappers that a task holds at once
 BROADCAST_BYTES = 32 << 20
 
 # A node is [label, quantifier, children, texts]; a text slot has the label "#" and no children.
-# quantifier: "1", "?", "+" or "*". texts: [blocks, characters, characters in links, the text or None if it varies,
+# quantifier: "1", "?", "+" or "*". texts: [blocks, characters, characters in links, a digest of the text or None if it varies,
 # digests of CONSTANT_PAGES different pages that have it, or of all if they are fewer; none if it varies]
 LABEL, TIMES, CHILDREN, TEXTS = range(4)
 
@@ -93,6 +101,7 @@ def parse(source: str) -> list:
     parts: list[str] = []
     linked: list[str] = []
     links = 0
+    silent: list[str] = []  # inline elements open inside one that holds no main text
 
     def flush() -> None:
         if parts:
@@ -107,6 +116,8 @@ def parse(source: str) -> list:
         tag = m[3]
         if tag is None:
             token = m[0]
+            if silent:
+                continue
             if token[0] != "<" or token == "<":
                 parts.append(token)
                 if links:
@@ -117,11 +128,20 @@ def parse(source: str) -> list:
         tag = tag.lower()
         end = bool(m[2])
         if tag in INLINE:
+            if tag not in VOID and (silent or not end and m[4] and inline_outside(label_of(tag, m[4]))):
+                if not end:
+                    silent.append(tag)
+                elif tag in silent:
+                    while silent.pop() != tag:
+                        pass
+            if silent:
+                continue
             if tag == "a":
                 links = max(0, links - 1) if end else links + 1
             elif tag in ("br", "img", "input"):
                 parts.append(" ")
             continue
+        silent.clear()  # no inline element holds a block
         flush()
         if end:
             if tag in names:
@@ -138,8 +158,10 @@ def parse(source: str) -> list:
         if tag in ("html", "body") or tag in VOID:
             continue
         node = [label_of(tag, m[4]), []]
-        if len(stack) < MOST_LEVELS:
+        if len(stack) < MOST_LEVELS or outside(node[0], False) and not stack[-1][0].startswith("!"):
             stack[-1][1].append(node)
+            if len(stack) >= MOST_LEVELS:
+                node[0] = "!" + node[0]  # all that is nested in it goes with it
             stack.append(node)
         else:  # what is nested deeper shares a level
             stack.append(stack[-1])
@@ -153,7 +175,7 @@ def generalized(children: list, page: int = 0) -> list:
     out: list = []
     for child in children:
         if isinstance(child, tuple):
-            node = ["#", "1", [], [1, len(child[0]), child[1], child[0], (page,)]]
+            node = ["#", "1", [], [1, len(child[0]), child[1], xxhash.xxh64_intdigest(child[0].encode(errors="surrogatepass")), (page,)]]
         else:
             node = [child[0], "1", generalized(child[1], page), None]
         _append(out, node)
@@ -225,18 +247,25 @@ def aligned(a: list, b: list) -> list:
 
 
 def outside(label: str, in_main: bool) -> bool:
+    """Whether an element holds no main text; inside an article or main element, words that also name its parts do not count."""
+    tag, *words = label.lstrip("!").split(".")
+    return tag in OUTSIDE_TAGS or (tag == "header" and not in_main) or not (OUTSIDE_WORDS - PART_WORDS if in_main else OUTSIDE_WORDS).isdisjoint(words)
+
+
+def inline_outside(label: str) -> bool:
     tag, *words = label.split(".")
-    return tag in OUTSIDE_TAGS or (tag == "header" and not in_main) or not OUTSIDE_WORDS.isdisjoint(words)
+    return not INLINE_WORDS.isdisjoint(words)
 
 
 def kept(around: str, in_main: bool, blocks: int, chars: int, links: int, constant: bool) -> tuple[bool, bool]:
     """Whether texts stay: on pages with a main element, and on pages without."""
-    if in_main:
-        small = constant and chars < PROSE_CHARS * blocks and around not in HEADINGS and around != "p"
-        stays = not (small or 10 * links > 9 * chars and around not in HEADINGS)
+    headed = around in HEADINGS or around in ("p", "pre", "blockquote")
+    if in_main:  # all of an article, but menus and what its site repeats beside the text
+        stays = headed or not (10 * links > 9 * chars or constant and chars < PROSE_CHARS * blocks and links)
         return stays, stays
-    prose = chars >= PROSE_CHARS * blocks and 2 * links < chars and not constant
-    return False, prose or around in HEADINGS or around in ("p", "pre", "blockquote", "td") and 2 * links < chars
+    prose = chars >= PROSE_CHARS * blocks and not constant
+    listed = around in ("li", "dd", "dt", "td", "th", "figcaption", "caption")
+    return False, headed and (around in HEADINGS or 2 * links < chars) or (prose or listed and not constant) and 2 * links < chars
 
 
 def judged(items: list) -> list:
@@ -346,15 +375,22 @@ def host_of(url: Column) -> Column:
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     by_host: dict[str, list] = {}
+    salt = TaskContext.get().partitionId() % SALTS
+
+    def packed() -> pa.RecordBatch:
+        columns = [pa.array(list(by_host), pa.string()), pa.array([salt] * len(by_host), pa.int32()), pa.array([pickle.dumps(w) for w in by_host.values()], pa.binary())]
+        by_host.clear()
+        return pa.RecordBatch.from_arrays(columns, ["host", "salt", "wrapper"])
+
     for batch in batches:
         for host, source in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
             page = source.as_py() or ""
             items = generalized(parse(page), xxhash.xxh64_intdigest(page.encode(errors="surrogatepass")))
             by_host[host] = aligned(by_host[host], items) if host in by_host else items
-    part = TaskContext.get().partitionId()
-    n = len(by_host)
-    if n:
-        yield pa.RecordBatch.from_arrays([pa.array(list(by_host), pa.string()), pa.array([part % SALTS] * n, pa.int32()), pa.array([pickle.dumps(w) for w in by_host.values()], pa.binary())], ["host", "salt", "wrapper"])
+            if len(by_host) >= TASK_HOSTS:
+                yield packed()
+    if by_host:
+        yield packed()
 
 
 def _together(rows: pd.DataFrame) -> bytes:

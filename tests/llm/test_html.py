@@ -2,6 +2,8 @@
 
 import itertools
 
+import xxhash
+
 from pairlens.llm.html import aligned, extracted, generalized, judged, main_texts, parse
 from pairlens.llm.queries import QUERIES
 
@@ -76,7 +78,7 @@ def test_alignment_makes_groups_and_options():
     both = aligned(a, b)
     assert [(n[0], n[1]) for n in both] == [("ul", "1"), ("h2", "?"), ("p", "1")]
     assert [(n[0], n[1]) for n in both[0][2]] == [("li", "+")]
-    assert both[2][2][0][3][3] == "t" and both[0][2][0][2][0][3][3] is None
+    assert both[2][2][0][3][3] == xxhash.xxh64_intdigest("t") and both[0][2][0][2][0][3][3] is None
     assert extracted(parse("<p>t</p>"), judged(both)) == ["t"]
 
 
@@ -106,3 +108,38 @@ def test_copies_of_a_page_make_no_constant(spark):
     rows = [(n, "http://copies.example.com/x", source) for n in range(8)]
     got = main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.text for r in got} == {"Some words of an article.\nshort caption"}
+
+
+PROSE = "A paragraph of plain prose that is long enough to be the text of a page, with no link in it."
+
+
+def text_of(spark, *bodies):
+    rows = [(i, f"http://one.example.com/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    return [r.text for r in sorted(main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())]
+
+
+def test_whole_articles(spark):
+    """Expectations written by hand."""
+    deep = "<div>" * 150
+    got = text_of(
+        spark,
+        f"<article><div class='article-header'><h1>Title</h1></div><p>{PROSE}</p><div class='related-work'><p>Others did so before.</p></div><p id='search'>How to look.</p><p><a href='/x'>One link</a></p></article>",
+        f"<article><p title=it's>First it's.</p><p>Second.</p><p>{PROSE}</p></article>",
+        f"<article><p>Before<span class='ad'> Buy <b>now</b></span> after.<span hidden> Unseen</span></p><p>{PROSE}</p></article>",
+        f"<div>{deep}<p>{PROSE}</p><nav><ul><li>Menu that is rather long and not a link, but a menu.</li></ul></nav></div>",
+        f"<div><p>{PROSE}</p><ul><li>Flour</li><li>Water</li></ul><dl><dt>Oven</dt><dd>Hot</dd></dl><ul><li><a href='/'>Home page</a></li></ul></div>",
+        f"<nav><p>Menu</p></nav><p>{PROSE}</p><div class='comments'><p>I agree with this, it is what I think as well, all of it.</p></div>",
+    )
+    assert got == [
+        f"Title\n{PROSE}\nOthers did so before.\nHow to look.\nOne link",
+        f"First it's.\nSecond.\n{PROSE}",
+        f"Before after.\n{PROSE}",
+        PROSE,
+        f"{PROSE}\nFlour\nWater\nOven\nHot",
+        PROSE,
+    ]
+
+
+def test_a_short_block_that_articles_share_stays(spark):
+    got = text_of(spark, *[f"<article><h1>Dish {i}</h1><div>Ingredients</div><p>{PROSE} {i}</p></article>" for i in range(8)])
+    assert got == [f"Dish {i}\nIngredients\n{PROSE} {i}" for i in range(8)]
