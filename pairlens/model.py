@@ -18,11 +18,16 @@ class KeyedTable:
 
 @dataclass(frozen=True)
 class CandidateSet:
-    """Pairs that a blocker kept; left_key and right_key name the columns with the keys."""
+    """Pairs that a blocker kept; left_key and right_key name the columns with the keys.
+
+    blocks: for pairs of equal values, (lid, block) and (rid, block) of both tables: a join that knows
+    them leaves such pairs out while it runs, and need not look them up.
+    """
 
     df: DataFrame
     left_key: str
     right_key: str
+    blocks: tuple[DataFrame, DataFrame] | None = None
 
     def pairs(self) -> DataFrame:
         return self.df.select(F.col(self.left_key).alias("lid"), F.col(self.right_key).alias("rid"))

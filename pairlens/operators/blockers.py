@@ -9,4 +9,4 @@ def block_equal(left: KeyedTable, right: KeyedTable, left_column: str, right_col
     """Pairs of rows with equal values; null equals nothing."""
     a = left.df.selectExpr(f"`{left.key}` AS lid", f"`{left_column}` AS value")
     b = right.df.selectExpr(f"`{right.key}` AS rid", f"`{right_column}` AS value")
-    return CandidateSet(a.join(b, "value").select("lid", "rid"), "lid", "rid")
+    return CandidateSet(a.join(b, "value").select("lid", "rid"), "lid", "rid", (a.toDF("id", "block"), b.toDF("id", "block")))

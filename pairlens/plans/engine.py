@@ -43,7 +43,7 @@ def debug_blocker(left: KeyedTable, right: KeyedTable, candidates: CandidateSet
     left, right, pairs = matched(left, right, k, given)
     chosen = select_features(left, right, pairs, half_rule, "sum")
     docs = kgram_docs(left.df, left.key, [f.left for f in chosen], GRAM), kgram_docs(right.df, right.key, [f.right for f in chosen], GRAM)
-    return decorated(simjoin.top_k(*docs, _pairs(candidates), k, how), left, right, pairs)
+    return decorated(simjoin.top_k(*docs, candidates, k, how), left, right, pairs)
 
 
 def debug_blocker_token_sets(left: KeyedTable, right: KeyedTable, candidates: CandidateSet | None, k: int = 200, given: Correspondence | None = None, how: str = "auto") -> DataFrame:
@@ -51,7 +51,7 @@ def debug_blocker_token_sets(left: KeyedTable, right: KeyedTable, candidates: Ca
     left, right, pairs = matched(left, right, k, given)
     chosen = select_features(left, right, pairs, half_rule, "sum")
     docs = token_sets(left.df, left.key, [f.left for f in chosen]), token_sets(right.df, right.key, [f.right for f in chosen])
-    return decorated(simjoin.top_k(*docs, _pairs(candidates), k, how), left, right, pairs)
+    return decorated(simjoin.top_k(*docs, candidates, k, how), left, right, pairs)
 
 
 def check_keys(table: KeyedTable, name: str) -> None:
@@ -94,7 +94,7 @@ def _iterative(left: KeyedTable, right: KeyedTable, candidates: CandidateSet | N
     a = numbered_tokens(left.df, left.key, [f.left for f in chosen])
     b = numbered_tokens(right.df, right.key, [f.right for f in chosen])
     configs = plan(chosen, a, b)
-    found = simjoin.configured_pairs(a, b, kept, configs)
+    found = simjoin.configured_pairs(a, b, candidates, configs)
     ids = [t.df.select(F.col(t.key).alias("id")) for t in (left, right)]
     return Report(configs, chosen, found.top(k), iteration_statistics(found, a, b, *ids, configs), left, right, pairs)
 

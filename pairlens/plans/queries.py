@@ -68,7 +68,7 @@ def kgram_docs_(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kgram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right, candidates = _trade(spark, sf_dir)
     docs = kgram_docs(left.df, "id", ["name"]), kgram_docs(right.df, "id", ["name"])
-    return simjoin.top_k(*docs, candidates.pairs(), 200)
+    return simjoin.top_k(*docs, candidates, 200)
 
 
 def decorated_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,13 +95,16 @@ def token_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prefix_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides: prefixes of even and of odd parts, in the order of all tokens."""
     left, right = (token_sets(t.df, "p_partkey", PART) for t in _halves(spark, sf_dir, "part", "p_partkey", PART))
-    return simjoin.bounds(simjoin.rare_first(left, simjoin.document_frequency(left, right)))
+    frequency = simjoin.document_frequency(left, right)
+    return simjoin.bounds(simjoin.rare_first(left, frequency)).unionAll(simjoin.bounds(simjoin.rare_first(right, frequency)))
 
 
 def record_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left, _, tokens, _ = _part_tokens(spark, sf_dir)
-    return simjoin.record_lengths(tokens, left.df.select(F.col("p_partkey").alias("id")), leave_one_out(3))
+    """Tokens of every part in each configuration."""
+    parts = _table(spark, sf_dir, "part").select("p_partkey", *PART)
+    return simjoin.record_lengths(numbered_tokens(parts, "p_partkey", PART), parts.select(F.col("p_partkey").alias("id")), leave_one_out(3))
 
 
 def pair_field_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +125,12 @@ def token_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_topk_excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = _halves(spark, sf_dir, "documents", "doc_id", ["lang"])
-    return simjoin.top_k(*_document_sets(spark, sf_dir), block_equal(left, right, "lang", "lang").pairs(), K)
+    return simjoin.top_k(*_document_sets(spark, sf_dir), block_equal(left, right, "lang", "lang"), K)
+
+
+def token_topk_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token_topk by the prefix way."""
+    return simjoin.top_k(*_document_sets(spark, sf_dir), None, K, "prefix")
 
 
 def leave_one_out_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +160,7 @@ def iteration_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right, a, b = _part_tokens(spark, sf_dir)
     ids = [t.df.select(F.col("p_partkey").alias("id")) for t in (left, right)]
     configs = leave_one_out(3)
-    kept = block_equal(left, right, "p_brand", "p_brand").pairs()
+    kept = block_equal(left, right, "p_brand", "p_brand")
     return iteration_statistics(simjoin.configured_pairs(a, b, kept, configs), a, b, *ids, configs)
 
 
@@ -200,7 +208,7 @@ QUERIES = {
     f.__name__.rstrip("_"): f
     for f in (
         feature_weights, feature_weights_mean, feature_weights_harmonic, block_attr_equiv, kgram_docs_, kgram_topk, decorated_suggestions, token_set, token_set_topk,
-        token_multiset, token_df, prefix_bounds, record_lengths, pair_field_counts, token_topk, token_topk_excluding, leave_one_out_topk, top_down_topk, top_down_configs,
+        token_multiset, token_df, prefix_bounds, record_lengths, pair_field_counts, token_topk, token_topk_prefix, token_topk_excluding, leave_one_out_topk, top_down_topk, top_down_configs,
         recommendation_lists, iteration_stats, gold_similarity_, gold_recall_at_k, label_state_, label_counts_, tuple_pair_view, lower_limit_prep,
     )
 }
@@ -280,15 +288,22 @@ SELECT sim AS similarity, lid AS "ltable.id", rid AS "rtable.id", c_name AS "lta
     "token_multiset": _numbered_sql("part", "p_partkey", PART),
     "token_df": f"WITH {PART_SETS} SELECT t, count_if(id % 2 = 0)::BIGINT AS l_df, count_if(id % 2 = 1)::BIGINT AS r_df, count(*) AS df FROM tok GROUP BY t",
     "prefix_bounds": f"""WITH {PART_SETS}, d AS (SELECT t, count(*) AS df FROM tok GROUP BY t),
-placed AS (SELECT id, t, (row_number() OVER (PARTITION BY id ORDER BY df, t) - 1)::INT AS place, count(*) OVER (PARTITION BY id) AS n FROM l JOIN d USING (t))
+placed AS (SELECT id, t, (row_number() OVER (PARTITION BY id ORDER BY df, t) - 1)::INT AS place, count(*) OVER (PARTITION BY id) AS n FROM tok JOIN d USING (t))
 SELECT id, place, t, 1 - place / n AS bound FROM placed""",
-    "record_lengths": f"WITH {PARTS} SELECT p_partkey AS id, count(f) AS n0, count_if(f IN (1, 2))::BIGINT AS n1, count_if(f IN (0, 2))::BIGINT AS n2, count_if(f IN (0, 1))::BIGINT AS n3 FROM part LEFT JOIN l ON id = p_partkey WHERE p_partkey % 2 = 0 GROUP BY 1",
+    "record_lengths": f"WITH {PARTS} SELECT p_partkey AS id, count(f) AS n0, count_if(f IN (1, 2))::BIGINT AS n1, count_if(f IN (0, 2))::BIGINT AS n2, count_if(f IN (0, 1))::BIGINT AS n3 FROM part LEFT JOIN tok ON id = p_partkey GROUP BY 1",
     "pair_field_counts": f"""WITH {PARTS}, counts AS (SELECT l.id AS lid, r.id AS rid, l.f AS lf, r.f AS rf, count(*) AS cnt FROM l JOIN r USING (t) GROUP BY ALL)
 SELECT lf, rf, cnt, count(*) AS n_pairs, sum(lid)::BIGINT AS sum_lid, sum(rid)::BIGINT AS sum_rid FROM counts GROUP BY ALL""",
     "token_topk": f"WITH {DOCUMENTS}, {NO_CANDIDATES} {TOP.format(k=K)}",
+    "token_topk_prefix": f"WITH {DOCUMENTS}, {NO_CANDIDATES} {TOP.format(k=K)}",
     "token_topk_excluding": f"WITH {DOCUMENTS}, {SAME_LANG}, {PAIRS.format(without=WITHOUT)} {TOP.format(k=K)}",
     "leave_one_out_topk": _configs_sql(LEAVE_ONE_OUT, f"SELECT config, lid, rid, shared, sim, rank FROM top WHERE rank <= {K}"),
     "top_down_topk": _configs_sql(["012", "02", "01", "0"], f"SELECT config, lid, rid, shared, sim, rank FROM top WHERE rank <= {K}"),
+    "top_down_configs": f"""WITH {PARTS}, s AS (SELECT f, count_if(id % 2 = 0) AS a, count_if(id % 2 = 1) AS b FROM tok GROUP BY f),
+x AS (SELECT f, sum(a) OVER () - a AS a, sum(b) OVER () - b AS b FROM s), level AS (SELECT f, a, b FROM x WHERE f > 0),
+picked AS (SELECT coalesce((SELECT min(f) FROM level WHERE 2 * a >= (SELECT sum(a) FROM level) AND 2 * b >= (SELECT sum(b) FROM level)),
+  CASE WHEN (SELECT sum(a) + sum(b) FROM level) = 0 THEN 0 ELSE 2 END) AS f)
+SELECT 0 AS place, '0_1_2' AS config UNION ALL SELECT 1, '0_2' UNION ALL SELECT 2, '0_1'
+UNION ALL SELECT 3, CASE (SELECT f FROM picked) WHEN 0 THEN '1' WHEN 1 THEN '0' ELSE '0' END""",
     "recommendation_lists": _configs_sql(LEAVE_ONE_OUT, f"SELECT config, rank, sim, lid AS lkey, rid AS rkey, {VALUES.format('a')} AS lvalues, {VALUES.format('b')} AS rvalues FROM top JOIN part a ON a.p_partkey = lid JOIN part b ON b.p_partkey = rid WHERE rank <= 20"),
     "iteration_stats": _configs_sql(LEAVE_ONE_OUT, """SELECT config, n_pairs, mean_llen, mean_rlen FROM (SELECT config, count(*) AS n_pairs FROM sims GROUP BY 1)
 JOIN (SELECT config, sum(n)::BIGINT / (SELECT count(*) FROM part WHERE p_partkey % 2 = 0) AS mean_llen FROM ln GROUP BY 1) USING (config)
