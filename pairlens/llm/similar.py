@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +43,7 @@ FEW = 24  # texts of a group that gives all its likely pairs
 SURE = 0.9  # estimated similarity to a leader from which a text leads no others
 DOUBT = 0.65  # estimated similarity from which texts are compared: four standard errors below SIMILARITY
 CHUNK = 1 << 10  # shingles hashed at once
+HELD = 4_000_000  # shingles of texts that a task keeps while it confirms pairs
 _rng = np.random.default_rng(SEED)
 HASHES = ROWS * BANDS + LEVELS * MORE_ROWS * MORE_BANDS
 FACTORS, SHIFTS = (_rng.integers(0, 2**32, HASHES, dtype=np.uint32)[:, None] for _ in range(2))
@@ -86,18 +86,20 @@ def bands(least: np.ndarray) -> np.ndarray:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        norms, prints, marks, keys = [], [], [], []
+        norms, prints, sizes, marks, keys = [], [], [], [], []
         for text in batch.column("text"):
             words = words_of(text.as_py())
             found = shingles(words) if words else np.zeros(1, dtype=np.uint64)
-            least = signature(np.unique(found))
+            distinct = np.unique(found)
+            least = signature(distinct)
+            sizes.append(len(distinct))
             norms.append(hashlib.md5(b" ".join(words)).digest())
             prints.append(majority(found))
             marks.append((least >> np.uint32(24)).astype(np.uint8).tobytes())
             keys.append(bands(least))
         fps = np.array(prints, dtype=np.uint64).view(np.int64)
-        columns = [batch.column("node"), batch.column("doc_id"), batch.column("digest"), pa.array(norms, pa.binary()), pa.array(fps), pa.array(marks, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, ["node", "doc_id", "digest", "norm", "fp", "marks", "keys"])
+        columns = [batch.column("node"), batch.column("doc_id"), batch.column("digest"), pa.array(norms, pa.binary()), pa.array(fps), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "doc_id", "digest", "norm", "fp", "size", "marks", "keys"])
 
 
 def _estimates(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -105,6 +107,11 @@ def _estimates(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ((x == y).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
 
 
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether numbers of distinct shingles allow the similarity."""
+    return np.minimum(x, y) >= SIMILARITY * np.maximum(x, y)
+
+
 def _marks(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES)
 
@@ -112,20 +119,21 @@ def _marks(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose estimated similarity is not far below SIMILARITY."""
     for batch in batches:
-        yield batch.select(["a", "b"]).filter(pa.array(_estimates(_marks(batch.column("a_marks")), _marks(batch.column("b_marks"))) >= DOUBT))
+        near = _estimates(_marks(batch.column("a_marks")), _marks(batch.column("b_marks"))) >= DOUBT
+        yield batch.select(["a", "b"]).filter(pa.array(near & _alike(batch.column("a_size").to_numpy(), batch.column("b_size").to_numpy())))
 
 
 def in_group(rows: pa.Table) -> pa.Table:
     """Likely pairs of a group of at most GROUP texts: all of a few, else of each text with the leaders (texts far from all leaders before them)."""
     rows = rows.sort_by("node")
-    node, marks = rows.column("node").to_numpy(), _marks(rows.column("marks"))
+    node, size, marks = rows.column("node").to_numpy(), rows.column("size").to_numpy(), _marks(rows.column("marks"))
     n = len(node)
     leaders: list[int] = []
     a, b = [], []
     for i in range(1, n) if n <= FEW else range(n):
         held = np.arange(i) if n <= FEW else np.array(leaders, dtype=np.int64)
         near = _estimates(marks[held], marks[i])
-        some = held[near >= DOUBT]
+        some = held[(near >= DOUBT) & _alike(size[held], size[i])]
         a.append(node[some])
         b.append(np.full(len(some), node[i]))
         if n > FEW and not (near >= SURE).any():
@@ -133,28 +141,43 @@ def in_group(rows: pa.Table) -> pa.Table:
     return pa.table({"a": np.concatenate([node[:0], *a]), "b": np.concatenate([node[:0], *b])})
 
 
-@lru_cache(maxsize=64)
 def _set_of(text: str | None) -> np.ndarray:
     words = words_of(text)
     return np.unique(shingles(words)) if words else np.zeros(1, dtype=np.uint64)
 
 
-def similar(x: str | None, y: str | None) -> bool:
-    p, q = _set_of(x), _set_of(y)
-    if min(len(p), len(q)) < SIMILARITY * max(len(p), len(q)):
+def similar(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two sorted sets of shingles have the similarity."""
+    if not _alike(len(p), len(q)):
         return False
-    shared = len(np.intersect1d(p, q, assume_unique=True))
+    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+    shared = int((q[at] == p).sum())
     return shared >= SIMILARITY * (len(p) + len(q) - shared)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sets: dict[int, np.ndarray] = {}  # of the texts met last
+    held = 0
+
+    def set_of(node: int, text: pa.Scalar) -> np.ndarray:
+        nonlocal held
+        found = sets.get(node)
+        if found is None:
+            if held > HELD:
+                sets.clear()
+                held = 0
+            found = sets[node] = _set_of(text.as_py())
+            held += len(found)
+        return found
+
     for batch in batches:
-        near = [similar(x.as_py(), y.as_py()) for x, y in zip(batch.column("a_text"), batch.column("b_text"), strict=True)]
+        sides = [(batch.column(s).to_pylist(), batch.column(f"{s}_text")) for s in "ab"]
+        near = [similar(set_of(a, x), set_of(b, y)) for a, x, b, y in zip(*sides[0], *sides[1], strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 
-def _beside(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    side = lambda s: table.select(F.col("node").alias(s), F.col(column).alias(f"{s}_{column}"))
+def _beside(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    side = lambda s: table.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns])
     return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
@@ -169,29 +192,29 @@ def by_fingerprint(reps: DataFrame, written: Written) -> DataFrame:
 
 
 def likely_pairs(reps: DataFrame, written: Written) -> DataFrame:
-    """Pairs (a, b) of nodes that share a band and are likely similar, enough to link all that the groups hold. reps: (node, marks, keys)."""
-    member = reps.select("node", "marks", "keys", F.explode(F.slice("keys", 1, BANDS)).alias("key"))
+    """Pairs (a, b) of nodes that share a band and are likely similar, enough to link all that the groups hold. reps: (node, size, marks, keys)."""
+    member = reps.select("node", "size", "marks", "keys", F.explode(F.slice("keys", 1, BANDS)).alias("key"))
     found, level = None, 0
     while True:
         sizes = member.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
         sized = written.table(member.join(sizes, "key"))
-        near = sized.where(F.col("n") <= GROUP).select("key", "node", "marks").groupBy("key").applyInArrow(in_group, "a long, b long")
+        near = sized.where(F.col("n") <= GROUP).select("key", "node", "size", "marks").groupBy("key").applyInArrow(in_group, "a long, b long")
         large = sized.where((F.col("n") > GROUP) & (F.col("node") != F.col("least")))
         if large.isEmpty():
             return (near if found is None else found.unionAll(near)).distinct()
         stars = large.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-        stars = written.table(_beside(stars, reps, "marks").mapInArrow(_likely, "a long, b long"))
+        stars = written.table(_beside(stars, reps, "size", "marks").mapInArrow(_likely, "a long, b long"))
         near = near.unionAll(stars)
         found = near if found is None else found.unionAll(near)
-        rest = large.join(stars, (large["least"] == stars["a"]) & (large["node"] == stars["b"]), "left_anti").select("node", "marks", "keys", "key")
+        rest = large.join(stars, (large["least"] == stars["a"]) & (large["node"] == stars["b"]), "left_anti").select("node", "size", "marks", "keys", "key")
         if level < LEVELS:
             start = BANDS + level * MORE_BANDS + 1
-            rest = rest.select("node", "marks", "keys", "key", F.explode(F.slice("keys", start, MORE_BANDS)).alias("cut")).select("node", "marks", "keys", F.xxhash64("key", "cut").alias("key"))
+            rest = rest.select("node", "size", "marks", "keys", "key", F.explode(F.slice("keys", start, MORE_BANDS)).alias("cut")).select("node", "size", "marks", "keys", F.xxhash64("key", "cut").alias("key"))
         member, level = written.table(rest), level + 1
 
 
 def similar_pairs(reps: DataFrame, texts: DataFrame, written: Written) -> DataFrame:
-    """Confirmed pairs (a, b) of nodes. reps: (node, fp, marks, keys), texts: (node, text)."""
+    """Confirmed pairs (a, b) of nodes. reps: (node, fp, size, marks, keys), texts: (node, text)."""
     pairs = written.table(by_fingerprint(reps, written).unionAll(likely_pairs(reps, written)).distinct())
     return _beside(pairs, texts, "text").mapInArrow(_confirm, "a long, b long")
 
@@ -203,11 +226,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = written.table(docs.select(document(docs), F.monotonically_increasing_id().alias("node")))
     texts = rows.select("node", "document.text")
     signed = rows.select("node", "document.doc_id", "document.text", F.unhex(F.md5("document.text")).alias("digest"))
-    signed = written.table(signed.mapInArrow(_signatures, f"node long, doc_id {kind}, digest binary, norm binary, fp long, marks binary, keys array<bigint>"))
+    signed = written.table(signed.mapInArrow(_signatures, f"node long, doc_id {kind}, digest binary, norm binary, fp long, size long, marks binary, keys array<bigint>"))
     # by doc_id, those without one last, then by text
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest", "node")
     firsts = signed.groupBy("norm").agg(F.min(first).alias("first")).select("first", F.col("first.node").alias("node"))
-    reps = written.table(signed.select("node", "fp", "marks", "keys").join(firsts, "node"))
+    reps = written.table(signed.select("node", "fp", "size", "marks", "keys").join(firsts, "node"))
     joined = components(similar_pairs(reps, texts, written), written)
     rooted = reps.select("node", "first").join(joined.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
     chosen = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.node").alias("node"))

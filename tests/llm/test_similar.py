@@ -5,11 +5,15 @@ import importlib
 import pytest
 
 from pairlens.llm import similar
-from pairlens.llm.similar import one_of_each, shingles, similar as are_similar
+from pairlens.llm.similar import _set_of, one_of_each, shingles, similar as sets_similar
 
 pipeline = importlib.import_module("corpus_pipeline")
 
 
+def are_similar(x, y):
+    return sets_similar(_set_of(x), _set_of(y))
+
+
 def plain_kept(rows):
     sets = []
     for i, text in rows:
@@ -44,6 +48,15 @@ def test_large_groups(spark, monkeypatch, size):
     assert sorted(r.doc_id for r in got.collect()) == plain_kept(rows) == [0, *range(100, 160)]
 
 
+def test_few_shingles_kept_between_pairs(spark, monkeypatch):
+    """Sets that are forgotten and hashed again give the same rows."""
+    rows = [(n, " ".join(f"w{(n // 4 * 1000 + i) if i > 2 else n * 10 + i}" for i in range(80))) for n in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(r.doc_id for r in one_of_each(docs).collect())
+    monkeypatch.setattr(similar, "HELD", 1)
+    assert sorted(r.doc_id for r in one_of_each(docs).collect()) == want == plain_kept(rows)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = one_of_each(odd_docs)
     assert got.columns == odd_docs.columns
