@@ -43,7 +43,7 @@ FEW = 24  # texts of a group that gives all its likely pairs
 SURE = 0.9  # estimated similarity to a leader from which a text leads no others
 DOUBT = 0.65  # estimated similarity from which texts are compared: four standard errors below SIMILARITY
 CHUNK = 1 << 10  # shingles hashed at once
-HELD = 4_000_000  # shingles of texts that a task keeps while it confirms pairs
+HELD = 4_000_000  # shingles of texts that a task keeps while it confirms pairs, or a group that confirms its own
 _rng = np.random.default_rng(SEED)
 HASHES = ROWS * BANDS + LEVELS * MORE_ROWS * MORE_BANDS
 FACTORS, SHIFTS = (_rng.integers(0, 2**32, HASHES, dtype=np.uint32)[:, None] for _ in range(2))
@@ -176,6 +176,17 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 
+def in_crowd(rows: pa.Table) -> pa.Table:
+    """Pairs of a group, confirmed by the texts that came with it."""
+    rows = rows.sort_by("node")
+    pairs = in_group(rows)
+    text, sets = rows.column("text"), {}
+    ends = [np.searchsorted(rows.column("node").to_numpy(), pairs.column(c).to_numpy()).tolist() for c in "ab"]
+    for i in {*ends[0], *ends[1]}:
+        sets[i] = _set_of(text[i].as_py())
+    return pairs.filter(pa.array([similar(sets[i], sets[j]) for i, j in zip(*ends, strict=True)], pa.bool_()))
+
+
 def _beside(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
     side = lambda s: table.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns])
     return pairs.join(side("a"), "a").join(side("b"), "b")
@@ -191,17 +202,26 @@ def by_fingerprint(reps: DataFrame, written: Written) -> DataFrame:
     return reps.join(named, "fp").select("a", F.col("node").alias("b")).where("a < b")
 
 
-def likely_pairs(reps: DataFrame, written: Written) -> DataFrame:
-    """Pairs (a, b) of nodes that share a band and are likely similar, enough to link all that the groups hold. reps: (node, size, marks, keys)."""
+def likely_pairs(reps: DataFrame, texts: DataFrame, written: Written) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of nodes that share a band: likely similar ones, and confirmed ones; enough to link all that the groups hold.
+
+    Groups of more than FEW texts get the texts and confirm their pairs themselves, so that pairs of a crowd never
+    leave its task, unless the texts together are too long for one task. reps: (node, size, marks, keys), texts: (node, text).
+    """
     member = reps.select("node", "size", "marks", "keys", F.explode(F.slice("keys", 1, BANDS)).alias("key"))
-    found, level = None, 0
+    tasks = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found, sure, level = None, None, 0
     while True:
-        sizes = member.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
+        sizes = member.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.sum("size").alias("total")).where("n > 1")
         sized = written.table(member.join(sizes, "key"))
-        near = sized.where(F.col("n") <= GROUP).select("key", "node", "size", "marks").groupBy("key").applyInArrow(in_group, "a long, b long")
+        small = sized.where(F.col("n") <= GROUP).select("key", "node", "size", "marks", ((F.col("n") > FEW) & (F.col("total") <= HELD)).alias("crowd"))
+        near = small.where("NOT crowd").groupBy("key").applyInArrow(in_group, "a long, b long")
+        # by a number of tasks: few bytes may be much work, so small partitions are not to be merged
+        crowds = small.where("crowd").join(texts, "node").repartition(tasks, "key").groupBy("key").applyInArrow(in_crowd, "a long, b long")
+        sure = crowds if sure is None else sure.unionAll(crowds)
         large = sized.where((F.col("n") > GROUP) & (F.col("node") != F.col("least")))
         if large.isEmpty():
-            return (near if found is None else found.unionAll(near)).distinct()
+            return near if found is None else found.unionAll(near), sure
         stars = large.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
         stars = written.table(_beside(stars, reps, "size", "marks").mapInArrow(_likely, "a long, b long"))
         near = near.unionAll(stars)
@@ -215,8 +235,9 @@ def likely_pairs(reps: DataFrame, written: Written) -> DataFrame:
 
 def similar_pairs(reps: DataFrame, texts: DataFrame, written: Written) -> DataFrame:
     """Confirmed pairs (a, b) of nodes. reps: (node, fp, size, marks, keys), texts: (node, text)."""
-    pairs = written.table(by_fingerprint(reps, written).unionAll(likely_pairs(reps, written)).distinct())
-    return _beside(pairs, texts, "text").mapInArrow(_confirm, "a long, b long")
+    likely, sure = likely_pairs(reps, texts, written)
+    pairs = written.table(by_fingerprint(reps, written).unionAll(likely).distinct())
+    return _beside(pairs, texts, "text").mapInArrow(_confirm, "a long, b long").unionAll(sure)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
