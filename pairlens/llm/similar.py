@@ -10,7 +10,8 @@ that they were held against, until no large group is left. So neither many near
 passage make pairs with the square of their number. Every proposed pair is confirmed by the exact
 Jaccard similarity of the two whole texts.
 
-Of the documents that stay no two are similar: a pair of similarity 0.8 shares a band with
+Links can be lost in groups of more than GROUP texts, where a text likely similar to the smallest is
+held against it alone; its other links must come from its other bands. Elsewhere a pair of similarity 0.8 shares a band with
 probability 1 - (1 - 0.8 ** 4) ** 15 = 0.9996, and its estimate is below DOUBT once in twenty thousand.
 
 Nulls: a null text counts as an empty one, and empty texts as copies of each other. A text with
