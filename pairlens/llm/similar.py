@@ -2,17 +2,21 @@
 
 SimHash proposes first: fingerprints over five-word shingles are joined by the binary trie. A pair
 of similarity 0.8 differs in some ten of 64 bits, though, where no trie can prune, so MinHash bands
-propose the rest. Texts that agree in one of BANDS bands meet in a group. Groups of at most GROUP
-texts are compared by the signatures, in numpy, in one task each; of more than FEW texts each is
-paired with leaders only. In a larger group each text is held against the smallest, and those that
-are far from it meet again: in groups cut by further bands, then, round by round, without the text
-that they were held against, until no large group is left. So neither many near copies nor a common
-passage make pairs with the square of their number. Every proposed pair is confirmed by the exact
-Jaccard similarity of the two whole texts.
-
-Links can be lost in groups of more than GROUP texts, where a text likely similar to the smallest is
-held against it alone; its other links must come from its other bands. Elsewhere a pair of similarity 0.8 shares a band with
-probability 1 - (1 - 0.8 ** 4) ** 15 = 0.9996, and its estimate is below DOUBT once in twenty thousand.
+propose the rest. Texts that agree in one of BANDS bands meet in a group. A group of at most FEW
+texts gives all its likely pairs by the signatures. A larger one of at most GROUP texts is compared
+in one task, which confirms likely pairs of texts that no confirmed pair links yet.
+
+In a group larger still, each text is held against the smallest, its pivot. Those similar to the
+pivot leave the group, as they are linked already. One of them can only be similar to a text that
+is within twice the distance of the pivot (Jaccard distance is a metric), so they are compared with
+those texts, the ring, in blocks of GROUP. All that is left is cut by further bands; what is still
+large after LEVELS cuts is compared block by block. So near copies make no pairs with the square of
+their number, and no group drops a likely pair: every one is confirmed by the exact Jaccard
+similarity of the two whole texts, or its texts are linked by others.
+
+A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 4) ** 15 = 0.9996, its
+estimate is below DOUBT once in twenty thousand, and it shares a cut of a large group that holds
+both and no similar pivot with probability 1 - (1 - 0.8 ** 3) ** 8 = 0.997.
 
 Nulls: a null text counts as an empty one, and empty texts as copies of each other. A text with
 fewer than five words is one shingle. Repeated rows and rows with null or repeated ids are told apart
@@ -24,11 +28,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.llm.common import Written, components, document, restored
@@ -41,10 +46,10 @@ MORE_BANDS, MORE_ROWS = 8, 3  # of each cut of a large group
 LEVELS = 2  # cuts of a large group
 GROUP = 1024  # texts of a group that one task compares
 FEW = 24  # texts of a group that gives all its likely pairs
-SURE = 0.9  # estimated similarity to a leader from which a text leads no others
+RING = 0.41  # estimated similarity to a pivot from which texts may be similar to those similar to it: four standard errors below 1 - 2 * (1 - SIMILARITY)
 DOUBT = 0.65  # estimated similarity from which texts are compared: four standard errors below SIMILARITY
 CHUNK = 1 << 10  # shingles hashed at once
-HELD = 4_000_000  # shingles of texts that a task keeps while it confirms pairs, or a group that confirms its own
+HELD = 4_000_000  # shingles of texts that a task keeps while it confirms pairs, or of a group or block that confirms its own
 _rng = np.random.default_rng(SEED)
 HASHES = ROWS * BANDS + LEVELS * MORE_ROWS * MORE_BANDS
 FACTORS, SHIFTS = (_rng.integers(0, 2**32, HASHES, dtype=np.uint32)[:, None] for _ in range(2))
@@ -117,29 +122,23 @@ def _marks(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES)
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose estimated similarity is not far below SIMILARITY."""
+def _near_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs of a pivot and a text, those in its ring or nearer, and whether they may be similar."""
     for batch in batches:
-        near = _estimates(_marks(batch.column("a_marks")), _marks(batch.column("b_marks"))) >= DOUBT
-        yield batch.select(["a", "b"]).filter(pa.array(near & _alike(batch.column("a_size").to_numpy(), batch.column("b_size").to_numpy())))
+        x, y = batch.column("a_size").to_numpy(), batch.column("b_size").to_numpy()
+        found = _estimates(_marks(batch.column("a_marks")), _marks(batch.column("b_marks")))
+        ring = (found >= RING) & (np.minimum(x, y) >= SIMILARITY**2 * np.maximum(x, y))
+        likely = pa.array(ring & (found >= DOUBT) & _alike(x, y))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), likely], ["a", "b", "likely"]).filter(pa.array(ring))
 
 
 def in_group(rows: pa.Table) -> pa.Table:
-    """Likely pairs of a group of at most GROUP texts: all of a few, else of each text with the leaders (texts far from all leaders before them)."""
+    """All likely pairs of a group of few texts."""
     rows = rows.sort_by("node")
     node, size, marks = rows.column("node").to_numpy(), rows.column("size").to_numpy(), _marks(rows.column("marks"))
-    n = len(node)
-    leaders: list[int] = []
-    a, b = [], []
-    for i in range(1, n) if n <= FEW else range(n):
-        held = np.arange(i) if n <= FEW else np.array(leaders, dtype=np.int64)
-        near = _estimates(marks[held], marks[i])
-        some = held[(near >= DOUBT) & _alike(size[held], size[i])]
-        a.append(node[some])
-        b.append(np.full(len(some), node[i]))
-        if n > FEW and not (near >= SURE).any():
-            leaders.append(i)
-    return pa.table({"a": np.concatenate([node[:0], *a]), "b": np.concatenate([node[:0], *b])})
+    i, j = np.triu_indices(len(node), 1)
+    near = (_estimates(marks[i], marks[j]) >= DOUBT) & _alike(size[i], size[j])
+    return pa.table({"a": node[i[near]], "b": node[j[near]]})
 
 
 def _set_of(text: str | None) -> np.ndarray:
@@ -178,14 +177,34 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def in_crowd(rows: pa.Table) -> pa.Table:
-    """Pairs of a group, confirmed by the texts that came with it."""
-    rows = rows.sort_by("node")
-    pairs = in_group(rows)
-    text, sets = rows.column("text"), {}
-    ends = [np.searchsorted(rows.column("node").to_numpy(), pairs.column(c).to_numpy()).tolist() for c in "ab"]
-    for i in {*ends[0], *ends[1]}:
-        sets[i] = _set_of(text[i].as_py())
-    return pairs.filter(pa.array([similar(sets[i], sets[j]) for i, j in zip(*ends, strict=True)], pa.bool_()))
+    """Links among the texts of a group, enough to connect all that likely pairs connect; or between two sides of it.
+
+    linked: texts of the first side that others link already.
+    """
+    rows = rows.sort_by([("right", "ascending"), ("node", "ascending")])
+    node, size, marks = rows.column("node").to_numpy(), rows.column("size").to_numpy(), _marks(rows.column("marks"))
+    text, n = rows.column("text"), len(node)
+    right = np.array(rows.column("right").to_pylist(), dtype=bool)
+    lefts = int((~right).sum())
+    group = np.where(np.array(rows.column("linked").to_pylist(), dtype=bool), -1, np.arange(n))  # texts linked so far
+    sets: dict[int, np.ndarray] = {}
+    a, b = [], []
+    for i in range(lefts if right.any() else 1, n):
+        held = np.flatnonzero(_alike(size[: min(i, lefts)], size[i]))
+        near = _estimates(marks[held], marks[i])
+        held = held[near >= DOUBT][np.argsort(-near[near >= DOUBT], kind="stable")]
+        held = held[group[held] != group[i]]
+        while len(held):
+            j = int(held[0])
+            p, q = (sets[k] if k in sets else sets.setdefault(k, _set_of(text[k].as_py())) for k in (j, i))
+            if similar(p, q):
+                a.append(node[j])
+                b.append(node[i])
+                group[group == group[i]] = group[j]
+                held = held[group[held] != group[j]]
+            else:
+                held = held[1:]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _beside(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
@@ -203,40 +222,76 @@ def by_fingerprint(reps: DataFrame, written: Written) -> DataFrame:
     return reps.join(named, "fp").select("a", F.col("node").alias("b")).where("a < b")
 
 
-def likely_pairs(reps: DataFrame, texts: DataFrame, written: Written) -> tuple[DataFrame, DataFrame]:
+def _blocks(n: str, total: str) -> Column:
+    """How many blocks hold so many texts with so many shingles."""
+    return F.greatest(F.ceil(F.col(n) / GROUP), F.ceil(F.col(total) / HELD)).cast("int")
+
+
+def _compared(rows: DataFrame, texts: DataFrame, tasks: int) -> DataFrame:
+    """Confirmed links (a, b) inside groups. rows: (key, node, size, marks, right, linked), a key's texts few enough for a task."""
+    # by a number of tasks: few bytes may be much work, so small partitions are not to be merged
+    return rows.join(texts, "node").repartition(tasks, "key").groupBy("key").applyInArrow(in_crowd, "a long, b long")
+
+
+def with_ring(near: DataFrame, similar_to: DataFrame, reps: DataFrame) -> DataFrame:
+    """Of each pivot a, blocks of texts similar to it against blocks of those in its ring, as _compared takes them."""
+    inner = similar_to.select("a", F.col("b").alias("node"))
+    outer = near.join(similar_to, ["a", "b"], "left_anti").select("a", F.col("b").alias("node"))
+    sized = inner.withColumn("right", F.lit(False)).unionAll(outer.withColumn("right", F.lit(True))).join(reps.select("node", "size", "marks"), "node")
+    count = lambda side, s: [F.count_if(side).alias(f"n_{s}"), F.coalesce(F.sum(F.when(side, F.col("size"))), F.lit(0)).alias(f"t_{s}")]
+    counts = sized.groupBy("a").agg(*count(~F.col("right"), "l"), *count(F.col("right"), "r")).where("n_l > 0 AND n_r > 0")
+    both = sized.join(counts.select("a", _blocks("n_l", "t_l").alias("l"), _blocks("n_r", "t_r").alias("r")), "a")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("right"), F.col("r")).otherwise(F.col("l")))
+    both = both.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("right"), F.col("l")).otherwise(F.col("r")) - 1)))
+    ends = [F.when(F.col("right"), F.col(x)).otherwise(F.col(y)) for x, y in (("other", "own"), ("own", "other"))]
+    return both.select(F.xxhash64("a", *ends).alias("key"), "node", "size", "marks", "right", (~F.col("right")).alias("linked"))
+
+
+def in_pieces(rest: DataFrame) -> DataFrame:
+    """Groups too large for a task as pairs of blocks, as _compared takes them."""
+    sizes = rest.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    cut = rest.join(sizes.select("key", _blocks("n", "total").alias("k")), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    key = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return cut.select(key.alias("key"), "node", "size", "marks", (F.col("own") > F.col("other")).alias("right"), F.lit(False).alias("linked"))
+
+
+def banded_pairs(reps: DataFrame, texts: DataFrame, written: Written) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of nodes that share a band: likely similar ones, and confirmed ones; enough to link all that the groups hold.
 
     Groups of more than FEW texts get the texts and confirm their pairs themselves, so that pairs of a crowd never
-    leave its task, unless the texts together are too long for one task. reps: (node, size, marks, keys), texts: (node, text).
+    leave its task. reps: (node, size, marks, keys), texts: (node, text).
     """
+    columns = ["node", "size", "marks", "keys", "key"]
     member = reps.select("node", "size", "marks", "keys", F.explode(F.slice("keys", 1, BANDS)).alias("key"))
     tasks = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found, sure, level = None, None, 0
-    while True:
+    likely, sure = [], []
+    for level in range(LEVELS + 1):
         sizes = member.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.sum("size").alias("total")).where("n > 1")
-        sized = written.table(member.join(sizes, "key"))
-        small = sized.where(F.col("n") <= GROUP).select("key", "node", "size", "marks", ((F.col("n") > FEW) & (F.col("total") <= HELD)).alias("crowd"))
-        near = small.where("NOT crowd").groupBy("key").applyInArrow(in_group, "a long, b long")
-        # by a number of tasks: few bytes may be much work, so small partitions are not to be merged
-        crowds = small.where("crowd").join(texts, "node").repartition(tasks, "key").groupBy("key").applyInArrow(in_crowd, "a long, b long")
-        sure = crowds if sure is None else sure.unionAll(crowds)
-        large = sized.where((F.col("n") > GROUP) & (F.col("node") != F.col("least")))
+        kind = F.when(F.col("n") <= FEW, "few").when((F.col("n") <= GROUP) & (F.col("total") <= HELD), "crowd").otherwise("large")
+        sized = written.table(member.join(sizes, "key").withColumn("kind", kind))
+        likely.append(sized.where("kind = 'few'").select("key", "node", "size", "marks").groupBy("key").applyInArrow(in_group, "a long, b long"))
+        crowds = sized.where("kind = 'crowd'").select("key", "node", "size", "marks", F.lit(False).alias("right"), F.lit(False).alias("linked"))
+        sure.append(_compared(crowds, texts, tasks))
+        large = sized.where("kind = 'large' AND node <> least")
         if large.isEmpty():
-            return near if found is None else found.unionAll(near), sure
+            break
         stars = large.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-        stars = written.table(_beside(stars, reps, "size", "marks").mapInArrow(_likely, "a long, b long"))
-        near = near.unionAll(stars)
-        found = near if found is None else found.unionAll(near)
-        rest = large.join(stars, (large["least"] == stars["a"]) & (large["node"] == stars["b"]), "left_anti").select("node", "size", "marks", "keys", "key")
-        if level < LEVELS:
-            start = BANDS + level * MORE_BANDS + 1
-            rest = rest.select("node", "size", "marks", "keys", "key", F.explode(F.slice("keys", start, MORE_BANDS)).alias("cut")).select("node", "size", "marks", "keys", F.xxhash64("key", "cut").alias("key"))
-        member, level = written.table(rest), level + 1
+        near = written.table(_beside(stars, reps, "size", "marks").mapInArrow(_near_pivots, "a long, b long, likely boolean"))
+        similar_to = written.table(_beside(near.where("likely").select("a", "b"), texts, "text").mapInArrow(_confirm, "a long, b long"))
+        sure += [similar_to, _compared(with_ring(near, similar_to, reps), texts, tasks)]
+        rest = large.join(similar_to, (large["least"] == similar_to["a"]) & (large["node"] == similar_to["b"]), "left_anti").select(*columns)
+        if level == LEVELS:
+            sure.append(_compared(in_pieces(rest), texts, tasks))
+        else:
+            cuts = rest.withColumn("cut", F.explode(F.slice("keys", BANDS + level * MORE_BANDS + 1, MORE_BANDS)))
+            member = written.table(cuts.withColumn("key", F.xxhash64("key", "cut")).select(*columns))
+    return reduce(DataFrame.unionAll, likely), reduce(DataFrame.unionAll, sure)
 
 
 def similar_pairs(reps: DataFrame, texts: DataFrame, written: Written) -> DataFrame:
     """Confirmed pairs (a, b) of nodes. reps: (node, fp, size, marks, keys), texts: (node, text)."""
-    likely, sure = likely_pairs(reps, texts, written)
+    likely, sure = banded_pairs(reps, texts, written)
     pairs = written.table(by_fingerprint(reps, written).unionAll(likely).distinct())
     return _beside(pairs, texts, "text").mapInArrow(_confirm, "a long, b long").unionAll(sure)
 

@@ -48,6 +48,28 @@ def test_large_groups(spark, monkeypatch, size):
     assert sorted(r.doc_id for r in got.collect()) == plain_kept(rows) == [0, *range(100, 160)]
 
 
+@pytest.mark.parametrize("size", [3, 20, 1024])
+def test_chains(spark, monkeypatch, size):
+    """Each text is similar to its neighbours only, however large the group that holds them all."""
+    monkeypatch.setattr(similar, "GROUP", size)
+    monkeypatch.setattr(similar, "FEW", 2)
+    rows = [(n, " ".join([f"c{i}" for i in range(8 * n, 8 * n + 120)])) for n in range(50)]
+    rows += [(100 + n, " ".join([*(f"p{i}" for i in range(4 * (n % 25), 200)), *(f"y{n}-{i}" for i in range(30))])) for n in range(50)]
+    got = one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == plain_kept(rows)
+
+
+def test_ring(spark, monkeypatch):
+    """A text that is similar to one similar to the pivot, not to the pivot itself, is linked."""
+    monkeypatch.setattr(similar, "GROUP", 4)
+    monkeypatch.setattr(similar, "FEW", 2)
+    copy = [f"c{i}" for i in range(200)]
+    rows = [(n, " ".join([*copy[: 195 - n % 2], *(f"x{n}-{i}" for i in range(5))])) for n in range(20)]
+    rows += [(50 + n, " ".join([*copy[: 168 - n], *(f"z{i}" for i in range(2 + n))])) for n in range(20)]
+    got = one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == plain_kept(rows)
+
+
 def test_few_shingles_kept_between_pairs(spark, monkeypatch):
     """Sets that are forgotten and hashed again give the same rows."""
     rows = [(n, " ".join(f"w{(n // 4 * 1000 + i) if i > 2 else n * 10 + i}" for i in range(80))) for n in range(80)]
