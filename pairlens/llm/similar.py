@@ -110,7 +110,11 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _estimates(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Similarities estimated from rows of marks; marks agree once in 256 by chance."""
-    return ((x == y).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
+    return _estimate((x == y).sum(axis=-1, dtype=np.uint8))
+
+
+def _estimate(agreed: np.ndarray) -> np.ndarray:
+    return (agreed / HASHES - 1 / 256) / (1 - 1 / 256)
 
 
 def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -182,28 +186,36 @@ def in_crowd(rows: pa.Table) -> pa.Table:
     linked: texts of the first side that others link already.
     """
     rows = rows.sort_by([("right", "ascending"), ("node", "ascending")])
-    node, size, marks = rows.column("node").to_numpy(), rows.column("size").to_numpy(), _marks(rows.column("marks"))
+    node, size = rows.column("node").to_numpy(), rows.column("size").to_numpy()
+    marks = np.ascontiguousarray(_marks(rows.column("marks")).T)  # a row for each hash: long rows compare fast
     text, n = rows.column("text"), len(node)
     right = np.array(rows.column("right").to_pylist(), dtype=bool)
     lefts = int((~right).sum())
     group = np.where(np.array(rows.column("linked").to_pylist(), dtype=bool), -1, np.arange(n))  # texts linked so far
-    sets: dict[int, np.ndarray] = {}
+    sets = [_set_of(t.as_py()) for t in text]
+    starts = np.cumsum([0, *map(len, sets)])
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own = np.zeros(flat.max() + 1, dtype=np.int32)  # whether a shingle is in the text at hand
     a, b = [], []
     for i in range(lefts if right.any() else 1, n):
-        held = np.flatnonzero(_alike(size[: min(i, lefts)], size[i]))
-        near = _estimates(marks[held], marks[i])
-        held = held[near >= DOUBT][np.argsort(-near[near >= DOUBT], kind="stable")]
-        held = held[group[held] != group[i]]
-        while len(held):
-            j = int(held[0])
-            p, q = (sets[k] if k in sets else sets.setdefault(k, _set_of(text[k].as_py())) for k in (j, i))
-            if similar(p, q):
+        before = min(i, lefts)
+        near = _estimate((marks[:, :before] == marks[:, i : i + 1]).sum(axis=0, dtype=np.uint8))
+        held = np.flatnonzero((near >= DOUBT) & _alike(size[:before], size[i]))
+        if not len(held):
+            continue
+        best = int(held[np.argmax(near[held])])
+        linked = [best] if similar(sets[best], sets[i]) else []
+        if not linked or (group[held] != group[best]).any():  # the others may link it to further groups
+            mine = flat[starts[i] : starts[i + 1]]
+            own[mine] = 1
+            shared = np.add.reduceat(own[flat[: starts[before]]], starts[:before])[held]
+            own[mine] = 0
+            linked += held[shared >= SIMILARITY * (size[held] + size[i] - shared)].tolist()
+        for j in linked:
+            if group[j] != group[i]:
                 a.append(node[j])
                 b.append(node[i])
                 group[group == group[i]] = group[j]
-                held = held[group[held] != group[j]]
-            else:
-                held = held[1:]
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
