@@ -101,7 +101,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(distinct))
             norms.append(hashlib.md5(b" ".join(words)).digest())
             prints.append(majority(found))
-            marks.append((least >> np.uint32(24)).astype(np.uint8).tobytes())
+            marks.append((least & np.uint32(255)).astype(np.uint8).tobytes())  # low bits: the high ones of a minimum are 0 in long texts
             keys.append(bands(least))
         fps = np.array(prints, dtype=np.uint64).view(np.int64)
         columns = [batch.column("node"), batch.column("doc_id"), batch.column("digest"), pa.array(norms, pa.binary()), pa.array(fps), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]

@@ -2,6 +2,7 @@
 
 import importlib
 
+import numpy as np
 import pytest
 
 from pairlens.llm import similar
@@ -112,3 +113,17 @@ def test_shingles_are_those_of_the_words():
     assert len(got) == len(want) and len(set(got)) == len(set(want)) == len(set(zip(got, want, strict=True)))
     assert len(shingles(words[:3])) == 1 and shingles(words[:3])[0] != shingles(words[1:4])[0]
     assert are_similar(" ".join(f"x{i}" for i in range(100)), " ".join(f"x{i}" for i in range(2, 100))) and not are_similar("a b c d e f g", "a b c d x f g")
+
+
+@pytest.mark.parametrize("size", [20, 100, 300, 1000, 3000, 20000])
+def test_estimates_at_any_length(size):
+    """Marks tell disjoint sets from sets of the similarity, however many shingles they have."""
+    rng = np.random.default_rng(size)
+    marks = lambda hashes: np.frombuffer((similar.signature(hashes) & np.uint32(255)).astype(np.uint8).tobytes(), np.uint8)
+    for _ in range(10):
+        x = rng.integers(0, 2**63, 2 * size, dtype=np.uint64)
+        apart = similar._estimates(marks(x[:size]), marks(x[size:]))
+        assert apart < 0.1
+        shift = size // 9  # shares 8 of 10 distinct shingles
+        near = similar._estimates(marks(x[:size]), marks(x[shift : shift + size]))
+        assert near > similar.DOUBT
