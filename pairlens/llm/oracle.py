@@ -1,7 +1,8 @@
-"""SQL of the quality rules, for an engine with RE2 patterns."""
+"""SQL of the quality rules and of the repair of conversations, for an engine with RE2 patterns."""
 
 from __future__ import annotations
 
+from pairlens.llm import conversations as d
 from pairlens.llm import quality as q
 from pairlens.llm.common import SPACE, WORD
 
@@ -52,3 +53,71 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   NOT (n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words) AND length(text) - left_chars <= {q.MAX_LOST} * length(text) AS kept
 FROM counted
 """
+
+# The damage and the report of op13, for an engine with recursive tables. crc32 is written out: its argument is ASCII.
+_CRC = """xor(4294967295, list_reduce(list_transform(string_split(concat(coalesce(conversations.conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')), ''), lambda x: ord(x)::BIGINT),
+    lambda c, b: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)), 4294967295::BIGINT))"""
+_GO = {  # by state: cost of deleting, of keeping and of the other role, from costs v after a turn
+    state: f"least({d.DELETE} + v[{state + 1}], CASE WHEN fault NOT IN (1, 2) THEN {d.REROLE} + late + v[{d.AFTER[state] + 1}] END, "
+    + "".join(f"CASE WHEN fault NOT IN (1, 2) AND initial = '{i}' THEN late + v[{to[state] + 1}] END, " for i, to in d.KEPT.items() if state in to)
+    + "NULL)"
+    for state in range(4)
+}
+_NAME = "CASE s WHEN 2 THEN 'assistant' ELSE 'user' END"
+
+REPAIR_SQL = rf"""
+WITH RECURSIVE convs AS (
+  SELECT conv_id, row_number() OVER (ORDER BY conv_id) AS cid FROM (SELECT DISTINCT conv_id FROM conversations)
+), hit AS (
+  SELECT cid, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} % 20 AS kind
+  FROM conversations JOIN convs ON conversations.conv_id IS NOT DISTINCT FROM convs.conv_id
+), turns AS (
+  SELECT cid, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) FROM hit WHERE kind <> 0)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, text) AS i FROM turns
+), judged AS MATERIALIZED (
+  SELECT cid, turn, role, text, i, role[1:1] AS initial, CASE
+    WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+    WHEN row_number() OVER (PARTITION BY cid, role, text ORDER BY i) > 1 THEN 2
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault
+  FROM placed
+), rows_ AS MATERIALIZED (
+  SELECT *, CASE WHEN fault = 3 THEN {d.TRUNCATED} ELSE 0 END AS late FROM judged
+), sizes AS (
+  SELECT cid, (SELECT count(*) FROM rows_ WHERE rows_.cid = convs.cid) AS n FROM convs
+), back(cid, i, v) AS (
+  SELECT cid, n + 1, {list(d.END)}::BIGINT[] FROM sizes
+  UNION ALL
+  SELECT cid, i, [least(b[1], {d.INSERT} + b[3], {2 * d.INSERT} + b[4]), least(b[2], {d.INSERT} + b[3], {2 * d.INSERT} + b[4]), least(b[3], {d.INSERT} + b[4]), least(b[4], {d.INSERT} + b[3])]
+  FROM (SELECT rows_.cid, rows_.i, [{", ".join(_GO[s] for s in range(4))}] AS b FROM back JOIN rows_ ON rows_.cid = back.cid AND rows_.i = back.i - 1)
+), costs AS MATERIALIZED (
+  SELECT cid, i, v FROM back
+), walk(cid, i, s, audit, made) AS (
+  SELECT cid, 1::BIGINT, 0, '', []::VARCHAR[] FROM sizes
+  UNION ALL
+  SELECT cid, CASE WHEN e = 'I' THEN i ELSE i + 1 END,
+    CASE WHEN e = 'D' THEN s WHEN e = 'K' THEN kept WHEN s = 2 THEN 3 ELSE 2 END, audit || e,
+    CASE e WHEN 'D' THEN made WHEN 'I' THEN list_append(made, {_NAME} || ':') WHEN 'K' THEN list_append(made, role || ':' || text) ELSE list_append(made, {_NAME} || ':' || text) END
+  FROM (
+    SELECT *, CASE WHEN v[s + 1] = {d.DELETE} + w[s + 1] THEN 'D' WHEN v[s + 1] = {d.INSERT} + v[CASE s WHEN 2 THEN 4 ELSE 3 END] THEN 'I'
+      WHEN fault NOT IN (1, 2) AND v[s + 1] = late + w[kept + 1] THEN 'K' ELSE 'R' END AS e
+    FROM (
+      SELECT walk.*, now.v, next.v AS w, role, text, fault, late,
+        CASE WHEN initial = 's' AND s = 0 THEN 1 WHEN initial = 'u' AND s <> 2 THEN 2 WHEN initial = 'a' AND s = 2 THEN 3 END AS kept
+      FROM walk JOIN costs now ON now.cid = walk.cid AND now.i = walk.i LEFT JOIN costs next ON next.cid = walk.cid AND next.i = walk.i + 1 LEFT JOIN rows_ ON rows_.cid = walk.cid AND rows_.i = walk.i
+      WHERE next.i IS NOT NULL OR s IN (1, 2)
+    )
+  )
+), ends AS (
+  SELECT walk.cid, audit, made FROM walk JOIN sizes ON sizes.cid = walk.cid WHERE i = n + 1 AND s IN (0, 3)
+), counts AS (
+  SELECT cid, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 1) AS blank, count_if(fault = 2) AS duplicate, count_if(fault = 3) AS truncated,
+    count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(initial) OVER (PARTITION BY cid ORDER BY i) || initial AS pair FROM rows_) GROUP BY cid
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, v[1]::BIGINT AS cost, audit, sha256(array_to_string(made, chr(10))) AS repaired_sha256
+FROM convs JOIN ends USING (cid) JOIN costs ON costs.cid = convs.cid AND costs.i = 1 LEFT JOIN counts ON counts.cid = convs.cid
+"""
