@@ -1,4 +1,4 @@
-"""SQL of the quality rules and of the repair of conversations, for an engine with RE2 patterns."""
+"""SQL of the quality rules, of phrases and of the repair of conversations, for an engine with RE2 patterns."""
 
 from __future__ import annotations
 
@@ -121,3 +121,31 @@ SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS
   coalesce(illegal, 0)::BIGINT AS illegal, v[1]::BIGINT AS cost, audit, sha256(array_to_string(made, chr(10))) AS repaired_sha256
 FROM convs JOIN ends USING (cid) JOIN costs ON costs.cid = convs.cid AND costs.i = 1 LEFT JOIN counts ON counts.cid = convs.cid
 """
+
+PHRASES_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS MATERIALIZED (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words CROSS JOIN range(1, 5) AS sizes(m))
+), f AS MATERIALIZED (
+  SELECT lang, m, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang
+), candidates AS (
+  SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE m > 1
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, (2000000 * c.a::HUGEINT) // (x.a::HUGEINT + y.a) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')
+), weakest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, m - s + 2)) AS i FROM candidates CROSS JOIN range(2, 4) AS sizes(s) WHERE s < m) GROUP BY ALL
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT
+) JOIN totals USING (lang) WHERE rank <= 2000
+"""

@@ -11,8 +11,9 @@ from pairlens.llm.html import main_texts
 from pairlens.llm.langid import identified
 from pairlens.llm.lm import lm_scores
 from pairlens.llm.mixing import mix
-from pairlens.llm.oracle import QUALITY_SQL, REPAIR_SQL
+from pairlens.llm.oracle import PHRASES_SQL, QUALITY_SQL, REPAIR_SQL
 from pairlens.llm.packing import pack
+from pairlens.llm.phrases import collocations
 from pairlens.llm.pii import pii_report
 from pairlens.llm.quality import quality_report
 from pairlens.llm.shards import histogram_shards
@@ -64,9 +65,13 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(_table(spark, sf_dir, "pages"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(damaged(_table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_embeddings, op3_language, op4_shards, op5_packing, op6_mixing, op7_quality, op8_lm, op9_pii, op10_html, op13_conversations)}
-ORACLE_SQL: dict[str, str] = {"op7_quality": QUALITY_SQL, "op13_conversations": REPAIR_SQL}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_embeddings, op3_language, op4_shards, op5_packing, op6_mixing, op7_quality, op8_lm, op9_pii, op10_html, op12_phrases, op13_conversations)}
+ORACLE_SQL: dict[str, str] = {"op7_quality": QUALITY_SQL, "op12_phrases": PHRASES_SQL, "op13_conversations": REPAIR_SQL}
