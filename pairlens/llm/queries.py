@@ -18,6 +18,7 @@ from pairlens.llm.pii import pii_report
 from pairlens.llm.quality import quality_report
 from pairlens.llm.shards import histogram_shards
 from pairlens.llm.simhash import near_duplicates
+from pairlens.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +66,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(_table(spark, sf_dir, "pages"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
@@ -73,5 +78,5 @@ def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(damaged(_table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_embeddings, op3_language, op4_shards, op5_packing, op6_mixing, op7_quality, op8_lm, op9_pii, op10_html, op12_phrases, op13_conversations)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_embeddings, op3_language, op4_shards, op5_packing, op6_mixing, op7_quality, op8_lm, op9_pii, op10_html, op11_toxicity, op12_phrases, op13_conversations)}
 ORACLE_SQL: dict[str, str] = {"op7_quality": QUALITY_SQL, "op12_phrases": PHRASES_SQL, "op13_conversations": REPAIR_SQL}
