@@ -34,19 +34,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pairlens.llm.common import Written
-from pairlens.llm.lm import from_planes, planes
+from pairlens.llm.lm import from_planes, packed, planes, unpacked
 
 WORDS = (2, 3, 4)  # of a phrase
 ID, KEY = 4, 16  # bytes of a word's number, and of a key
 #: Byte by byte: A-Z in lower case, ends of pieces as line breaks.
 TRANSLATE = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d" + bytes(range(65, 91)), b"\n" * 10 + bytes(range(97, 123)))
 BREAK = b"\xff"  # in no UTF-8 text
-RUN = 2_000_000  # places whose keys are sorted at once
-BLOCK = 50_000  # distinct keys of a block
-RANGE_KEYS = 1_000_000  # keys of a range, as written
+RUN = 1_000_000  # places whose keys are sorted at once
+BLOCK = 25_000  # distinct keys of a block
+RANGE_KEYS = 600_000  # keys of a range, as written
 SAMPLED, SPLITTERS = 1000, 200_000  # keys of a block for each sampled one, and sampled ones at most from which splitters are chosen
 DICTIONARY_WORDS, DICTIONARY_BYTES = 500_000, 8_000_000
-DISTINCT = 400_000  # words that a task counts before it hands them on
+DISTINCT = 200_000  # words that a task counts before it hands them on
 CHUNK_BYTES = 16_000_000  # text of a chunk, where the dictionary is joined
 UNKNOWN = "und"
 SCALE, INSIDE = 2_000_000, 80
@@ -112,6 +112,17 @@ def keys(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 RUNS = "sample binary, n long, hi binary, lo binary, counts binary"
+CODEC = pa.Codec("zstd", 1)
+
+
+def _closed(hi: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Sorted keys and their counts, compressed: the first halves as steps, all byte by byte."""
+    return CODEC.compress(planes(np.diff(hi, prepend=np.uint64(0)).astype("<u8")), asbytes=True), CODEC.compress(planes(lo.astype("<u8")), asbytes=True), packed(n)
+
+
+def _opened(n: int, hi: bytes, lo: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    whole = lambda x: from_planes(CODEC.decompress(x, 8 * n, asbytes=True), "<u8")
+    return np.cumsum(whole(hi), dtype=np.uint64), whole(lo), unpacked(counts, n)
 
 
 def _blocks(ids: list[int]) -> Iterator[pa.RecordBatch]:
@@ -119,15 +130,10 @@ def _blocks(ids: list[int]) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(hi), BLOCK):
         a, b, c = hi[i : i + BLOCK], lo[i : i + BLOCK], n[i : i + BLOCK]
         at = np.arange(min(SAMPLED, len(a)) // 2, len(a), SAMPLED)
-        steps = np.diff(a, prepend=np.uint64(0))
-        columns = [pa.array([x]) for x in (np.stack([a[at], b[at]], axis=1).astype(">u8").tobytes(), len(a), planes(steps.astype("<u8")), planes(b.astype("<u8")), planes(c.astype("<u8")))]
+        columns = [pa.array([x]) for x in (np.stack([a[at], b[at]], axis=1).astype(">u8").tobytes(), len(a), *_closed(a, b, c))]
         yield pa.RecordBatch.from_arrays(columns, ["sample", "n", "hi", "lo", "counts"])
 
 
-def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.cumsum(from_planes(row["hi"], "<u8"), dtype=np.uint64), from_planes(row["lo"], "<u8"), from_planes(row["counts"], "<u8").astype(np.int64)
-
-
 class _Runs:
     """Gathers the numbers of words and hands on a sorted run whenever RUN are there."""
 
@@ -209,27 +215,24 @@ def _two(key: bytes) -> tuple[int, int]:
 
 
 def _cut(runs: DataFrame, splitters: list[bytes]) -> DataFrame:
-    """Blocks cut at the splitters: range, hi, lo, counts."""
+    """Blocks cut at the splitters: range, n, hi, lo, counts."""
     cuts = [_two(s) for s in splitters]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         highs = np.array([h for h, _ in cuts], dtype=np.uint64)
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                hi, lo, n = _opened(row)
+            for i in range(batch.num_rows):
+                hi, lo, n = _opened(*[batch.column(c)[i].as_py() for c in ("n", "hi", "lo", "counts")])
                 least, most = np.searchsorted(highs, hi[0], "left"), np.searchsorted(highs, hi[-1], "right")
                 places = [0]
                 for h, low in cuts[least:most]:
                     a, b = np.searchsorted(hi, np.uint64(h), "left"), np.searchsorted(hi, np.uint64(h), "right")
                     places.append(int(a + np.searchsorted(lo[a:b], np.uint64(low), "left")))
                 places.append(len(hi))
-                for k, (a, b) in enumerate(zip(places[:-1], places[1:], strict=True)):
-                    if a < b:
-                        out.append((int(least) + k, planes(np.diff(hi[a:b], prepend=np.uint64(0))), planes(lo[a:b]), planes(n[a:b].astype("<u8"))))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), *[pa.array([x[i] for x in out], pa.binary()) for i in (1, 2, 3)]], ["range", "hi", "lo", "counts"])
+                out = [(int(least) + k, b - a, *_closed(hi[a:b], lo[a:b], n[a:b])) for k, (a, b) in enumerate(zip(places[:-1], places[1:], strict=True)) if a < b]
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["range", "n", "hi", "lo", "counts"])
 
-    return runs.select("hi", "lo", "counts").mapInArrow(run, "range long, hi binary, lo binary, counts binary")
+    return runs.select("n", "hi", "lo", "counts").mapInArrow(run, "range long, n long, hi binary, lo binary, counts binary")
 
 
 def phrases_of(hi: np.ndarray, lo: np.ndarray, n: np.ndarray, least: int) -> pa.Table:
@@ -287,7 +290,7 @@ def counted_phrases(rows: DataFrame, least: int, written: Written) -> tuple[Data
     cut = _cut(runs, _splitters(runs, ranges)).repartition(ranges, "range")
 
     def merge(key: tuple, rows: pa.Table) -> pa.Table:
-        found = [_opened(r) for r in rows.to_pylist()]
+        found = [_opened(*[rows.column(c)[i].as_py() for c in ("n", "hi", "lo", "counts")]) for i in range(rows.num_rows)]
         return phrases_of(*summed(*[np.concatenate([x[i] for x in found]) for i in range(3)]), least)
 
     parts = cut.groupBy("range").applyInArrow(merge, "key binary, n long")
