@@ -1,31 +1,15 @@
-"""The K most similar pairs of token sets that are not candidates: exact, ties broken by keys.
+"""Parts of similarity joins of token sets: Jaccard similarity, document frequencies, order and bounds of tokens, lengths, counts by field.
 
-Two ways give the same result. `full` joins all tokens and counts what pairs share. `prefix` orders
-tokens by how rare they are, takes a first K pairs from short prefixes, and from their least
-similarity derives how long a prefix two sets must share a token in to be as similar; only such
-pairs are compared. The cost of the full way is known before it is run, and decides.
-
-Both work on classes: records of equal tokens are one, and pairs of classes become pairs of records
-only from the similarity on at which the best K are complete. Candidates may be pairs, or blocks: then
-documents have a column `block`, pairs of equal blocks (not null) are left out inside the join, and
-records of one class have one block.
+The joins themselves are in bounded.py.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pairlens.model import CandidateSet
 
-#: Rows of the token join up to which the full way is taken.
-FULL_ROWS = 100_000_000
-#: Times as many, where blocks leave most of them out before they are counted.
-BLOCKED = 10
-FIRST_PREFIX = 2
 SLACK = 1e-9
 
 
@@ -40,21 +24,6 @@ def without(pairs: DataFrame, candidates: DataFrame | None) -> DataFrame:
     return pairs if candidates is None else pairs.join(candidates.select("lid", "rid"), ["lid", "rid"], "left_anti")
 
 
-def best(pairs: DataFrame, k: int) -> DataFrame:
-    return pairs.orderBy(F.desc("sim"), F.desc("lid"), F.desc("rid")).limit(k)
-
-
-def _block(docs: DataFrame, name: str) -> list[Column]:
-    return [F.col("block").alias(f"{name}block")] if "block" in docs.columns else []
-
-
-def _apart(pairs: DataFrame) -> DataFrame:
-    """Without pairs of equal blocks, where there are blocks."""
-    if "lblock" not in pairs.columns:
-        return pairs
-    return pairs.where(F.col("lblock").isNull() | F.col("rblock").isNull() | (F.col("lblock") != F.col("rblock")))
-
-
 def with_blocks(left: DataFrame, right: DataFrame, candidates: CandidateSet | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Both sides with their blocks, where the candidates are blocks and name each id once; else the sides and the pairs."""
     if candidates is None or candidates.blocks is None:
@@ -65,29 +34,12 @@ def with_blocks(left: DataFrame, right: DataFrame, candidates: CandidateSet | No
     return left.join(blocks[0], "id", "left"), right.join(blocks[1], "id", "left"), None
 
 
-def _side(docs: DataFrame, name: str, first: Column | None = None) -> DataFrame:
-    tokens = F.col("tokens") if first is None else F.slice("tokens", F.lit(1), first)
-    return docs.select(F.col("id").alias(f"{name}id"), F.size("tokens").alias(f"{name}len"), *_block(docs, name), F.explode(tokens).alias("t"))
-
-
 def document_frequency(left: DataFrame, right: DataFrame) -> DataFrame:
     """t, l_df, r_df, df: in how many sets of either side a token is."""
     sides = left.select(F.explode("tokens").alias("t"), F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(right.select(F.explode("tokens").alias("t"), F.lit(0).alias("l"), F.lit(1).alias("r")))
     return sides.groupBy("t").agg(F.sum("l").alias("l_df"), F.sum("r").alias("r_df")).withColumn("df", F.col("l_df") + F.col("r_df"))
 
 
-def join_rows(frequency: DataFrame) -> int:
-    """Rows of the full token join."""
-    return frequency.agg(F.coalesce(F.sum(F.col("l_df").cast("decimal(38,0)") * F.col("r_df")), F.lit(0))).first()[0]
-
-
-def similar_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """lid, rid, shared, sim of all pairs that share a token."""
-    joined = _apart(_side(left, "l").join(_side(right, "r"), "t"))
-    counted = joined.groupBy("lid", "rid").agg(F.count("*").alias("shared"), F.first("llen").alias("llen"), F.first("rlen").alias("rlen"))
-    return counted.select("lid", "rid", "shared", jaccard(F.col("shared"), F.col("llen"), F.col("rlen")).alias("sim"))
-
-
 def rare_first(docs: DataFrame, frequency: DataFrame) -> DataFrame:
     """id, tokens with the rarest first: a total order, the same for both sides."""
     rows = docs.select("id", F.explode("tokens").alias("t")).join(frequency.select("t", "df"), "t")
@@ -101,117 +53,6 @@ def bounds(docs: DataFrame) -> DataFrame:
     return docs.select("id", n.alias("n"), F.posexplode("tokens").alias("place", "t")).select("id", "place", "t", (1 - F.col("place") / F.col("n")).alias("bound"))
 
 
-def _verified(left: DataFrame, right: DataFrame, l_prefix: Column, r_prefix: Column, least: float) -> DataFrame:
-    """config, lc, rc, shared, sim of the pairs that share a token of their prefixes, and are long enough for each other."""
-    near = _apart(_side(left, "l", l_prefix).join(_side(right, "r", r_prefix), "t"))
-    near = near.where(F.least("llen", "rlen") >= F.greatest("llen", "rlen") * F.lit(least) - SLACK)
-    pairs = near.select(F.col("lid").alias("lc"), F.col("rid").alias("rc")).distinct()
-    both = pairs.join(left.select(F.col("id").alias("lc"), F.col("tokens").alias("a")), "lc").join(right.select(F.col("id").alias("rc"), F.col("tokens").alias("b")), "rc")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.select(F.lit("").alias("config"), "lc", "rc", shared.cast("long").alias("shared"), jaccard(shared, F.size("a"), F.size("b")).alias("sim"))
-
-
-def _by_prefix(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame], candidates: DataFrame | None, k: int) -> ClassPairs:
-    """The pairs of classes that can be among the k best. left, right: as from classes()."""
-    docs = [c[1].withColumnRenamed("cls", "id").drop("n") for c in (left, right)]
-    frequency = document_frequency(*docs).persist()
-    a, b = (rare_first(d, frequency).persist() for d in docs)
-    longest = a.select(F.size("tokens").alias("n")).unionAll(b.select(F.size("tokens").alias("n"))).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    prefix, least = FIRST_PREFIX, None
-    while least is None:
-        found = _class_pairs(_verified(a, b, F.lit(prefix), F.lit(prefix), 0.0), left, right, candidates)
-        least = found.least(k).get("")
-        if prefix >= longest:  # all tokens were joined
-            return found
-        found.pairs.unpersist()
-        prefix *= 4
-    n = F.size("tokens")
-    length = n - F.ceil(n * F.lit(least) - SLACK).cast("int") + 1
-    return _class_pairs(_verified(a, b, length, length, least), left, right, candidates)
-
-
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (id, cls) and classes (cls, tokens, n and, if there are blocks, block) of records with equal tokens and blocks; cls is the least id."""
-    block = [c for c in docs.columns if c == "block"]
-    keyed = docs.withColumn("key", F.sha2(F.to_json(F.struct(F.sort_array("tokens").alias("tokens"), *block)), 256))
-    found = keyed.groupBy("key").agg(F.min("id").alias("cls"), F.first("tokens").alias("tokens"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in block])
-    return keyed.select("id", "key").join(found.select("key", "cls"), "key").select("id", "cls"), found.drop("key")
-
-
-@dataclass(frozen=True)
-class ClassPairs:
-    """Pairs of classes that share a token: config, lc, rc, shared, sim, free (pairs of records that are not candidates)."""
-
-    pairs: DataFrame
-    l_members: DataFrame
-    r_members: DataFrame
-    candidates: DataFrame | None
-
-    def considered(self) -> DataFrame:
-        """config, n_pairs: pairs of records that share a token and are not candidates."""
-        return self.pairs.where("free > 0").groupBy("config").agg(F.sum("free").alias("n_pairs"))
-
-    def least(self, k: int) -> dict[str, float]:
-        """By configuration, the similarity of its k-th pair, where there are so many."""
-        order = Window.partitionBy("config").orderBy(F.desc("sim"))
-        sums = self.pairs.where("free > 0").groupBy("config", "sim").agg(F.sum("free").alias("n"))
-        best_sums = sums.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).orderBy("config", "place").collect()  # k rows a configuration
-        held: dict[str, int] = {}
-        out: dict[str, float] = {}
-        for r in best_sums:
-            held[r["config"]] = held.get(r["config"], 0) + r["n"]
-            if held[r["config"]] >= k:
-                out.setdefault(r["config"], r["sim"])
-        return out
-
-    def top(self, k: int) -> DataFrame:
-        """config, lid, rid, shared, sim, rank of the k best pairs of each configuration."""
-        least = F.lit(0.0)
-        for config, sim in self.least(k).items():
-            least = F.when(F.col("config") == config, F.lit(sim)).otherwise(least)
-        some = self.pairs.where((F.col("free") > 0) & (F.col("sim") >= least))
-
-        def members(df: DataFrame, a: str, b: str) -> DataFrame:
-            if self.candidates is None:  # of a pair of classes, no others than the k largest ids of either side can be among the k best
-                df = df.withColumn("place", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("id")))).where(F.col("place") <= k)
-            return df.select(F.col("id").alias(a), F.col("cls").alias(b))
-
-        rows = some.join(members(self.l_members, "lid", "lc"), "lc").join(members(self.r_members, "rid", "rc"), "rc")
-        rows = without(rows.select("config", "lid", "rid", "shared", "sim"), self.candidates)
-        order = Window.partitionBy("config").orderBy(F.desc("sim"), F.desc("lid"), F.desc("rid"))
-        return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _class_pairs(pairs: DataFrame, left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame], candidates: DataFrame | None) -> ClassPairs:
-    """pairs: (config, lc, rc, shared, sim); left, right: as from classes()."""
-    size = lambda side, name, n: side[1].select(F.col("cls").alias(name), F.col("n").alias(n))
-    sized = pairs.join(size(left, "lc", "ln"), "lc").join(size(right, "rc", "rn"), "rc").withColumn("free", F.col("ln") * F.col("rn"))
-    if candidates is not None:
-        candidates = candidates.select("lid", "rid").distinct()
-        named = candidates.join(left[0].toDF("lid", "lc"), "lid").join(right[0].toDF("rid", "rc"), "rid").groupBy("lc", "rc").agg(F.count("*").alias("kept"))
-        sized = sized.join(named, ["lc", "rc"], "left").withColumn("free", F.col("free") - F.coalesce("kept", F.lit(0)))
-    # read for the k-th similarity, for the lists and for the statistics
-    return ClassPairs(sized.select("config", "lc", "rc", "shared", "sim", "free").persist(), left[0], right[0], candidates)
-
-
-def top_k(left: DataFrame, right: DataFrame, candidates: CandidateSet | None, k: int, how: str = "auto") -> DataFrame:
-    """lid, rid, shared, sim of the k most similar pairs. left, right: (id, tokens), tokens distinct; how: auto, full or prefix."""
-    left, right, pairs = with_blocks(left.where(F.size("tokens") > 0), right.where(F.size("tokens") > 0), candidates)
-    l_classes, r_classes = classes(left), classes(right)
-    docs = [c[1].withColumnRenamed("cls", "id").drop("n") for c in (l_classes, r_classes)]
-    if how == "prefix" or how == "auto" and join_rows(document_frequency(*docs)) > FULL_ROWS * (BLOCKED if "block" in left.columns else 1):
-        found = _by_prefix(l_classes, r_classes, pairs, k)
-        return best(found.top(k).select("lid", "rid", "shared", "sim"), k)
-    rows, distinct = 1, 1
-    for _, found in (l_classes, r_classes):
-        sums = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-        rows, distinct = rows * sums[0], distinct * sums[1]
-    if 2 * distinct > rows:  # few records are equal: classes would only add work
-        return best(without(similar_pairs(left, right), pairs), k)
-    found = similar_pairs(*docs).select(F.lit("").alias("config"), F.col("lid").alias("lc"), F.col("rid").alias("rc"), "shared", "sim")
-    return best(_class_pairs(found, l_classes, r_classes, pairs).top(k).select("lid", "rid", "shared", "sim"), k)
-
-
 # Token multisets, with the field of each token
 
 
@@ -234,22 +75,3 @@ def record_lengths(tokens: DataFrame, ids: DataFrame, configs: list[tuple[int, .
 
 def label_of(config: tuple[int, ...]) -> str:
     return "_".join(map(str, config))
-
-
-def configured_pairs(left: DataFrame, right: DataFrame, candidates: CandidateSet | None, configs: list[tuple[int, ...]]) -> ClassPairs:
-    """The pairs of every configuration, from one token join. left, right: numbered tokens (id, f, t).
-
-    What a pair shares in a configuration is counted where both fields are kept, all configurations in one aggregate.
-    """
-    docs = [x.groupBy("id").agg(F.collect_list(F.struct("f", "t")).alias("tokens")) for x in (left, right)]
-    *docs, kept = with_blocks(*docs, candidates)
-    l_classes, r_classes = (classes(d) for d in docs)
-    tokens = lambda c, s: c[1].select(F.col("cls").alias(f"{s}c"), *_block(c[1], s), F.explode("tokens").alias("x")).withColumns({f"{s}f": F.col("x.f"), "t": F.col("x.t")}).drop("x")
-    shared = [F.count_if(_kept("lf", c) & _kept("rf", c)).alias(f"s{i}") for i, c in enumerate(configs)]
-    pairs = _apart(tokens(l_classes, "l").join(tokens(r_classes, "r"), "t")).groupBy("lc", "rc").agg(*shared)
-    length = lambda s, i, c: F.size(F.filter("tokens", lambda x: x["f"].isin(*c))).alias(f"{s}{i}")
-    lengths = lambda found, s: found[1].select(F.col("cls").alias(f"{s}c"), *[length(s, i, c) for i, c in enumerate(configs)])
-    both = pairs.join(lengths(l_classes, "l"), "lc").join(lengths(r_classes, "r"), "rc")
-    rows = [F.struct(F.lit(label_of(c)).alias("config"), F.col(f"s{i}").alias("shared"), jaccard(F.col(f"s{i}"), F.col(f"l{i}"), F.col(f"r{i}")).alias("sim")) for i, c in enumerate(configs)]
-    found = both.select("lc", "rc", F.inline(F.array(*rows))).where("shared > 0").select("config", "lc", "rc", "shared", "sim")
-    return _class_pairs(found, l_classes, r_classes, kept)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairlens.functions.text import kgram_docs, numbered_tokens, token_sets
 from pairlens.model import CandidateSet, Feature, KeyedTable
-from pairlens.operators import simjoin
+from pairlens.operators import bounded, simjoin
 from pairlens.operators.features import cap_rule, half_rule, select_features
 from pairlens.operators.schema_match import Correspondence, matched
 from pairlens.operators.suggestions import decorated, recommendations
@@ -25,25 +25,29 @@ class Report:
     configs: list[Config]
     features: list[Feature]
     top: DataFrame
-    statistics: DataFrame
     left: KeyedTable
     right: KeyedTable
     correspondence: Correspondence
+    candidates: CandidateSet | None
+
+    @property
+    def statistics(self) -> DataFrame:
+        """Of each configuration: pairs considered, which takes the join of all tokens, and mean lengths."""
+        a = numbered_tokens(self.left.df, self.left.key, [f.left for f in self.features])
+        b = numbered_tokens(self.right.df, self.right.key, [f.right for f in self.features])
+        ids = [t.df.select(F.col(t.key).alias("id")) for t in (self.left, self.right)]
+        return iteration_statistics(bounded.considered(a, b, self.candidates, self.configs), a, b, *ids, self.configs)
 
     def recommendations(self) -> DataFrame:
         return recommendations(self.top, self.left, self.right, self.correspondence)
 
 
-def _pairs(candidates: CandidateSet | None) -> DataFrame | None:
-    return None if candidates is None else candidates.pairs()
-
-
 def debug_blocker(left: KeyedTable, right: KeyedTable, candidates: CandidateSet | None, k: int = 200, given: Correspondence | None = None, how: str = "auto") -> DataFrame:
     """The k pairs outside the candidates most alike in the 3-grams of their fields, both rows side by side."""
     left, right, pairs = matched(left, right, k, given)
     chosen = select_features(left, right, pairs, half_rule, "sum")
     docs = kgram_docs(left.df, left.key, [f.left for f in chosen], GRAM), kgram_docs(right.df, right.key, [f.right for f in chosen], GRAM)
-    return decorated(simjoin.top_k(*docs, candidates, k, how), left, right, pairs)
+    return decorated(bounded.top_k(*docs, candidates, k, how), left, right, pairs)
 
 
 def debug_blocker_token_sets(left: KeyedTable, right: KeyedTable, candidates: CandidateSet | None, k: int = 200, given: Correspondence | None = None, how: str = "auto") -> DataFrame:
@@ -51,7 +55,7 @@ def debug_blocker_token_sets(left: KeyedTable, right: KeyedTable, candidates: Ca
     left, right, pairs = matched(left, right, k, given)
     chosen = select_features(left, right, pairs, half_rule, "sum")
     docs = token_sets(left.df, left.key, [f.left for f in chosen]), token_sets(right.df, right.key, [f.right for f in chosen])
-    return decorated(simjoin.top_k(*docs, candidates, k, how), left, right, pairs)
+    return decorated(bounded.top_k(*docs, candidates, k, how), left, right, pairs)
 
 
 def check_keys(table: KeyedTable, name: str) -> None:
@@ -59,11 +63,36 @@ def check_keys(table: KeyedTable, name: str) -> None:
         raise ValueError(f"the {name} table has a key twice")
 
 
-def check_candidates(candidates: DataFrame, left: KeyedTable, right: KeyedTable) -> None:
+def named_keys(candidates: CandidateSet) -> tuple[DataFrame, DataFrame]:
+    """The keys of either side that the candidates name (one column, repeats); from blocks without forming their pairs."""
+    if candidates.blocks is None:
+        pairs = candidates.pairs()
+        return pairs.select("lid"), pairs.select("rid")
+    a, b = candidates.blocks
+    return a.join(b.select("block"), "block", "left_semi").select("id"), b.join(a.select("block"), "block", "left_semi").select("id")
+
+
+def unknown_keys(candidates: CandidateSet, left: KeyedTable, right: KeyedTable) -> DataFrame:
+    """side, key: keys of the candidates, compared as text, that their table does not have."""
+    found = []
+    for name, named, table in zip(("left", "right"), named_keys(candidates), (left, right), strict=True):
+        known = table.df.select(F.col(f"`{table.key}`").cast("string").alias("key"))
+        keys = named.toDF("key").select(F.lit(name).alias("side"), F.col("key").cast("string").alias("key")).distinct()
+        found.append(keys.join(known, "key", "left_anti").select("side", "key"))
+    return found[0].unionAll(found[1])
+
+
+def indexed_candidates(candidates: CandidateSet, left: KeyedTable, right: KeyedTable) -> CandidateSet:
+    """The candidates with the keys of the tables, which theirs equal as text; a key that a table does not have is an error."""
+    if not unknown_keys(candidates, left, right).isEmpty():
+        raise ValueError("the candidates name a key that its table does not have")
+    pairs = candidates.pairs()
     for side, table in (("lid", left), ("rid", right)):
-        known = table.df.select(F.col(table.key).alias(side))
-        if not candidates.select(side).join(known, side, "left_anti").isEmpty():
-            raise ValueError("the candidates name a key that its table does not have")
+        if pairs.schema[side].dataType != table.df.schema[table.key].dataType:
+            known = table.df.select(F.col(f"`{table.key}`").alias("native"), F.col(f"`{table.key}`").cast("string").alias("text"))
+            pairs = pairs.join(known, F.col(side).cast("string") == F.col("text")).drop(side, "text").withColumnRenamed("native", side)
+    native = pairs.columns == ["lid", "rid"]
+    return CandidateSet(pairs.select("lid", "rid"), "lid", "rid", candidates.blocks if native else None)
 
 
 def token_counts(tokens: DataFrame, n: int) -> list[int]:
@@ -72,39 +101,36 @@ def token_counts(tokens: DataFrame, n: int) -> list[int]:
     return [found.get(f, 0) for f in range(n)]
 
 
-def iteration_statistics(pairs: simjoin.ClassPairs, left: DataFrame, right: DataFrame, l_ids: DataFrame, r_ids: DataFrame, configs: list[Config]) -> DataFrame:
-    """config, n_pairs (considered), mean_llen, mean_rlen; means are over all records, those without tokens too."""
+def iteration_statistics(considered: DataFrame, left: DataFrame, right: DataFrame, l_ids: DataFrame, r_ids: DataFrame, configs: list[Config]) -> DataFrame:
+    """config, n_pairs, mean_llen, mean_rlen. considered: (config, n_pairs); means are over all records, those without tokens too."""
     means = []
     for tokens, ids in ((left, l_ids), (right, r_ids)):
         lengths = simjoin.record_lengths(tokens, ids, configs)
         means.append(lengths.agg(*[F.avg(f"n{i}").alias(f"n{i}") for i in range(len(configs))]))
     rows = means[0].join(F.broadcast(means[1].toDF(*[f"m{i}" for i in range(len(configs))])))  # a row each
     shape = rows.select(F.inline(F.array(*[F.struct(F.lit(simjoin.label_of(c)).alias("config"), F.col(f"n{i}").alias("mean_llen"), F.col(f"m{i}").alias("mean_rlen")) for i, c in enumerate(configs)])))
-    return shape.join(pairs.considered(), "config", "left").select("config", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), "mean_llen", "mean_rlen")
+    return shape.join(considered, "config", "left").select("config", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), "mean_llen", "mean_rlen")
 
 
-def _iterative(left: KeyedTable, right: KeyedTable, candidates: CandidateSet | None, k: int, given: Correspondence | None, rule, how: str, plan) -> Report:
+def _iterative(left: KeyedTable, right: KeyedTable, candidates: CandidateSet | None, k: int, given: Correspondence | None, rule, weighting: str, plan, how: str) -> Report:
     left, right, pairs = matched(left, right, k, given)
-    chosen = select_features(left, right, pairs, rule, how)
+    chosen = select_features(left, right, pairs, rule, weighting)
     check_keys(left, "left")
     check_keys(right, "right")
-    kept = _pairs(candidates)
-    if kept is not None:
-        check_candidates(kept, left, right)
+    if candidates is not None:
+        candidates = indexed_candidates(candidates, left, right)
     a = numbered_tokens(left.df, left.key, [f.left for f in chosen])
     b = numbered_tokens(right.df, right.key, [f.right for f in chosen])
     configs = plan(chosen, a, b)
-    found = simjoin.configured_pairs(a, b, candidates, configs)
-    ids = [t.df.select(F.col(t.key).alias("id")) for t in (left, right)]
-    return Report(configs, chosen, found.top(k), iteration_statistics(found, a, b, *ids, configs), left, right, pairs)
+    return Report(configs, chosen, bounded.configured_top(a, b, candidates, configs, k, how), left, right, pairs, candidates)
 
 
-def debug_leave_one_out(left: KeyedTable, right: KeyedTable, candidates: CandidateSet | None, k: int = 100, given: Correspondence | None = None) -> Report:
+def debug_leave_one_out(left: KeyedTable, right: KeyedTable, candidates: CandidateSet | None, k: int = 100, given: Correspondence | None = None, how: str = "auto") -> Report:
     """Lists for all fields, and for all but each one."""
-    return _iterative(left, right, candidates, k, given, half_rule, "sum", lambda chosen, a, b: leave_one_out(len(chosen)))
+    return _iterative(left, right, candidates, k, given, half_rule, "sum", lambda chosen, a, b: leave_one_out(len(chosen)), how)
 
 
-def debug_top_down(left: KeyedTable, right: KeyedTable, candidates: CandidateSet | None, k: int = 100, given: Correspondence | None = None) -> Report:
+def debug_top_down(left: KeyedTable, right: KeyedTable, candidates: CandidateSet | None, k: int = 100, given: Correspondence | None = None, how: str = "auto") -> Report:
     """Lists for fields removed level by level; the sequence needs weights and token counts only, so it is known before any join."""
     plan = lambda chosen, a, b: top_down([f.weight for f in chosen], token_counts(a, len(chosen)), token_counts(b, len(chosen)))
-    return _iterative(left, right, candidates, k, given, cap_rule, "mean", plan)
+    return _iterative(left, right, candidates, k, given, cap_rule, "mean", plan, how)

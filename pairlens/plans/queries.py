@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.functions.text import kgram_docs, numbered_tokens, token_sets
+from pairlens.functions.numbering import numbered_rows
+from pairlens.functions.text import as_text, kgram_docs, numbered_tokens, token_sets
 from pairlens.model import CandidateSet, KeyedTable
-from pairlens.operators import simjoin
+from pairlens.operators import bounded, simjoin
 from pairlens.operators.blockers import block_equal
 from pairlens.operators.features import column_weights
+from pairlens.operators.rank_aggregation import aggregated
 from pairlens.operators.suggestions import recommendations, side_by_side
 from pairlens.operators.verify import gold_similarity, label_counts, label_state, recall
 from pairlens.plans.configs import leave_one_out, top_down
-from pairlens.plans.engine import debug_blocker, debug_leave_one_out, debug_top_down, iteration_statistics, token_counts
+from pairlens.plans.engine import debug_blocker, debug_leave_one_out, debug_top_down, indexed_candidates, iteration_statistics, token_counts, unknown_keys
+from pairlens.plans.review import Review
+from pairlens.sources import files
 from pairlens.sources.files import lower_and_limit
+from pairlens.sources.shared import shared_dir
+from pairlens.sources.wrapped import read_wrapped, write_wrapped
 
 PART = ["p_name", "p_brand", "p_type"]
 K = 100
@@ -68,7 +76,7 @@ def kgram_docs_(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kgram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right, candidates = _trade(spark, sf_dir)
     docs = kgram_docs(left.df, "id", ["name"]), kgram_docs(right.df, "id", ["name"])
-    return simjoin.top_k(*docs, candidates, 200)
+    return bounded.top_k(*docs, candidates, 200)
 
 
 def decorated_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +90,7 @@ def token_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_set_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = _halves(spark, sf_dir, "part", "p_partkey", PART)
-    return simjoin.top_k(token_sets(left.df, "p_partkey", PART), token_sets(right.df, "p_partkey", PART), None, 200)
+    return bounded.top_k(token_sets(left.df, "p_partkey", PART), token_sets(right.df, "p_partkey", PART), None, 200)
 
 
 def token_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,17 +128,17 @@ def _document_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 
 def token_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simjoin.top_k(*_document_sets(spark, sf_dir), None, K)
+    return bounded.top_k(*_document_sets(spark, sf_dir), None, K)
 
 
 def token_topk_excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = _halves(spark, sf_dir, "documents", "doc_id", ["lang"])
-    return simjoin.top_k(*_document_sets(spark, sf_dir), block_equal(left, right, "lang", "lang"), K)
+    return bounded.top_k(*_document_sets(spark, sf_dir), block_equal(left, right, "lang", "lang"), K)
 
 
 def token_topk_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """token_topk by the prefix way."""
-    return simjoin.top_k(*_document_sets(spark, sf_dir), None, K, "prefix")
+    return bounded.top_k(*_document_sets(spark, sf_dir), None, K, "prefix")
 
 
 def leave_one_out_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +169,7 @@ def iteration_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = [t.df.select(F.col("p_partkey").alias("id")) for t in (left, right)]
     configs = leave_one_out(3)
     kept = block_equal(left, right, "p_brand", "p_brand")
-    return iteration_statistics(simjoin.configured_pairs(a, b, kept, configs), a, b, *ids, configs)
+    return iteration_statistics(bounded.considered(a, b, kept, configs), a, b, *ids, configs)
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +188,7 @@ def gold_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts from the labels table: quality is the verdict of a first look, toxic takes some back in a second."""
-    df = _table(spark, sf_dir, "labels").where("doc_id IS NOT NULL")
+    df = _table(spark, sf_dir, "labels")
     first = df.selectExpr("0 AS iteration", "doc_id AS lkey", "doc_id + 1 AS rkey", "quality = 1 AS label", "1 AS at")
     return first.unionAll(df.where("toxic = 1").selectExpr("1", "doc_id", "doc_id + 1", "CASE WHEN quality = 1 THEN false END", "2"))
 
@@ -200,6 +208,120 @@ def tuple_pair_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return side_by_side(recommendations(found.top, found.left, found.right, pairs), "0_1_2", 1, pairs)
 
 
+def prefix_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs of documents each round of falling bound compares, until the K-th similarity reaches the bound."""
+    return bounded.rounds(*_document_sets(spark, sf_dir), None, 10)
+
+
+def leave_one_out_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """leave_one_out_topk by rounds of falling bound, whatever they cost."""
+    left, right = _halves(spark, sf_dir, "part", "p_partkey", PART)
+    return debug_leave_one_out(left, right, block_equal(left, right, "p_brand", "p_brand"), K, how="prefix").top
+
+
+def top_down_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """top_down_topk by the join of all tokens."""
+    left, right = _halves(spark, sf_dir, "part", "p_partkey", PART)
+    return debug_top_down(left, right, block_equal(left, right, "p_brand", "p_brand"), K, how="full").top
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder beside other tables of the job."""
+    return f"{shared_dir(spark)}/pairlens/{uuid.uuid4().hex}"
+
+
+def wrapped_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists for reviewers, written in the wrapped format and read again."""
+    left, right = _halves(spark, sf_dir, "part", "p_partkey", PART)
+    report = debug_leave_one_out(left, right, block_equal(left, right, "p_brand", "p_brand"), 20)
+    path = _folder(spark)
+    write_wrapped(recommendations(report.top, left, right, [(c, c) for c in PART]), PART, path)
+    found = read_wrapped(spark, path, 20)
+    return found.select("config", "rank", "lkey", "rkey", F.array_join("lvalues", "|").alias("lvalues"), F.array_join("rvalues", "|").alias("rvalues"))
+
+
+def text_lists_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readable lists, written and read again."""
+    left, right = _halves(spark, sf_dir, "part", "p_partkey", PART)
+    report = debug_leave_one_out(left, right, block_equal(left, right, "p_brand", "p_brand"), 20)
+    path = _folder(spark)
+    files.write_text_lists(recommendations(report.top, left, right, [(c, c) for c in PART]), path)
+    return files.read_text_lists(spark, path)
+
+
+def gold_by_row_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known matches in a file of row numbers (n of suppliers by name, 10 n of customers by balance), as keys."""
+    left, right, _ = _trade(spark, sf_dir)
+    left = KeyedTable(_table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_acctbal AS balance"), "id")
+    path = _folder(spark)
+    _table(spark, sf_dir, "supplier").selectExpr("10 * (s_suppkey + 1) AS id1", "s_suppkey + 1 AS id2").write.option("header", True).csv(path)
+    return files.gold_keys(files.read_gold(spark, path), left, right, "balance", "name")
+
+
+def row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with its place in time."""
+    return numbered_rows(_table(spark, sf_dir, "events").select("event_id", "ts"), ["ts", "event_id"])
+
+
+def transposed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of the leave-one-out lists, a row for each statistic."""
+    return files.transposed(iteration_stats(spark, sf_dir), [simjoin.label_of(c) for c in leave_one_out(3)])
+
+
+def rank_aggregation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leave-one-out lists as one, by points."""
+    return aggregated(leave_one_out_topk(spark, sf_dir), K)
+
+
+def rank_aggregation_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by median rank."""
+    return aggregated(leave_one_out_topk(spark, sf_dir), K, "median")
+
+
+def next_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists of 20 after reviewers have judged those of even rank in the first lists of all fields and of all but the first."""
+    left, right = _halves(spark, sf_dir, "part", "p_partkey", PART)
+    review = Review(left, right, (PART, PART), block_equal(left, right, "p_brand", "p_brand"), leave_one_out(3), 20)
+    judged = review.next().where("rank % 2 = 0 AND config IN ('0_1_2', '1_2')")
+    return review.next(judged)
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with quotes, commas and line breaks, written as CSV and read again with inferred types."""
+    path = _folder(spark)
+    files.write_csv(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"), path)
+    return files.read_csv(spark, path).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("n_chars", F.col("n_chars").cast("long"))
+
+
+def csv_bad_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as CSV whose prices do not fit whole numbers, read as such: records that fit, and the texts of the others."""
+    path = _folder(spark)
+    files.write_csv(_table(spark, sf_dir, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 3 = 0 THEN concat('about ', o_custkey) ELSE CAST(o_custkey AS STRING) END AS o_custkey", "o_orderstatus"), path)
+    rows = files.read_csv(spark, path, "o_orderkey long, o_custkey long, o_orderstatus string", bad=files.BAD)
+    good, bad = files.good_and_bad(rows)
+    return good.selectExpr("o_orderkey", "o_custkey", "CAST(NULL AS STRING) AS bad").unionAll(bad.selectExpr("o_orderkey", "o_custkey", files.BAD))
+
+
+def candidates_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates whose keys are texts, with the keys of the tables."""
+    left, right, candidates = _trade(spark, sf_dir)
+    texts = CandidateSet(candidates.df.selectExpr("CAST(lid AS STRING) AS l", "CAST(rid AS STRING) AS r"), "l", "r")
+    return indexed_candidates(texts, left, right).pairs()
+
+
+def unknown_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of order lines, as texts, that are no customers or no suppliers."""
+    left, right, _ = _trade(spark, sf_dir)
+    lines = _table(spark, sf_dir, "lineitem").selectExpr("CAST(l_orderkey AS STRING) AS l", "CAST(l_suppkey + 1 AS STRING) AS r")
+    return unknown_keys(CandidateSet(lines, "l", "r"), left, right)
+
+
+def numeric_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of parts as the text they are compared by; halves go to the even neighbour."""
+    df = _table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size", "p_retailprice", "CAST(p_partkey AS DOUBLE) / 2 - 50 AS half", "CAST(p_size AS DECIMAL(10, 1)) / CAST(2 AS DECIMAL(10, 1)) AS part_size")
+    return df.select("p_partkey", *[as_text(c, df.schema[c].dataType).alias(c) for c in ("p_size", "p_retailprice", "half", "part_size")])
+
+
 def lower_limit_prep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lower_and_limit(_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey", 100)
 
@@ -210,6 +332,8 @@ QUERIES = {
         feature_weights, feature_weights_mean, feature_weights_harmonic, block_attr_equiv, kgram_docs_, kgram_topk, decorated_suggestions, token_set, token_set_topk,
         token_multiset, token_df, prefix_bounds, record_lengths, pair_field_counts, token_topk, token_topk_prefix, token_topk_excluding, leave_one_out_topk, top_down_topk, top_down_configs,
         recommendation_lists, iteration_stats, gold_similarity_, gold_recall_at_k, label_state_, label_counts_, tuple_pair_view, lower_limit_prep,
+        prefix_rounds, leave_one_out_bounded, top_down_full, wrapped_round_trip, text_lists_round_trip, gold_by_row_number, row_numbers, transposed_stats, rank_aggregation, rank_aggregation_median,
+        next_iteration, csv_round_trip, csv_bad_records, candidates_by_text, unknown_candidates, numeric_text,
     )
 }
 
@@ -268,12 +392,16 @@ top AS (SELECT *, row_number() OVER (PARTITION BY config ORDER BY sim DESC, lid
 
 
 LEAVE_ONE_OUT = ["012", "12", "02", "01"]
-LABELS = """WITH v AS (SELECT 0 AS iteration, doc_id AS lkey, doc_id + 1 AS rkey, quality = 1 AS label, 1 AS moment FROM labels WHERE doc_id IS NOT NULL
-UNION ALL SELECT 1, doc_id, doc_id + 1, CASE WHEN quality = 1 THEN false END, 2 FROM labels WHERE doc_id IS NOT NULL AND toxic = 1),
+LABELS = """WITH v AS (SELECT 0 AS iteration, doc_id AS lkey, doc_id + 1 AS rkey, quality = 1 AS label, 1 AS moment FROM labels
+UNION ALL SELECT 1, doc_id, doc_id + 1, CASE WHEN quality = 1 THEN false END, 2 FROM labels WHERE toxic = 1),
 state AS (SELECT lkey, rkey, iteration, label FROM (SELECT *, row_number() OVER (PARTITION BY lkey, rkey ORDER BY moment DESC, iteration DESC, label DESC NULLS LAST) AS place FROM v) WHERE place = 1 AND label IS NOT NULL)"""
 NO_CANDIDATES = PAIRS.format(without="")
 VALUES = "concat_ws('|', coalesce({0}.p_name, ''), coalesce({0}.p_brand, ''), coalesce({0}.p_type, ''))"
 
+AGGREGATED = f""", lists AS (SELECT * FROM top WHERE rank <= {K}), ranks AS (SELECT lid, rid, count(*) AS n_lists, sum({K} + 1 - rank)::BIGINT AS borda, list_sort(list(rank) || list_transform(range(4 - count(*)), lambda i: {K} + 1)) AS r FROM lists GROUP BY 1, 2),
+scored AS (SELECT lid, rid, n_lists, borda, (r[2] + r[3]) / 2 AS median_rank FROM ranks)
+SELECT row_number() OVER (ORDER BY {{first}}, n_lists DESC, lid DESC, rid DESC)::INT AS place, * FROM scored"""
+
 ORACLE_SQL: dict[str, str] = {
     "feature_weights": _weights_sql("filled + uniq"),
     "feature_weights_mean": _weights_sql("(filled + uniq) / 2"),
@@ -316,5 +444,38 @@ SELECT '0' AS config, count(gold.lid) AS n_found, (SELECT count(*) FROM gold) AS
     "label_counts": f"{LABELS} SELECT iteration, count_if(label)::BIGINT AS n_true, count_if(NOT label)::BIGINT AS n_false FROM state GROUP BY 1",
     "tuple_pair_view": _configs_sql(["012"], """, one AS (SELECT a.p_name AS a0, a.p_brand AS a1, a.p_type AS a2, b.p_name AS b0, b.p_brand AS b1, b.p_type AS b2 FROM top JOIN part a ON a.p_partkey = lid JOIN part b ON b.p_partkey = rid WHERE rank = 1)
 SELECT 'p_name' AS field, a0 AS "left", b0 AS "right" FROM one UNION ALL SELECT 'p_brand', a1, b1 FROM one UNION ALL SELECT 'p_type', a2, b2 FROM one"""),
+    "prefix_rounds": f"""WITH RECURSIVE {DOCUMENTS}, df AS (SELECT t, count(*) AS df, count_if(id % 2 = 0) AS a, count_if(id % 2 = 1) AS b FROM tok GROUP BY t),
+placed AS (SELECT id, t, row_number() OVER (PARTITION BY id ORDER BY a > 0 AND b > 0, df, t) - 1 AS p, count(*) OVER (PARTITION BY id) AS n FROM tok JOIN df USING (t)),
+met AS MATERIALIZED (SELECT x.n AS ln, y.n AS rn, count(*) AS shared, min(x.p) AS lp, min(y.p) AS rp FROM placed x JOIN placed y USING (t) WHERE x.id % 2 = 0 AND y.id % 2 = 1 GROUP BY x.id, y.id, x.n, y.n),
+pairs AS MATERIALIZED (SELECT ln, rn, least(ln - lp, rn - rp) AS rest, least(1 - lp / ln, 1 - rp / rn) AS bound, shared / (ln + rn - shared) AS sim FROM met),
+grid(round, bound) AS (SELECT row_number() OVER (), * FROM (SELECT unnest([{", ".join(map(str, bounded.GRID))}]))),
+kth AS MATERIALIZED (SELECT round, bound, (SELECT CASE WHEN count(*) >= 10 THEN min(sim) END FROM (SELECT sim FROM pairs WHERE pairs.bound >= grid.bound - 1e-9 ORDER BY sim DESC LIMIT 10)) AS least FROM grid),
+steps AS (SELECT round, bound, least, coalesce(lag(least) OVER (ORDER BY round), 0) AS known, coalesce(lag(bound) OVER (ORDER BY round), 2) AS above, coalesce(lag(least >= bound) OVER (ORDER BY round), false) AS ended FROM kth)
+SELECT round::INT AS round, bound::DOUBLE AS bound, least, (SELECT count(*) FROM pairs WHERE pairs.bound >= steps.bound - 1e-9 AND pairs.bound < above - 1e-9 AND least(ln, rn) >= greatest(ln, rn) * known - 1e-9 AND rest * (1 + known) >= known * (ln + rn) - 1e-9) AS n_compared
+FROM steps WHERE round <= coalesce((SELECT min(round) FROM kth WHERE least >= bound), {len(bounded.GRID)})""",
+    "leave_one_out_bounded": _configs_sql(LEAVE_ONE_OUT, f"SELECT config, lid, rid, shared, sim, rank FROM top WHERE rank <= {K}"),
+    "top_down_full": _configs_sql(["012", "02", "01", "0"], f"SELECT config, lid, rid, shared, sim, rank FROM top WHERE rank <= {K}"),
+    "wrapped_round_trip": _configs_sql(LEAVE_ONE_OUT, f"SELECT config, rank, lid::VARCHAR AS lkey, rid::VARCHAR AS rkey, {VALUES.format('a')} AS lvalues, {VALUES.format('b')} AS rvalues FROM top JOIN part a ON a.p_partkey = lid JOIN part b ON b.p_partkey = rid WHERE rank <= 20"),
+    "text_lists_round_trip": _configs_sql(LEAVE_ONE_OUT, f"SELECT config, rank, lid::VARCHAR AS lkey, rid::VARCHAR AS rkey, sim, replace({VALUES.format('a')}, '|', ', ') AS lvalues, replace({VALUES.format('b')}, '|', ', ') AS rvalues FROM top JOIN part a ON a.p_partkey = lid JOIN part b ON b.p_partkey = rid WHERE rank <= 20"),
+    "gold_by_row_number": """WITH c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS n FROM customer), s AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_name, s_suppkey) AS n FROM supplier)
+SELECT c_custkey AS lkey, s.s_suppkey AS rkey FROM supplier g JOIN c ON c.n = 10 * (g.s_suppkey + 1) JOIN s ON s.n = g.s_suppkey + 1""",
+    "row_numbers": "SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) AS row FROM events",
+    "transposed_stats": _configs_sql(LEAVE_ONE_OUT, """, stats AS (SELECT config, n_pairs::DOUBLE AS n_pairs, mean_llen, mean_rlen FROM (SELECT config, count(*) AS n_pairs FROM sims GROUP BY 1)
+JOIN (SELECT config, sum(n)::BIGINT / (SELECT count(*) FROM part WHERE p_partkey % 2 = 0) AS mean_llen FROM ln GROUP BY 1) USING (config)
+JOIN (SELECT config, sum(m)::BIGINT / (SELECT count(*) FROM part WHERE p_partkey % 2 = 1) AS mean_rlen FROM rn GROUP BY 1) USING (config)),
+long AS (UNPIVOT stats ON n_pairs, mean_llen, mean_rlen INTO NAME statistic VALUE value)
+SELECT statistic, max(value) FILTER (config = '0_1_2') AS "0_1_2", max(value) FILTER (config = '1_2') AS "1_2", max(value) FILTER (config = '0_2') AS "0_2", max(value) FILTER (config = '0_1') AS "0_1" FROM long GROUP BY 1"""),
+    "rank_aggregation": _configs_sql(LEAVE_ONE_OUT, AGGREGATED.format(first="borda DESC")),
+    "rank_aggregation_median": _configs_sql(LEAVE_ONE_OUT, AGGREGATED.format(first="median_rank, borda DESC")),
+    "next_iteration": _configs_sql(LEAVE_ONE_OUT, """, judged AS (SELECT DISTINCT lid, rid FROM top WHERE rank <= 20 AND rank % 2 = 0 AND config IN ('0_1_2', '1_2')),
+again AS (SELECT config, lid, rid, shared, sim, row_number() OVER (PARTITION BY config ORDER BY sim DESC, lid DESC, rid DESC)::INT AS rank FROM sims ANTI JOIN judged USING (lid, rid))
+SELECT * FROM again WHERE rank <= 20"""),
+    "csv_round_trip": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+    "csv_bad_records": """SELECT o_orderkey, o_custkey, NULL::VARCHAR AS bad FROM orders WHERE o_orderkey % 3 <> 0
+UNION ALL SELECT o_orderkey, NULL, concat(o_orderkey, ',about ', o_custkey, ',', o_orderstatus) FROM orders WHERE o_orderkey % 3 = 0""",
+    "candidates_by_text": "SELECT c_custkey AS lid, s_suppkey AS rid FROM customer JOIN supplier ON c_nationkey = s_nationkey",
+    "unknown_candidates": """SELECT 'left' AS side, key FROM (SELECT DISTINCT l_orderkey::VARCHAR AS key FROM lineitem) WHERE key NOT IN (SELECT c_custkey::VARCHAR FROM customer)
+UNION ALL SELECT 'right', key FROM (SELECT DISTINCT (l_suppkey + 1)::VARCHAR AS key FROM lineitem) WHERE key NOT IN (SELECT s_suppkey::VARCHAR FROM supplier)""",
+    "numeric_text": """SELECT p_partkey, p_size::VARCHAR AS p_size, round_even(p_retailprice, 0)::BIGINT::VARCHAR AS p_retailprice, round_even(p_partkey / 2 - 50, 0)::BIGINT::VARCHAR AS half, round_even(p_size / 2, 0)::BIGINT::VARCHAR AS part_size FROM part""",
     "lower_limit_prep": "SELECT c_custkey, lower(c_name) AS c_name, lower(c_mktsegment) AS c_mktsegment FROM customer ORDER BY c_custkey LIMIT 100",
 }
