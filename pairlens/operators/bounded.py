@@ -3,8 +3,7 @@
 Every configuration has its own sets of tokens, lengths and threshold; tokens have one order, the rarest
 first, in all of them. A set that has its first token of that order in common with another at place p (from 0) of its n cannot
 be more similar to it than 1 - p / n. So places are events, taken in rounds of falling bound: a round joins the events that are
-not below its bound, looks no further at two older ones, and so compares each pair in one round only, at the first
-token that both share. There the pair is compared, unless lengths and places already show that it is less similar than
+not below its bound and looks no further at pairs that older ones joined before. A pair is compared, unless lengths and places already show that it is less similar than
 the K-th pair so far. A configuration ends when its K-th similarity has reached the bound: pairs not met are
 less similar. Its next bound is the K-th similarity itself once that is cheap, else a step of GRID.
 
@@ -33,11 +32,12 @@ from pairlens.sources.shared import Written
 Config = tuple[int, ...]
 GRID = (1.0, 0.9, 0.8, 0.65, 0.5, 0.35, 0.2, 0.0)
 CLOSE = 0.1  # a K-th similarity so little below a step is taken instead of it
-FEW_ROWS = 3_000_000  # rows that a round may join whatever was joined before
+FEW_ROWS = 3_000_000  # rows that a round may count, or compare at their price, whatever was joined before
+ROUND_ROWS = 1_000_000  # rows whose counting costs as much as a round by itself
 GROWTH = 4  # times as many as all rounds before, otherwise
 CELL = 700  # sets of either side that one task pairs for one token
 TASK_ROWS = 1_000_000  # joined rows a task, where they are known
-TOKENS_A_ROW = 25  # tokens of a set whose comparison costs as much as counting a joined row
+TOKENS_A_ROW = 50  # tokens of a set whose comparison costs as much as counting a joined row
 
 
 def _ranks(frequency: DataFrame, written: Written) -> DataFrame:
@@ -99,9 +99,10 @@ def _reach(bound: Column) -> Column:
 
 def _events(sets: DataFrame, name: str, old: Column, upto: Column) -> DataFrame:
     """A row for each event up to a reach; new: those behind an older reach."""
-    rows = sets.select("config", "cls", "n", "tokens", "rows", "only", old.alias("old"), F.posexplode(F.slice("tokens", F.lit(1), upto)).alias("p", "t"))
-    columns = [F.col(c).alias(f"{name}{c}") for c in ("cls", "n", "tokens", "rows", "only")]
-    return rows.select("config", "t", *columns, (F.col("n") - F.size("tokens") + F.col("p")).alias(f"{name}place"), (F.col("p") >= F.col("old")).alias(f"{name}new"))
+    first = (F.col("n") - F.size("tokens")).alias("first")
+    rows = sets.select("config", "cls", "n", "rows", "only", first, old.alias("old"), F.posexplode(F.slice("tokens", F.lit(1), upto)).alias("p", "t"))
+    columns = [F.col(c).alias(f"{name}{c}") for c in ("cls", "n", "rows", "only")]
+    return rows.select("config", "t", *columns, (F.col("first") + F.col("p")).alias(f"{name}place"), (F.col("p") >= F.col("old")).alias(f"{name}new"))
 
 
 def _dealt(left: DataFrame, right: DataFrame, tasks: int) -> DataFrame:
@@ -120,29 +121,38 @@ def _dealt(left: DataFrame, right: DataFrame, tasks: int) -> DataFrame:
 
 
 def _not_of_one_block(df: DataFrame) -> DataFrame:
-    return df.where(F.col("lonly").isNull() | F.col("ronly").isNull() | (F.col("lonly") != F.col("ronly")))
+    """Without pairs of sets of the same one block; mixed: whether some of their records may still be of one block."""
+    apart = df.where(F.col("lonly").isNull() | F.col("ronly").isNull() | (F.col("lonly") != F.col("ronly")))
+    return apart.withColumn("mixed", F.col("lonly").isNull() | F.col("ronly").isNull()).drop("lonly", "ronly")
 
 
-def _compared(joined: DataFrame, least: Column) -> DataFrame:
-    """config, lc, rc, lrows, rrows, lonly, ronly, shared, sim of pairs met at their first common token that may be as similar as least."""
-    joined = _not_of_one_block(joined.where("lnew OR rnew"))
-    whole = F.col("ln") + F.col("rn")
-    left = F.least(F.col("ln") - F.col("lplace"), F.col("rn") - F.col("rplace"))
-    able = joined.where((F.least("ln", "rn") >= F.greatest("ln", "rn") * least - SLACK) & (left * (1 + least) >= least * whole - SLACK))
-    # exploded, so that it is made once for both its first token and its size
-    common = F.transform(F.array(F.array_intersect("ltokens", "rtokens")), lambda x: F.struct(F.get(x, 0).alias("first"), F.size(x).alias("shared")))
-    met = able.select("config", "lcls", "rcls", "lrows", "rrows", "lonly", "ronly", "ln", "rn", F.explode(F.filter(common, lambda x: x["first"] == F.col("t"))).alias("common"))
-    shared = F.col("common.shared")
-    return met.select("config", F.col("lcls").alias("lc"), F.col("rcls").alias("rc"), "lrows", "rrows", "lonly", "ronly", shared.cast("long").alias("shared"), jaccard(shared, F.col("ln"), F.col("rn")).alias("sim"))
+PAIR = ["config", "lcls", "rcls"]
+OF_BOTH = ["ln", "rn", "lrows", "rrows", "mixed"]  # of fixed width, so that they are added up without a sort
+
+
+def _compared(joined: DataFrame, left: DataFrame, right: DataFrame, least: Column) -> DataFrame:
+    """config, lc, rc, lrows, rrows, mixed, shared, sim of pairs that meet in this round first and may be as similar as least."""
+    able = _not_of_one_block(joined).where(F.least("ln", "rn") >= F.greatest("ln", "rn") * least - SLACK)
+    met = able.groupBy(*PAIR).agg(F.min("lplace").alias("lplace"), F.min("rplace").alias("rplace"), F.bool_and(F.col("lnew") | F.col("rnew")).alias("new"), *[F.first(c).alias(c) for c in OF_BOTH])
+    rest = F.least(F.col("ln") - F.col("lplace"), F.col("rn") - F.col("rplace"))
+    met = met.where(F.col("new") & (rest * (1 + least) >= least * (F.col("ln") + F.col("rn")) - SLACK)).select(*PAIR, *OF_BOTH)
+    tokens = lambda sets, s: sets.select("config", F.col("cls").alias(f"{s}cls"), F.col("tokens").alias(f"{s}tokens"))
+    both = met.join(tokens(left, "l"), ["config", "lcls"]).join(tokens(right, "r"), ["config", "rcls"])
+    # exploded, so that it is made once for the rest of the row
+    shared = both.select(*PAIR, *OF_BOTH, F.explode(F.array(F.size(F.array_intersect("ltokens", "rtokens")))).alias("shared"))
+    return _with_sim(shared)
+
+
+def _with_sim(pairs: DataFrame) -> DataFrame:
+    sim = jaccard(F.col("shared"), F.col("ln"), F.col("rn")).alias("sim")
+    return pairs.select("config", F.col("lcls").alias("lc"), F.col("rcls").alias("rc"), "lrows", "rrows", "mixed", F.col("shared").cast("long").alias("shared"), sim)
 
 
 def _counted(left: DataFrame, right: DataFrame) -> DataFrame:
     """The same of all pairs that share a token, by counting joined tokens."""
     side = lambda sets, s: sets.select("config", *[F.col(c).alias(f"{s}{c}") for c in ("cls", "n", "rows", "only")], F.explode("tokens").alias("t"))
     joined = _not_of_one_block(side(left, "l").join(side(right, "r"), ["config", "t"]))
-    columns = ["ln", "rn", "lrows", "rrows", "lonly", "ronly"]
-    counted = joined.groupBy("config", "lcls", "rcls").agg(F.count("*").alias("shared"), *[F.first(c).alias(c) for c in columns])
-    return counted.select("config", F.col("lcls").alias("lc"), F.col("rcls").alias("rc"), "lrows", "rrows", "lonly", "ronly", "shared", jaccard(F.col("shared"), F.col("ln"), F.col("rn")).alias("sim"))
+    return _with_sim(joined.groupBy(*PAIR).agg(F.count("*").alias("shared"), *[F.first(c).alias(c) for c in OF_BOTH]))
 
 
 @dataclass
@@ -174,7 +184,7 @@ class Search:
         elif self.blocked:
             # sets of one block each differ in it; others share some blocks, perhaps
             blocks = lambda m, c, n: m.where("block IS NOT NULL").groupBy("config", F.col("cls").alias(c), "block").agg(F.count("*").alias(n))
-            mixed = pairs.where("lonly IS NULL OR ronly IS NULL").select("config", "lc", "rc")
+            mixed = pairs.where("mixed").select("config", "lc", "rc")
             same = mixed.join(blocks(self.left.members, "lc", "a"), ["config", "lc"]).join(blocks(self.right.members, "rc", "b"), ["config", "rc", "block"])
             same = same.groupBy("config", "lc", "rc").agg(F.sum(F.col("a") * F.col("b")).alias("kept"))
             pairs = pairs.join(same, ["config", "lc", "rc"], "left").withColumn("free", F.col("free") - F.coalesce("kept", F.lit(0)))
@@ -224,7 +234,7 @@ class Search:
         new = _reach(_of_config(now, 2.0))
         floor = _of_config(least, 0.0)
         l_sets, r_sets = some(self.left.sets), some(self.right.sets)
-        return _compared(_dealt(_events(l_sets, "l", old, new), _events(r_sets, "r", old, new), tasks), floor)
+        return _compared(_dealt(_events(l_sets, "l", old, new), _events(r_sets, "r", old, new), tasks), l_sets, r_sets, floor)
 
     def keep(self, pairs: DataFrame, least: dict[str, float]) -> None:
         """Holds on to pairs that can be among the best."""
@@ -313,16 +323,22 @@ def _step(bound: float) -> int:
     return next(i for i, g in enumerate(GRID) if g <= bound + SLACK)
 
 
+def _rows_at(rows: list[float], bound: float) -> float:
+    """Rows joined down to a bound, about, between those of the steps around it."""
+    i = _step(bound)
+    return rows[i] if i == 0 else rows[i - 1] + (rows[i] - rows[i - 1]) * (GRID[i - 1] - bound) / (GRID[i - 1] - GRID[i])
+
+
 def _next_bound(cost: tuple[list[float], float] | None, bound: float, least: float | None, how: str) -> float | None:
     """The bound of a configuration's next round; none: its full join is cheaper."""
     rows, mean = cost if cost is not None else ([0.0] * len(GRID), 0.0)
-    now = _step(bound)
-    allowed = max(FEW_ROWS, GROWTH * rows[now])
+    now, price = _step(bound), 0.5 + mean / TOKENS_A_ROW
+    allowed = max(FEW_ROWS / price, GROWTH * rows[now])
     # as far as the rows allow, or to the next step with any new events; steps that add nothing cost nothing
     more = next((i for i in range(now + 1, len(GRID)) if rows[i] > rows[now]), len(GRID) - 1)
     far = max(more, *[i for i in range(now + 1, len(GRID)) if rows[i] <= max(allowed, rows[more])])
     target = GRID[far] if least is None else least if least >= GRID[far] - CLOSE else GRID[far]
-    if how == "auto" and rows[_step(target)] > FEW_ROWS and rows[_step(target)] * (0.5 + mean / TOKENS_A_ROW) > rows[-1]:
+    if how == "auto" and _rows_at(rows, target) * price + ROUND_ROWS > rows[-1]:
         return None
     return target
 
@@ -336,16 +352,17 @@ def search_sets(left: DataFrame, right: DataFrame, candidates: CandidateSet | No
     """left, right: (id, tokens), tokens distinct."""
     left, right, pairs = with_blocks(left.where(F.size("tokens") > 0), right.where(F.size("tokens") > 0), candidates)
     written = Written(left.sparkSession)
+    left, right = written.table(left), written.table(right)  # read twice each
     ranks = _ranks(document_frequency(left, right), written)
     return _search(coded_sets(left, ranks), coded_sets(right, ranks), pairs, "block" in left.columns, written)
 
 
 def search_configs(left: DataFrame, right: DataFrame, candidates: CandidateSet | None, configs: list[Config]) -> Search:
     """left, right: numbered tokens (id, f, t)."""
-    ids = [x.select("id").distinct() for x in (left, right)]
-    l_ids, r_ids, pairs = with_blocks(*ids, candidates)
-    blocks = (l_ids, r_ids) if "block" in l_ids.columns else (None, None)
     written = Written(left.sparkSession)
+    left, right = written.table(left.select("id", "f", "t")), written.table(right.select("id", "f", "t"))  # read several times
+    l_ids, r_ids, pairs = with_blocks(*[x.select("id").distinct() for x in (left, right)], candidates)
+    blocks = (l_ids, r_ids) if "block" in l_ids.columns else (None, None)
     sides = left.select("t", F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(right.select("t", F.lit(0), F.lit(1)))
     frequency = sides.groupBy("t").agg(F.sum("l").alias("l_df"), F.sum("r").alias("r_df")).withColumn("df", F.col("l_df") + F.col("r_df"))
     ranks = _ranks(frequency, written)
@@ -390,9 +407,9 @@ def rounds(left: DataFrame, right: DataFrame, candidates: CandidateSet | None, k
     search = search_sets(left, right, candidates)
     rows, before, least = [], {}, {}
     for number, bound in enumerate(schedule, 1):
-        met = search.meet(before, {"": bound}, least)
-        n = search.freed(met).agg(F.coalesce(F.sum("free"), F.lit(0))).first()[0]
-        search.keep(met, least)
+        met = search.written.table(search.freed(search.meet(before, {"": bound}, least)))
+        n = met.agg(F.coalesce(F.sum("free"), F.lit(0))).first()[0]
+        search.found.append(met)
         before, least = {"": bound}, search.least(k)
         rows.append((number, bound, n, least.get("")))
         if least.get("", -1.0) >= bound:

@@ -210,7 +210,7 @@ def tuple_pair_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prefix_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many pairs of documents each round of falling bound compares, until the K-th similarity reaches the bound."""
-    return bounded.rounds(*_document_sets(spark, sf_dir), None, 10)
+    return bounded.rounds(*_document_sets(spark, sf_dir), None, K)
 
 
 def leave_one_out_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -449,7 +449,7 @@ placed AS (SELECT id, t, row_number() OVER (PARTITION BY id ORDER BY a > 0 AND b
 met AS MATERIALIZED (SELECT x.n AS ln, y.n AS rn, count(*) AS shared, min(x.p) AS lp, min(y.p) AS rp FROM placed x JOIN placed y USING (t) WHERE x.id % 2 = 0 AND y.id % 2 = 1 GROUP BY x.id, y.id, x.n, y.n),
 pairs AS MATERIALIZED (SELECT ln, rn, least(ln - lp, rn - rp) AS rest, least(1 - lp / ln, 1 - rp / rn) AS bound, shared / (ln + rn - shared) AS sim FROM met),
 grid(round, bound) AS (SELECT row_number() OVER (), * FROM (SELECT unnest([{", ".join(map(str, bounded.GRID))}]))),
-kth AS MATERIALIZED (SELECT round, bound, (SELECT CASE WHEN count(*) >= 10 THEN min(sim) END FROM (SELECT sim FROM pairs WHERE pairs.bound >= grid.bound - 1e-9 ORDER BY sim DESC LIMIT 10)) AS least FROM grid),
+kth AS MATERIALIZED (SELECT round, bound, (SELECT CASE WHEN count(*) >= {K} THEN min(sim) END FROM (SELECT sim FROM pairs WHERE pairs.bound >= grid.bound - 1e-9 ORDER BY sim DESC LIMIT {K})) AS least FROM grid),
 steps AS (SELECT round, bound, least, coalesce(lag(least) OVER (ORDER BY round), 0) AS known, coalesce(lag(bound) OVER (ORDER BY round), 2) AS above, coalesce(lag(least >= bound) OVER (ORDER BY round), false) AS ended FROM kth)
 SELECT round::INT AS round, bound::DOUBLE AS bound, least, (SELECT count(*) FROM pairs WHERE pairs.bound >= steps.bound - 1e-9 AND pairs.bound < above - 1e-9 AND least(ln, rn) >= greatest(ln, rn) * known - 1e-9 AND rest * (1 + known) >= known * (ln + rn) - 1e-9) AS n_compared
 FROM steps WHERE round <= coalesce((SELECT min(round) FROM kth WHERE least >= bound), {len(bounded.GRID)})""",
