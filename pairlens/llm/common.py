@@ -2,75 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pairlens.sources.shared import Written, scratch, shared_dir
+
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only in local mode, where nothing names one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="pairlens-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-_open: list[list[str]] = []  # folders written inside each scratch() that is open
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end what operators wrote to the shared folder inside it; results must have been used by then."""
-    _open.append([])
-    try:
-        yield
-    finally:
-        for folder in _open.pop():
-            _delete(spark, folder)
-
-
-class Written:
-    """Tables written to the shared folder: they cut lineage, are computed once and survive lost executors."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/pairlens/{uuid.uuid4().hex}"
-        self.count = 0
-        if _open:
-            _open[-1].append(self.root)
-
-    def table(self, df: DataFrame, file_rows: int = 0, compression: str = "snappy") -> DataFrame:
-        """df, written and to be read again; file_rows: rows in a file at most, if not 0."""
-        self.count += 1
-        path = f"{self.root}/{self.count}"
-        df.write.option("maxRecordsPerFile", file_rows).option("compression", compression).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._pairlens_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table of table() that nothing will read again."""
-        _delete(self.spark, df._pairlens_path)
-
-
 def document(docs: DataFrame) -> Column:
     """The whole row as one column, so that none of its names can clash with those of working columns."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")
