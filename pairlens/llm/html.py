@@ -8,9 +8,11 @@ Wrappers made in different tasks are aligned with each other the same way, in tw
 host of any size needs no task of its own; all pages take part.
 
 A wrapper's slots are then judged once for the host: those in menus, headers, footers, sidebars,
-notices, adverts, forms and comments go; on a page that has an article or main element only what
+notices, adverts, forms and comments go, unless the element frames the page (it holds most of the text of its article and
+main elements, or is a form around most of its prose); names count by what they are names of, so `site-footer` and
+`comment-list` do and `has-sidebar` does not; on a page that has an article or main element only what
 is inside stays; on others a slot stays if its texts are prose (long, few links, not the same on
-several different pages). Each page is aligned with its host's wrapper so that most blocks have a
+several different pages) or stand beside prose. Each page is aligned with its host's wrapper so that most blocks have a
 place, and the blocks in slots that stay are its main text; a block without a place is judged by
 its own path and length.
 
@@ -43,7 +45,7 @@ TOKEN = re.compile(
     + r""">|<[!?/][^>]*+>|[^<]++|<""",
     re.S | re.I,
 )
-LABELS = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?(?=[\s/>]|$)""", re.I)
+LABELS = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?(?=[\s/>]|$)""", re.I)
 #: Elements inside a line of text.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements without an end.
@@ -57,11 +59,17 @@ ENDED_BY = {
 #: Elements and words of class, id and role that hold no main text.
 OUTSIDE_TAGS = frozenset("head nav footer aside form button fieldset menu dialog object canvas audio video".split())
 OUTSIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement alert banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies disqus footer gdpr header hidden masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split()
+    "ad ads advert adverts advertisement alert banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies discussion discussions disqus footer gdpr header hidden masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted promotion related replies reply respond responses search share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 #: Those that inside an article may name a part of it (its header, a section on related work), and those that hide an inline element.
 PART_WORDS = frozenset("alert banner byline header notice related reply respond search".split())
 INLINE_WORDS = frozenset("ad ads advert adverts advertisement hidden promo promoted promotion sponsor sponsored".split())
+#: First parts of names that say what an element has or lacks beside it, and last parts that only hold what is named before them.
+STATE_WORDS = frozenset("has no with without not".split())
+HOLDER_WORDS = frozenset("area bar block box buttons container content form group icons inner items links list panel region row section slot unit wrap wrapper".split())
+#: Elements that may frame a whole page.
+FRAME_TAGS = frozenset("form fieldset object dialog".split())
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 MAIN_TAGS = frozenset(["article", "main"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPLIT_WORDS = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
@@ -80,7 +88,7 @@ LABEL, TIMES, CHILDREN, TEXTS = range(4)
 
 
 def label_of(tag: str, attributes: str) -> str:
-    """tag, and the words of class, id and role, without digits."""
+    """tag, and the names of class, id and role: their parts without digits, joined by hyphens."""
     if not attributes or not attributes.strip():
         return tag
     found = set()
@@ -88,8 +96,14 @@ def label_of(tag: str, attributes: str) -> str:
         if name.lower().endswith("hidden"):
             if value.strip("\"'").lower() != "false":
                 found.add("hidden")
+        elif name.lower() == "style":
+            if UNSEEN.search(value):
+                found.add("hidden")
         else:
-            found.update(w for w in SPLIT_WORDS.split(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()) if w)
+            for token in value.strip("\"'").split():
+                parts = [w for w in SPLIT_WORDS.split(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower()) if w]
+                if parts:
+                    found.add("-".join(parts))
     return ".".join([tag, *sorted(found)]) if found else tag
 
 
@@ -150,6 +164,9 @@ def parse(source: str) -> list:
                     stack.pop()
                 names.pop()
                 stack.pop()
+                if len(stack) > MOST_LEVELS:  # its parent goes on behind it
+                    stack[-1] = [stack[-1][0], []]
+                    stack[MOST_LEVELS - 1][1].append(stack[-1])
             links = 0
             continue
         while (by := ENDED_BY.get(names[-1])) and tag in by:
@@ -158,13 +175,16 @@ def parse(source: str) -> list:
         if tag in ("html", "body") or tag in VOID:
             continue
         node = [label_of(tag, m[4]), []]
-        if len(stack) < MOST_LEVELS or outside(node[0], False) and not stack[-1][0].startswith("!"):
+        if len(stack) < MOST_LEVELS:
             stack[-1][1].append(node)
-            if len(stack) >= MOST_LEVELS:
-                node[0] = "!" + node[0]  # all that is nested in it goes with it
-            stack.append(node)
-        else:  # what is nested deeper shares a level
-            stack.append(stack[-1])
+        else:  # what is nested deeper stands beside its parents, and is marked by those that decide over it
+            up = stack[-1][0] if len(stack) > MOST_LEVELS else ""
+            if up.startswith("!") or outside(up, up.startswith("@")):
+                node[0] = "!" + node[0]
+            elif up.startswith("@") or up.split(".")[0] in MAIN_TAGS:
+                node[0] = "@" + node[0]
+            stack[MOST_LEVELS - 1][1].append(node)
+        stack.append(node)
         names.append(tag)
     flush()
     return root[1]
@@ -246,10 +266,66 @@ def aligned(a: list, b: list) -> list:
     return _bounded(out)
 
 
+def names_one_of(name: str, words: frozenset) -> bool:
+    """Whether a name is of a kind of element: its last part says what it is, unless that only holds what is named before; `has-sidebar` names a page with one."""
+    *before, last = name.split("-")
+    if before and before[0] in STATE_WORDS:
+        return False
+    return last in words or last in HOLDER_WORDS and not words.isdisjoint(before)
+
+
 def outside(label: str, in_main: bool) -> bool:
-    """Whether an element holds no main text; inside an article or main element, words that also name its parts do not count."""
-    tag, *words = label.lstrip("!").split(".")
-    return tag in OUTSIDE_TAGS or (tag == "header" and not in_main) or not (OUTSIDE_WORDS - PART_WORDS if in_main else OUTSIDE_WORDS).isdisjoint(words)
+    """Whether an element by its tag and names holds no main text; inside an article or main element, words that also name its parts do not count."""
+    if label.startswith("!"):
+        return True
+    tag, *names = label.lstrip("@").split(".")
+    words = OUTSIDE_WORDS - PART_WORDS if in_main else OUTSIDE_WORDS
+    return tag in OUTSIDE_TAGS or (tag == "header" and not in_main) or any(names_one_of(n, words) for n in names)
+
+
+def tag_of(label: str) -> str:
+    return label.lstrip("!@").split(".")[0]
+
+
+def is_main(label: str) -> bool:
+    return label.startswith("@") or tag_of(label) in MAIN_TAGS
+
+
+def weighed(children: list, framed: set[int], in_main: bool = False) -> tuple[int, int]:
+    """Characters of main elements and of prose in a page's items; adds to framed the elements that hold most of either, whatever they are called.
+
+    Not called outside although it says so: what holds most of the text in article and main elements, and, where there
+    is no such element, a form or the like that holds most of the prose.
+    """
+
+    def walk(nodes: list, in_main: bool) -> tuple[int, int]:
+        main = prose = 0
+        for node in nodes:
+            if isinstance(node, tuple):
+                n = len(node[0])
+                main += n * in_main
+                prose += n * (n >= PROSE_CHARS and 2 * node[1] < n)
+            else:
+                a, b = walk(node[1], in_main or is_main(node[0]))
+                sums[id(node)] = (a, b)
+                main, prose = main + a, prose + b
+        return main, prose
+
+    sums: dict[int, tuple[int, int]] = {}
+    total, all_prose = walk(children, in_main)
+
+    def mark(nodes: list, in_main: bool) -> None:
+        for node in nodes:
+            if isinstance(node, tuple):
+                continue
+            a, b = sums[id(node)]
+            inner = not is_main(node[0]) and not in_main
+            if total and 2 * a > total and (inner or is_main(node[0])) or not total and 2 * b > all_prose and tag_of(node[0]) in FRAME_TAGS:
+                framed.add(id(node))
+            mark(node[1], in_main or is_main(node[0]))
+
+    mark(children, False)
+    return total, all_prose
 
 
 def inline_outside(label: str) -> bool:
@@ -257,13 +333,13 @@ def inline_outside(label: str) -> bool:
     return not INLINE_WORDS.isdisjoint(words)
 
 
-def kept(around: str, in_main: bool, blocks: int, chars: int, links: int, constant: bool) -> tuple[bool, bool]:
-    """Whether texts stay: on pages with a main element, and on pages without."""
+def kept(around: str, in_main: bool, blocks: int, chars: int, links: int, constant: bool, beside: bool = False) -> tuple[bool, bool]:
+    """Whether texts stay: on pages with a main element, and on pages without; beside: whether prose stands in an element next to theirs."""
     headed = around in HEADINGS or around in ("p", "pre", "blockquote")
     if in_main:  # all of an article, but menus and what its site repeats beside the text
         stays = headed or not (10 * links > 9 * chars or constant and chars < PROSE_CHARS * blocks and links)
         return stays, stays
-    prose = chars >= PROSE_CHARS * blocks and not constant
+    prose = (chars >= PROSE_CHARS * blocks or beside) and not constant
     listed = around in ("li", "dd", "dt", "td", "th", "figcaption", "caption")
     return False, headed and (around in HEADINGS or 2 * links < chars) or (prose or listed and not constant) and 2 * links < chars
 
@@ -271,30 +347,32 @@ def kept(around: str, in_main: bool, blocks: int, chars: int, links: int, consta
 def judged(items: list) -> list:
     """A wrapper as decisions: (label, children, stays, many), stays for text slots as in kept(); what lies outside the main text has no children."""
 
-    def walk(nodes: list, around: str, in_main: bool) -> list:
+    def is_prose(node: list) -> bool:
+        return node[LABEL] != "#" and any(c[LABEL] == "#" and c[TEXTS][1] >= PROSE_CHARS * c[TEXTS][0] and 2 * c[TEXTS][2] < c[TEXTS][1] for c in node[CHILDREN])
+
+    def walk(nodes: list, around: str, in_main: bool, beside: bool) -> list:
         out = []
+        near = any(is_prose(n) and not outside(n[LABEL], in_main) for n in nodes)
         for node in nodes:
-            label, tag, many = node[LABEL], node[LABEL].split(".")[0], node[TIMES] in "+*"
+            label, many = node[LABEL], node[TIMES] in "+*"
             if label == "#":
                 blocks, chars, links, constant, pages = node[TEXTS]
-                out.append((label, (), kept(around, in_main, blocks, chars, links, constant is not None and len(pages) >= CONSTANT_PAGES), many))
-            elif outside(label, in_main):
-                out.append((label, (), (False, False), many))
-            else:
-                out.append((label, tuple(walk(node[CHILDREN], tag, in_main or tag in MAIN_TAGS)), (True, True), many))
+                out.append((label, (), kept(around, in_main, blocks, chars, links, constant is not None and len(pages) >= CONSTANT_PAGES, beside), many))
+            else:  # what its names put outside is judged as well: on some pages it may frame the main text
+                out.append((label, tuple(walk(node[CHILDREN], tag_of(label), in_main or is_main(label), near)), (True, True), many))
         return out
 
-    return walk(items, "", False)
+    return walk(items, "", False, False)
 
 
 def has_text(children: list) -> bool:
     return any(isinstance(c, tuple) or has_text(c[1]) for c in children)
 
 
-def has_main(children: list) -> bool:
+def has_main(children: list, framed: set[int]) -> bool:
     """Whether a page has an article or main element with a text."""
-    nodes = [c for c in children if not isinstance(c, tuple) and not outside(c[0], False)]
-    return any(n[0].split(".")[0] in MAIN_TAGS and has_text(n[1]) or has_main(n[1]) for n in nodes)
+    nodes = [c for c in children if not isinstance(c, tuple) and (id(c) in framed or not outside(c[0], False))]
+    return any(is_main(n[0]) and has_text(n[1]) or has_main(n[1], framed) for n in nodes)
 
 
 def label_in(child: tuple | list) -> str:
@@ -350,20 +428,25 @@ def places(children: list, wrapper: tuple | list, known: dict) -> list[tuple | N
 
 def extracted(children: list, wrapper: tuple | list) -> list[str]:
     """The page's blocks that fall in the wrapper's slots that stay, in page order."""
-    without = not has_main(children)
+    framed: set[int] = set()
+    weighed(children, framed)
+    without = not has_main(children, framed)
     known: dict = {}
     out: list[str] = []
 
-    def walk(children: list, wrapper: tuple | list, around: str, in_main: bool) -> None:
+    def is_prose(child: tuple | list) -> bool:
+        return not isinstance(child, tuple) and any(isinstance(c, tuple) and len(c[0]) >= PROSE_CHARS and 2 * c[1] < len(c[0]) for c in child[1])
+
+    def walk(children: list, wrapper: tuple | list, around: str, in_main: bool, beside: bool = False) -> None:
+        near = any(is_prose(c) and not outside(c[0], in_main) for c in children)
         for child, item in zip(children, places(children, wrapper, known), strict=True):
             if isinstance(child, tuple):
                 text, links = child
-                stays = item[2] if item is not None else kept(around, in_main, 1, len(text), links, False)
+                stays = item[2] if item is not None else kept(around, in_main, 1, len(text), links, False, beside)
                 if stays[without]:
                     out.append(text)
-            elif not outside(child[0], in_main):
-                tag = child[0].split(".")[0]
-                walk(child[1], item[1] if item is not None else (), tag, in_main or tag in MAIN_TAGS)
+            elif id(child) in framed or not outside(child[0], in_main):
+                walk(child[1], item[1] if item is not None else (), tag_of(child[0]), in_main or is_main(child[0]), near)
 
     walk(children, wrapper, "", False)
     return out

@@ -2,6 +2,7 @@
 
 import itertools
 
+import pytest
 import xxhash
 
 from pairlens.llm.html import aligned, extracted, generalized, judged, main_texts, parse
@@ -143,3 +144,33 @@ def test_whole_articles(spark):
 def test_a_short_block_that_articles_share_stays(spark):
     got = text_of(spark, *[f"<article><h1>Dish {i}</h1><div>Ingredients</div><p>{PROSE} {i}</p></article>" for i in range(8)])
     assert got == [f"Dish {i}\nIngredients\n{PROSE} {i}" for i in range(8)]
+
+
+STORY = "The river rose in the night and the people of the town carried sand to the old bridge until morning came."
+MORE = "By noon the water had gone down again and the market opened as if nothing had ever happened to anyone."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<div class="layout has-sidebar"><article><h1>Title</h1><p>{0}</p></article><div class="sidebar">Links here</div></div>', "Title\n{0}"),
+        ('<main class="content with-sidebar"><p>{0}</p></main>', "{0}"),
+        ('<article class="post comments-open"><p>{0}</p></article>', "{0}"),
+        ('<div class="site has-header-image"><article><p>{0}</p></article></div>', "{0}"),
+        ('<div class="page no-sidebar"><article><p>{0}</p></article></div>', "{0}"),
+        ('<form id="aspnetForm"><div><article><p>{0}</p></article></div><input type="submit"></form>', "{0}"),
+        ('<form id="aspnetForm"><div><h1>Title</h1><p>{0}</p><p>{1}</p></div></form>', "Title\n{0}\n{1}"),
+        ('<article><section id="social-history"><p>{0}</p></section><div class="menu-of-the-day"><p>{1}</p></div></article>', "{0}\n{1}"),
+        ('<article><p>{0}</p><section id="discussion"><p>I disagree with all of this, sir.</p></section></article>', "{0}"),
+        ('<article><p>{0}</p><div style="display: none">Unseen words</div><span style="visibility:hidden">x</span></article>', "{0}"),
+        ('<article><p>{0}</p></article><div class="site-footer"><p>{1}</p></div><div class="comment-list"><p>{1}</p></div>', "{0}"),
+        ("<div><div>Short intro line</div><div>{0}</div><div>{1}</div><div>Closing</div></div>", "Short intro line\n{0}\n{1}\nClosing"),
+        ("<div>" * 150 + "<h1>Title</h1><p>Short.</p><p>{0}</p>" + "</div>" * 150, "Title\nShort.\n{0}"),
+        ("<div>" * 150 + "<article><h1>Title</h1><div>One <p>{0}</p> two</div></article><footer><p>{1}</p></footer>" + "</div>" * 150, "Title\nOne\n{0}\ntwo"),
+    ],
+)
+def test_ordinary_pages(spark, page, want):
+    """Frames named after what they have beside them, forms around a page, deep pages, unseen text: what hand-written rules expect."""
+    rows = [(i, f"https://news.example/{i}", page.format(f"{STORY} {i}", f"{MORE} {i}")) for i in range(2)]
+    got = {r.page_id: r.text for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: want.format(f"{STORY} {i}", f"{MORE} {i}") for i in range(2)}
