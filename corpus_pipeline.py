@@ -48,11 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written as Parquet in the shared folder and read again."""
+    """The stages applied to documents, each written as Parquet in the shared folder, read again and deleted after the next."""
     written = Written(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         with scratch(spark):
             result = written.table(stage(spark, docs, sf_dir))
+        if i:
+            written.drop(docs)
         docs = result
     return docs
