@@ -26,7 +26,7 @@ from pairlens.llm.common import Written, document, n_words, ranked, restored
 WEIGHTS = (5.0, 2.0, 1.0)
 REPEATS = 3
 SEED = 17
-SALTS = 64
+SALTS, SALT_ROWS = 64, 1_000_000  # parts that each length of a source is numbered in at least, and rows for each more
 #: Words of budget that the dynamic programme fits, at most.
 KNAPSACK_WORDS = 65536
 
@@ -118,7 +118,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = RE
     fitted = hist.groupBy("source_no").applyInPandas(_fit_source, "source_no int, size long, repeats long, take long")
     fitted = written.table(fitted.join(hist.drop("n"), ["source_no", "size"]))
     numbered = sized.join(F.broadcast(shares) if shares.count() <= 10_000 else shares, sized["source"].eqNullSafe(shares["source"])).select("doc_id", "size", "source_no", "_hash", *carry)
-    placed = ranked(numbered, ["source_no", "size"], F.pmod("_hash", F.lit(SALTS)), ["_hash", "doc_id"], extra=fitted)
+    placed = ranked(numbered, ["source_no", "size"], F.pmod("_hash", F.lit(max(SALTS, sized.count() // SALT_ROWS))), ["_hash", "doc_id"], extra=fitted)
     taken = F.col("size") * (F.col("repeats") + (F.col("rank") < F.col("take")).cast("long"))
     return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "rank", "repeats", "take", *carry)
 

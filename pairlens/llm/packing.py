@@ -28,7 +28,7 @@ from pairlens.llm.common import Written, n_words, ranked
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 OVERHEAD = 32  # cost of a sequence besides its length
-SALTS = 64
+SALTS, SALT_ROWS = 64, 1_000_000  # parts that each length is numbered in at least, and rows of the commonest for each more
 BIN_COLUMNS = ("bin_id", "bin_size", "bin_used", "bin_start")
 
 
@@ -143,7 +143,7 @@ def pack(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
                 values[~some] = pd.NA
             yield df[["doc_id", "piece", "start", "length"]].assign(**new)
 
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS))
+    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(SALTS, max(counts.values(), default=0) // SALT_ROWS)))
     kind = dict(pieces.dtypes)["doc_id"]
     schema = f"doc_id {kind}, piece int, start long, length int, bin_id long, bin_size long, bin_used long, bin_start long"
     return ranked(pieces, ["length"], salt, ["doc_id", "piece"]).mapInPandas(assign, schema)

@@ -108,6 +108,9 @@ def splitters(table: DataFrame, probes: list[Probe]) -> list[tuple[tuple, int]]:
     return [(p.best[1], p.best[2]) for p in probes]
 
 
+LEAST_RANGES, MOST_RANGES, RANGE_BYTES = 4, 64, 256 << 20  # parts that a shard is sorted in, and bytes of a part between
+
+
 def _above(splitter: tuple) -> Column:
     key = F.col(KEYS[0])
     if len(splitter) == 1:
@@ -115,11 +118,12 @@ def _above(splitter: tuple) -> Column:
     return (key > F.lit(splitter[0])) | ((key == F.lit(splitter[0])) & (F.col(KEYS[1]) >= F.lit(splitter[1])))
 
 
-def sharded(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 4, tolerance: float = 0.001) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = 16, ranges_per_shard: int | None = None, tolerance: float = 0.001) -> DataFrame:
     """Every row, whole, as document, with size, text_crc32, shard and slot, as written by shard and slot; shards hold near equal bytes.
 
     tolerance: of a shard's mean bytes, for the boundaries of shards; a single text is never cut,
-    so a boundary may miss by half the longest text. Each shard is sorted in ranges_per_shard parts.
+    so a boundary may miss by half the longest text. Each shard is sorted in ranges_per_shard parts, by default
+    as many as its bytes need, LEAST_RANGES to MOST_RANGES: splitters are compared one by one.
     """
     written = Written(docs.sparkSession)
     text = text_or_empty()
@@ -127,6 +131,8 @@ def sharded(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 4, tolera
     document = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")
     table = written.table(docs.select(document, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("key"), F.monotonically_increasing_id().alias("place")), compression="zstd")
     total = table.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    if ranges_per_shard is None:
+        ranges_per_shard = min(MOST_RANGES, max(LEAST_RANGES, total // (shards * RANGE_BYTES)))
     parts = shards * ranges_per_shard
     probes = [Probe(target=total * i / parts, tolerance=total / shards * (tolerance if i % ranges_per_shard == 0 else max(tolerance, 0.02))) for i in range(1, parts)] if total else []
     found = sorted(splitters(table, probes), key=lambda x: (x[1], x[0]))
@@ -144,6 +150,6 @@ def sharded(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 4, tolera
     return out
 
 
-def histogram_shards(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 4, tolerance: float = 0.001) -> DataFrame:
+def histogram_shards(docs: DataFrame, shards: int = 16, ranges_per_shard: int | None = None, tolerance: float = 0.001) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of the sharded rows."""
     return sharded(docs, shards, ranges_per_shard, tolerance).select("document.doc_id", "size", "text_crc32", "shard", "slot")
