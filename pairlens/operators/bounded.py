@@ -33,6 +33,7 @@ Config = tuple[int, ...]
 GRID = (1.0, 0.9, 0.8, 0.65, 0.5, 0.35, 0.2, 0.0)
 CLOSE = 0.1  # a K-th similarity so little below a step is taken instead of it
 FEW_ROWS = 3_000_000  # rows that a round may count, or compare at their price, whatever was joined before
+SMALL = 10_000_000  # pairs of sets a configuration that are not worth a round
 ROUND_ROWS = 1_000_000  # rows whose counting costs as much as a round by itself
 GROWTH = 4  # times as many as all rounds before, otherwise
 CELL = 700  # sets of either side that one task pairs for one token
@@ -242,6 +243,8 @@ class Search:
 
     def run(self, configs: list[str], k: int, how: str = "auto") -> None:
         """Rounds until every configuration has its k best pairs. how: auto, full or prefix."""
+        if how == "auto" and self.left.sets.count() * self.right.sets.count() <= SMALL * len(configs):
+            how = "full"
         if how == "full":
             self.keep(_counted(self.left.sets, self.right.sets), {})
             return

@@ -284,6 +284,7 @@ def test_rounds_with_candidate_pairs_and_ties(spark, monkeypatch):
     """Candidates as pairs, many equal records, and blocks some of which are null, by every way."""
     monkeypatch.setattr(bounded, "CELL", 2)
     monkeypatch.setattr(bounded, "FEW_ROWS", 10)
+    monkeypatch.setattr(bounded, "SMALL", 0)
     rng = random.Random(9)
     rows = [(i, rng.choice(["red oak", "red elm", "blue oak ash", "blue"]), rng.choice(["x", "y", None])) for i in range(50)]
     table = KeyedTable(spark.createDataFrame(rows, "id long, name string, town string"), "id")
