@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 
 def as_text(name: str, kind: T.DataType) -> Column:
@@ -53,8 +54,14 @@ def numbered_tokens(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     Tokens are numbered once, over all fields; a configuration without a field drops its tokens
     and leaves the numbers of the others. A space parts token and number: no token holds one.
     """
-    words_of = lambda f, t: F.transform(F.split(F.lower(t), " "), lambda w, i: F.struct(F.lit(f).alias("f"), i.alias("p"), w.alias("w")))
-    fields = [words_of(f, t) for f, t in enumerate(texts(df, columns))]
-    words = df.select(F.col(key).alias("id"), F.explode(F.filter(F.concat(*fields), lambda x: x["w"] != "")).alias("x")).select("id", "x.*")
-    order = Window.partitionBy("id", "w").orderBy("f", "p")
-    return words.select("id", "f", F.concat("w", F.lit(" "), (F.row_number().over(order) - 1).cast("string")).alias("t"))
+    rows = df.select(F.col(key).alias("id"), *[t.alias(f"x{f}") for f, t in enumerate(texts(df, columns))])
+    words_of = lambda f: F.transform(F.split(F.lower(f"x{f}"), " "), lambda w: F.struct(F.lit(f).alias("f"), w.alias("w")))
+    places = range(len(columns))
+    # rows move once, as texts: all that groups by id, or by id and word, finds its rows in one place
+    words = rows.repartition("id").select("id", F.explode(F.filter(F.concat(*map(words_of, places)), lambda x: x["w"] != "")).alias("x")).select("id", "x.*")
+    counted = words.groupBy("id", "w").agg(*[F.count_if(F.col("f") == f).cast("int").alias(f"n{f}") for f in places])
+    # the numbers of a field follow those of the fields before it
+    ends = [reduce(Column.__add__, [F.col(f"n{g}") for g in range(f + 1)]) for f in places]
+    runs = [F.struct(F.lit(f).alias("f"), (ends[f] - F.col(f"n{f}")).alias("first"), (ends[f] - 1).alias("last")) for f in places]
+    numbers = counted.select("id", "w", F.inline(F.array(*runs))).where("first <= last").select("id", "f", "w", F.explode(F.sequence("first", "last")).alias("i"))
+    return numbers.select("id", "f", F.concat("w", F.lit(" "), F.col("i").cast("string")).alias("t"))
