@@ -1,4 +1,4 @@
-"""SQL of the quality rules, of phrases and of the repair of conversations, for an engine with RE2 patterns."""
+"""SQL of the links of embeddings, of the quality rules, of phrases and of the repair of conversations, for an engine with RE2 patterns."""
 
 from __future__ import annotations
 
@@ -149,3 +149,19 @@ SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT
 ) JOIN totals USING (lang) WHERE rank <= 2000
 """
+
+EMBEDDINGS_SQL = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+), valid AS (
+  SELECT * FROM vectors WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(x, lambda v: v <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM valid a JOIN valid b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.93
+), reached(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM vectors
+  UNION
+  SELECT reached.vec_id, links.b FROM reached JOIN links ON links.a = reached.other
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, min(other) AS component_id, vec_id = min(other) AS kept FROM reached GROUP BY vec_id
+"""

@@ -11,7 +11,7 @@ from pairlens.llm.html import main_texts
 from pairlens.llm.langid import identified
 from pairlens.llm.lm import lm_scores
 from pairlens.llm.mixing import mix
-from pairlens.llm.oracle import PHRASES_SQL, QUALITY_SQL, REPAIR_SQL
+from pairlens.llm.oracle import EMBEDDINGS_SQL, PHRASES_SQL, QUALITY_SQL, REPAIR_SQL
 from pairlens.llm.packing import pack
 from pairlens.llm.phrases import collocations
 from pairlens.llm.pii import pii_report
@@ -79,4 +79,4 @@ def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_embeddings, op3_language, op4_shards, op5_packing, op6_mixing, op7_quality, op8_lm, op9_pii, op10_html, op11_toxicity, op12_phrases, op13_conversations)}
-ORACLE_SQL: dict[str, str] = {"op7_quality": QUALITY_SQL, "op12_phrases": PHRASES_SQL, "op13_conversations": REPAIR_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_embeddings": EMBEDDINGS_SQL, "op7_quality": QUALITY_SQL, "op12_phrases": PHRASES_SQL, "op13_conversations": REPAIR_SQL}

@@ -1,11 +1,15 @@
 """Embedding links against all pairs, compared outright."""
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from pairlens.llm import embeddings
+from pairlens.llm.common import Written
 from pairlens.llm.embeddings import near_vectors
-from pairlens.llm.queries import QUERIES
+from pairlens.llm.queries import ORACLE_SQL, QUERIES
 
 
 def plain(rows):
@@ -38,10 +42,11 @@ def test_query_equals_all_pairs(spark, sf):
     assert rows_of(QUERIES["op2_embeddings"](spark, sf)) == plain([(r.vec_id, r.embedding, r.label) for r in table.collect()])
 
 
-@pytest.mark.parametrize("block", [16, 2048])
+@pytest.mark.parametrize("block", [16, 512])
 def test_clusters_and_odd_rows(spark, monkeypatch, block):
     monkeypatch.setattr(embeddings, "BLOCK", block)
     monkeypatch.setattr(embeddings, "FAN", 2)
+    monkeypatch.setattr(embeddings, "LEAF", 4)
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(30, 12))
     rows = []
@@ -56,6 +61,39 @@ def test_clusters_and_odd_rows(spark, monkeypatch, block):
     assert rows_of(near_vectors(df.limit(0))) == []
 
 
+def test_query_equals_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    want = con.execute(f"SELECT vec_id, n_links, component_id, kept FROM ({ORACLE_SQL['op2_embeddings']})").fetchall()
+    assert rows_of(QUERIES["op2_embeddings"](spark, sf)) == sorted(want)
+
+
+def test_most_blocks_of_clusters_never_meet(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(50, 64))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    x = (centres[rng.integers(50, size=50_000)] + rng.normal(size=(50_000, 64)) * 0.03).astype(np.float32)
+    pq.write_table(pa.table({"rep": pa.array(range(50_000), pa.int64()), "embedding": pa.array(list(x))}), str(tmp_path / "x.parquet"))
+    classes = spark.read.parquet(str(tmp_path / "x.parquet")).selectExpr("1 AS label", "64 AS dim", "rep", "1L AS n", "embedding")
+    eps, written = float(np.sqrt(2 - 2 * embeddings.COSINE)), Written(spark)
+    blocks = written.table(embeddings.in_blocks(classes, embeddings.principal_axes(classes), eps))
+    n = blocks.select("block").distinct().count()
+    kept = {tuple(r) for r in embeddings.near_blocks(blocks, eps, written).select("a_block", "b_block").collect()}
+    assert len(kept) < 0.4 * n * (n + 1) / 2
+    # no link is lost: those of some vectors, against all
+    at = {r.rep: r.block for r in blocks.select("rep", "block").collect()}
+    u = embeddings.units(x.astype(float))
+    for i in range(0, 50_000, 500):
+        for j in np.flatnonzero(u @ u[i] >= embeddings.COSINE).tolist():
+            assert (min(at[i], at[j]), max(at[i], at[j])) in kept
+
+
+def test_large_and_small_components(spark):
+    rows = [(1, [1e200, 0.0], 1), (2, [1e-200, 1e-201], 1), (3, [0.0, 1e200], 1), (4, [93e198, float(np.sqrt(1 - 0.93**2)) * 1e200], 1)]
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got[2] >= 1 and got[3] == 0
+
+
 def test_null_ids_are_vectors_like_any_other(spark):
     rows = [(None, [1.0, 0.0], 1), (None, [1.0, 0.01], 1), (3, [1.0, 0.02], 1), (None, [0.0, 1.0], 1), (None, [0.0, 1.0], 1), (None, [-1.0, 0.0], 1), (None, None, 1)]
     got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
