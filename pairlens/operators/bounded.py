@@ -106,7 +106,7 @@ def _events(sets: DataFrame, name: str, old: Column, upto: Column) -> DataFrame:
     return rows.select("config", "t", *columns, (F.col("first") + F.col("p")).alias(f"{name}place"), (F.col("p") >= F.col("old")).alias(f"{name}new"))
 
 
-def _dealt(left: DataFrame, right: DataFrame, tasks: int) -> DataFrame:
+def dealt(left: DataFrame, right: DataFrame, tasks: int) -> DataFrame:
     """Events joined by token. A token of more than CELL sets of a side is dealt to several cells: few and frequent tokens keep no task waiting."""
     many = lambda df, name: df.groupBy("config", "t").agg(F.ceil(F.count("*") / CELL).cast("int").alias(name))
     hot = many(left, "lcells").join(many(right, "rcells"), ["config", "t"]).where("lcells > 1 OR rcells > 1")
@@ -235,7 +235,7 @@ class Search:
         new = _reach(_of_config(now, 2.0))
         floor = _of_config(least, 0.0)
         l_sets, r_sets = some(self.left.sets), some(self.right.sets)
-        return _compared(_dealt(_events(l_sets, "l", old, new), _events(r_sets, "r", old, new), tasks), l_sets, r_sets, floor)
+        return _compared(dealt(_events(l_sets, "l", old, new), _events(r_sets, "r", old, new), tasks), l_sets, r_sets, floor)
 
     def keep(self, pairs: DataFrame, least: dict[str, float]) -> None:
         """Holds on to pairs that can be among the best."""
