@@ -6,10 +6,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairlens.functions.text import kgram_docs, numbered_tokens, token_sets
 from pairlens.model import CandidateSet, Feature, KeyedTable
 from pairlens.operators import bounded, simjoin
+from pairlens.operators.blockers import block_pairs
 from pairlens.operators.features import cap_rule, half_rule, select_features
 from pairlens.operators.schema_match import Correspondence, matched
 from pairlens.operators.suggestions import decorated, recommendations
@@ -86,13 +88,21 @@ def indexed_candidates(candidates: CandidateSet, left: KeyedTable, right: KeyedT
     """The candidates with the keys of the tables, which theirs equal as text; a key that a table does not have is an error."""
     if not unknown_keys(candidates, left, right).isEmpty():
         raise ValueError("the candidates name a key that its table does not have")
-    pairs = candidates.pairs()
-    for side, table in (("lid", left), ("rid", right)):
-        if pairs.schema[side].dataType != table.df.schema[table.key].dataType:
-            known = table.df.select(F.col(f"`{table.key}`").alias("native"), F.col(f"`{table.key}`").cast("string").alias("text"))
-            pairs = pairs.join(known, F.col(side).cast("string") == F.col("text")).drop(side, "text").withColumnRenamed("native", side)
-    native = pairs.columns == ["lid", "rid"]
-    return CandidateSet(pairs.select("lid", "rid"), "lid", "rid", candidates.blocks if native else None)
+    if candidates.blocks is not None:
+        a, b = (_indexed(block, "id", table) for block, table in zip(candidates.blocks, (left, right), strict=True))
+        return CandidateSet(block_pairs(a, b), "lid", "rid", (a, b))
+    return CandidateSet(_indexed(_indexed(candidates.pairs(), "lid", left), "rid", right), "lid", "rid")
+
+
+def _indexed(rows: DataFrame, name: str, table: KeyedTable) -> DataFrame:
+    """rows with the keys of the table in the column of that name, which equal them as text."""
+    kind = table.df.schema[table.key].dataType
+    if rows.schema[name].dataType == kind:
+        return rows
+    if isinstance(kind, T.StringType | T.IntegralType):  # a text is of one such key: nothing to look up
+        return rows.withColumn(name, F.col(name).cast("string").try_cast(kind))
+    known = table.df.select(F.col(f"`{table.key}`").alias("native"), F.col(f"`{table.key}`").cast("string").alias("text"))
+    return rows.join(known, F.col(name).cast("string") == F.col("text")).withColumn(name, F.col("native")).drop("native", "text")
 
 
 def token_counts(tokens: DataFrame, n: int) -> list[int]:

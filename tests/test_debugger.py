@@ -327,3 +327,22 @@ def test_text_keys(spark):
     assert got.dtypes == [("lid", "bigint"), ("rid", "bigint")] and sorted(map(tuple, got.collect())) == [(1, 2), (2, 2)]
     bad = CandidateSet(spark.createDataFrame([("1", "7"), ("x", "2")], "l string, r string"), "l", "r")
     assert sorted(map(tuple, unknown_keys(bad, left, left).collect())) == [("left", "x"), ("right", "7")]
+
+
+def test_text_keys_of_blocks(spark):
+    """Blocks stay blocks, whose keys are looked up once a row and not once a pair."""
+    rows = [(i, f"n{i % 4}") for i in range(30)]
+    left = KeyedTable(spark.createDataFrame(rows, "id long, name string"), "id")
+    texts = KeyedTable(left.df.selectExpr("CAST(id AS STRING) AS id", "name"), "id")
+    got = indexed_candidates(block_equal(texts, texts, "name", "name"), left, left)
+    assert [b.dtypes for b in got.blocks] == [[("id", "bigint"), ("block", "string")]] * 2
+    want = sorted((i, j) for i, a in rows for j, b in rows if a == b)
+    assert got.pairs().dtypes == [("lid", "bigint"), ("rid", "bigint")] and sorted(map(tuple, got.pairs().collect())) == want
+    fractions = KeyedTable(left.df.selectExpr("CAST(id AS DOUBLE) / 4 AS id", "name"), "id")
+    named = KeyedTable(fractions.df.selectExpr("CAST(id AS STRING) AS id", "name"), "id")
+    halves = indexed_candidates(block_equal(named, texts, "name", "name"), fractions, left)
+    assert sorted(map(tuple, halves.pairs().collect())) == [(i / 4, j) for i, j in want]
+    with pytest.raises(ValueError, match="does not have"):
+        indexed_candidates(block_equal(texts, texts, "name", "name"), left, KeyedTable(left.df.where("id > 0"), "id"))
+    pairs = spark.createDataFrame([("1", "2"), ("2", "2")], "l string, r string")
+    assert "Join" not in indexed_candidates(CandidateSet(pairs, "l", "r"), left, left).pairs()._jdf.queryExecution().optimizedPlan().toString()
