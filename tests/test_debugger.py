@@ -346,3 +346,24 @@ def test_text_keys_of_blocks(spark):
         indexed_candidates(block_equal(texts, texts, "name", "name"), left, KeyedTable(left.df.where("id > 0"), "id"))
     pairs = spark.createDataFrame([("1", "2"), ("2", "2")], "l string, r string")
     assert "Join" not in indexed_candidates(CandidateSet(pairs, "l", "r"), left, left).pairs()._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_texts_are_one_before_their_grams(spark, monkeypatch):
+    """No table that is written holds the k-grams of each of many records of one text."""
+    names = ["red oak", "red ash", "old elm st.", "no", None]
+    rows = [(i, names[i % 5], "xyz"[i % 3] if i % 11 else None) for i in range(600)]
+    table = KeyedTable(spark.createDataFrame(rows, "id long, name string, town string"), "id")
+    held, write = [], bounded.Written.table
+
+    def counted(self, df, *args, **more):
+        out = write(self, df, *args, **more)
+        held.extend(out.selectExpr("coalesce(sum(size(tokens)), 0)").first() if "tokens" in out.columns else [])
+        return out
+
+    monkeypatch.setattr(bounded.Written, "table", counted)
+    banned = {(i, j) for i, _, a in rows for j, _, b in rows if a is not None and a == b}
+    sets = {r[0]: {t[i : i + 3] for t in [f"{r[1] or ''} {r[2] or ''}"] for i in range(len(t) - 2)} for r in rows}
+    for how in ("full", "prefix"):
+        got = [tuple(r)[:3] for r in debug_blocker(table, table, block_equal(table, table, "town", "town"), 300, how=how).collect()]
+        assert got == brute(sets, sets, banned, 300)
+    assert held and max(held) < 300  # 20 texts
