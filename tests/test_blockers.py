@@ -6,9 +6,9 @@ from pathlib import Path
 
 import pytest
 
-from pairlens.model import KeyedTable
-from pairlens.operators import blockers
-from pairlens.operators.blockers import block_equal
+from pairlens.model import CandidateSet, KeyedTable
+from pairlens.operators import blockers, simjoin
+from pairlens.operators.blockers import block_equal, block_pairs
 
 
 def table(spark, rows, kind="string"):
@@ -41,3 +41,13 @@ def test_few_blocks_are_small_when_written(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/pairs").selectExpr("count(*)", "sum(lid)", "sum(rid)", "sum(lid * rid)").first()
     assert tuple(got) == (n, 30_000 * sum(range(300)), 300 * sum(range(30_000)), sum(range(300)) * sum(range(30_000)))
     assert sum(p.stat().st_size for p in Path(f"{tmp_path}/pairs").glob("*.parquet")) < 0.5 * n
+
+
+@pytest.mark.parametrize("rows,one", [([(1, "x"), (1, "x"), (2, None), (2, None)], True), ([(1, "x"), (1, "y")], False), ([(1, "x"), (1, None)], False)])
+def test_blocks_where_each_key_has_one(spark, rows, one):
+    a = spark.createDataFrame(rows, "id long, block string")
+    docs = spark.createDataFrame([(1, "d"), (2, "e"), (3, "f")], "id long, doc string")
+    left, right, pairs = simjoin.with_blocks(docs, docs, CandidateSet(block_pairs(a, a), "lid", "rid", (a, a)))
+    assert (pairs is None) == one
+    if one:
+        assert sorted(map(tuple, left.collect()), key=str) == [(1, "d", "x"), (2, "e", None), (3, "f", None)]
